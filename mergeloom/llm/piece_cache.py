@@ -35,7 +35,7 @@ def _words():
 class PieceCache:
     """Distinct pieces and their ids, in one flat array; emptied at ``limit``."""
 
-    def __init__(self, encode_many, limit: int = 500_000):
+    def __init__(self, encode_many, limit: int = 800_000):
         self.encode_many, self.limit = encode_many, limit
         self.clear()
 
@@ -60,18 +60,14 @@ class PieceCache:
 
     def rows(self, keys: list) -> np.ndarray:
         """The cache row of every key: str (a piece after a space) or 1-tuple (the first piece of a text)."""
-        get = self.index.get
-        found = [get(k, -1) for k in keys]
-        missing = dict.fromkeys(k for k, f in zip(keys, found, strict=True) if f < 0) if -1 in found else {}
+        missing = set(keys).difference(self.index)
         if missing:
             if self.index and len(self.index) + len(missing) > self.limit:
                 self.clear()
-                missing = dict.fromkeys(keys)
+                missing = set(keys)
             miss = list(missing)
             self._append(miss, self.encode_many([k[0] if k.__class__ is tuple else " " + k for k in miss]))
-            index = self.index
-            found = [index[k] for k in keys]
-        return np.array(found, np.int64)
+        return np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
 
     def expand(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows in order, and the count of each row."""
@@ -94,24 +90,21 @@ class CachedEncoder:
         self.tok.encode_special_tokens = True
         self.model = self.tok.model
         self.cache = PieceCache(self._pieces)
-        self.words: dict[str, list] = {}
 
     def _many(self, texts: list) -> list:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _pieces(self, pieces: list) -> list:
         """Ids of short pieces: the public word pattern cuts them, the library's BPE model encodes each word."""
-        words, find, tokenize = self.words, _words().findall, self.model.tokenize
-        if len(words) > self.cache.limit:
-            words.clear()
+        find, tokenize = _words().findall, self.model.tokenize
         rows = []
         for piece in pieces:
+            if piece.isascii() and piece[1:].isalpha():
+                rows.append([t.id for t in tokenize("\u0120" + piece[1:] if piece[0] == " " else piece)])
+                continue
             row: list = []
             for w in find(piece):
-                ids = words.get(w)
-                if ids is None:
-                    ids = words[w] = [t.id for t in tokenize(w.encode().decode("latin-1").translate(_BYTE_CHARS))]
-                row += ids
+                row += [t.id for t in tokenize(w.encode().decode("latin-1").translate(_BYTE_CHARS))]
             rows.append(row)
         return rows
 

@@ -89,7 +89,10 @@ def _narrow(ids: np.ndarray) -> np.ndarray:
             step = min(width, c - width)
             run = run[: run.size - step] & run[step:]
             width += step
-        best[run[:n]] = s
+        run = run[:n]
+        if not run.any():  # nor will longer runs of narrower ids
+            break
+        best[run] = s
     return best
 
 
