@@ -9,7 +9,6 @@ go to the library whole.
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 
@@ -19,17 +18,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _UNSAFE = re.compile(r"\s\s\s|\s\s\Z")
 _LONG = 96
-# The byte-level alphabet: printable Latin-1 stands for itself, the other bytes for code points from 256 on.
-_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE_CHARS = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PLAIN)}
-
-
-@functools.cache
-def _words():
-    import public_tokenizers
-    import regex
-
-    return regex.compile(public_tokenizers.PATTERN)
+_SPACE = re.compile(r"\s")
 
 
 class PieceCache:
@@ -45,16 +34,14 @@ class PieceCache:
         self.off = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _append(self, keys: list, rows: list) -> None:
-        n = len(self.index)
-        counts = np.fromiter(map(len, rows), np.int64, len(rows))
-        total = int(counts.sum())
+    def _append(self, keys: list, ids: np.ndarray, counts: np.ndarray) -> None:
+        n, rows, total = len(self.index), counts, ids.size
         while n + len(rows) + 1 > self.off.size:
             self.off = np.concatenate([self.off, np.zeros_like(self.off)])
         while self.used + total > self.flat.size:
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         self.off[n + 1 : n + 1 + len(rows)] = self.used + np.cumsum(counts)
-        self.flat[self.used : self.used + total] = np.fromiter((x for r in rows for x in r), np.int32, total)
+        self.flat[self.used : self.used + total] = ids
         self.used += total
         self.index.update(zip(keys, range(n, n + len(keys)), strict=True))
 
@@ -66,7 +53,7 @@ class PieceCache:
                 self.clear()
                 missing = set(keys)
             miss = list(missing)
-            self._append(miss, self.encode_many([k[0] if k.__class__ is tuple else " " + k for k in miss]))
+            self._append(miss, *self.encode_many([k[0] if k.__class__ is tuple else " " + k for k in miss]))
         return np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
 
     def expand(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,25 +75,32 @@ class CachedEncoder:
 
         self.tok = Tokenizer.from_file(tokenizer_path)
         self.tok.encode_special_tokens = True
-        self.model = self.tok.model
+        vocab = self.tok.get_vocab()
+        self.id_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():  # in the byte-level alphabet a character is a byte
+            self.id_bytes[i] = len(token)
         self.cache = PieceCache(self._pieces)
 
     def _many(self, texts: list) -> list:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list) -> list:
-        """Ids of short pieces: the public word pattern cuts them, the library's BPE model encodes each word."""
-        find, tokenize = _words().findall, self.model.tokenize
-        rows = []
-        for piece in pieces:
-            if piece.isascii() and piece[1:].isalpha():
-                rows.append([t.id for t in tokenize("\u0120" + piece[1:] if piece[0] == " " else piece)])
-                continue
-            row: list = []
-            for w in find(piece):
-                row += [t.id for t in tokenize(w.encode().decode("latin-1").translate(_BYTE_CHARS))]
-            rows.append(row)
-        return rows
+    def _pieces(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts of pieces. Those without inner white space are joined and encoded together; lengths in bytes tell them apart."""
+        plain = [i for i, p in enumerate(pieces) if p[:1] == " " and len(p) > 1 and not _SPACE.search(p, 1)]
+        rows: list = [None] * len(pieces)
+        for at in range(0, len(plain), 512):
+            own = plain[at : at + 512]
+            group = [pieces[i] for i in own]
+            ids = np.array(self._many(["".join(group)])[0], np.int32)
+            stops = np.cumsum(self.id_bytes[ids])
+            cut = np.searchsorted(stops, np.cumsum([len(p.encode()) for p in group])) + 1
+            for i, a, b in zip(own, [0, *cut[:-1].tolist()], cut.tolist(), strict=True):
+                rows[i] = ids[a:b]
+        odd = [i for i, r in enumerate(rows) if r is None]
+        for i, ids in zip(odd, self._many([pieces[i] for i in odd]), strict=True):
+            rows[i] = np.array(ids, np.int32)
+        counts = np.fromiter(map(len, rows), np.int64, len(rows))
+        return np.concatenate(rows) if rows else np.empty(0, np.int32), counts
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         keys: list = []
