@@ -47,14 +47,19 @@ class PieceCache:
 
     def rows(self, keys: list) -> np.ndarray:
         """The cache row of every key: str (a piece after a space) or 1-tuple (the first piece of a text)."""
-        missing = set(keys).difference(self.index)
-        if missing:
+        found = list(map(self.index.get, keys))
+        if None in found:
+            holes = [i for i, f in enumerate(found) if f is None]
+            missing = {keys[i] for i in holes}
             if self.index and len(self.index) + len(missing) > self.limit:
                 self.clear()
-                missing = set(keys)
+                holes, missing = range(len(keys)), set(keys)
             miss = list(missing)
             self._append(miss, *self.encode_many([k[0] if k.__class__ is tuple else " " + k for k in miss]))
-        return np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
+            index = self.index
+            for i in holes:
+                found[i] = index[keys[i]]
+        return np.array(found, np.int64)
 
     def expand(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows in order, and the count of each row."""

@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
-from . import line_runs, shards, simhash, token_file
+from . import chat, kneser_ney, line_runs, nbsvm, shards, simhash, token_file, topk
 
 QUERIES = {
     "op1_token_file": token_file.op1_token_file,
     "op2_simhash": simhash.op2_simhash,
+    "op5_top_k": topk.op5_top_k,
     "op6_shards": shards.op6_shards,
     "op7_line_dedup": line_runs.op7_line_dedup,
+    "op8_chat": chat.op8_chat,
+    "op9_quality": kneser_ney.op9_quality,
+    "op10_toxicity": nbsvm.op10_toxicity,
 }
 
 ORACLE_SQL = {
+    "op5_top_k": """
+WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS e FROM embeddings),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op7_line_dedup": """
 WITH lines AS (
   SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos, unnest(string_split(coalesce(text, ''), chr(10))) AS line
