@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, kneser_ney, line_runs, nbsvm, shards, simhash, token_file, topk
+from . import chat, decontam, kneser_ney, line_runs, nbsvm, pieces, shards, simhash, token_file, topk
 
 QUERIES = {
     "op1_token_file": token_file.op1_token_file,
     "op2_simhash": simhash.op2_simhash,
+    "op3_pieces": pieces.op3_pieces,
+    "op4_decontam": decontam.op4_decontam,
     "op5_top_k": topk.op5_top_k,
     "op6_shards": shards.op6_shards,
     "op7_line_dedup": line_runs.op7_line_dedup,
