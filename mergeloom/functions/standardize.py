@@ -117,17 +117,23 @@ def identity(c: Column) -> Column:
     return c
 
 
-#: category -> (sentence that is typical of it, standardiser). Categories and sentences of the merge tool's contract.
-REGISTRY: dict[str, tuple[str, Callable[[Column], Column]]] = {
-    "name": ("name", person_name),
-    "time": ("time", clock_time),
-    "date": ("date", identity),
-    "temperature": ("temperature", identity),
-    "address": ("address", identity),
-    "money": ("money", number_text),
-    "etc": ("etc", identity),
+# The categories and the sentence that is typical of each.
+EXEMPLARS = {
+    "name": "John A. Smith",
+    "date": "date 5/12/2023 3/23/98 January 25,2024",
+    "time": "time 10:30 AM",
+    "temperature": "22.5 degrees Celsius",
+    "address": "123 Main Street, Springfield, IL",
+    "money": "the salary is $10 and $13.23 and 6.23",
+    "etc": "miscellaneous data",
 }
 
+#: category -> (exemplar, standardiser). A temperature column is planned over the whole column, see plan_temperature.
+REGISTRY: dict[str, tuple[str, Callable[[Column], Column]]] = {c: (e, identity) for c, e in EXEMPLARS.items()}
+REGISTRY["name"] = (EXEMPLARS["name"], person_name)
+REGISTRY["time"] = (EXEMPLARS["time"], clock_time)
+REGISTRY["money"] = (EXEMPLARS["money"], number_text)
+
 
 def register_standardizer(category: str, exemplar: str, fn: Callable[[Column], Column]) -> None:
     REGISTRY[category] = (exemplar, fn)
@@ -143,7 +149,7 @@ def standardizer(category: str) -> Callable[[Column], Column]:
 
 
 #: How each category is shown, as (prefix, suffix).
-DISPLAY = {"temperature": ("", "°C"), "money": ("$", ""), "salary": ("$", ""), "age": ("", " years"), "weight": ("", " kg"), "height": ("", " m")}
+DISPLAY = {"temperature": ("", "°C"), "price": ("$", ""), "age": ("", " years"), "weight": ("", " kg"), "height": ("", " m")}
 
 
 def display(label: str, c: Column, category: str) -> Column:
