@@ -102,6 +102,11 @@ def plan_temperature(df: DataFrame, column: str, order: str | None = None, cut:
     return TemperaturePlan(celsius, celsius or not assume_column_unit)
 
 
+def one_decimal(v: Column) -> Column:
+    """A number as text with one decimal, half to even on the exact binary value."""
+    return F.call_function("format_number", v, F.lit("0.0"))
+
+
 def temperature(c: Column, plan: TemperaturePlan) -> Column:
     """One decimal in the planned unit."""
     v = temperature_number(c)
@@ -110,7 +115,7 @@ def temperature(c: Column, plan: TemperaturePlan) -> Column:
         out = F.when(has_f, (v - 32) * 5 / 9).otherwise(v)
     else:
         out = F.when(has_f, v).otherwise(v * 9 / 5 + 32 if plan.bare_is_celsius else v)
-    return F.when(c.isNull(), F.lit(None)).otherwise(F.translate(F.format_number(out, "0.0"), ",", ""))
+    return F.when(c.isNull(), F.lit(None)).otherwise(one_decimal(out))
 
 
 def identity(c: Column) -> Column:
