@@ -1,10 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Words that occur in the benchmark are the terms; no other word can take part in a
+Words are white-space tokens in lower case without their other characters than
+letters and digits. Words that occur in the benchmark are the terms; no other word can take part in a
 match, so a text becomes the positions and numbers of its terms, which all later
 passes read instead of the text. Passages are windows of WINDOW words, every
-STRIDE words, over whole texts, weighted by TF-IDF with document frequencies over
-all passages. Terms found in more than COMMON of the passages have no weight.
+STRIDE words, over whole texts, weighted by TF-IDF; frequencies count the blocks of STRIDE words, of which a
+passage is two, over all texts. Terms in more than COMMON of the blocks weigh nothing.
 
 A distributed randomised SVD of all passages, with the benchmark's own passages in
 proportion, gives the latent space: each task adds up its part of A'(A G) for a
@@ -40,18 +41,21 @@ WINDOW, STRIDE = 48, 24
 RANK, EXTRA = 256, 16
 COSINE = 0.35
 VERBATIM, PARAPHRASE = 0.75, 0.6
-COMMON = 0.02
+COMMON = 0.01
 ITEMS = 4096
 MIN_WORDS = 5
 SEED = 4
 TERM_BLOCK = 512
-_WORD = re.compile(r"\w+")
+CHUNK_BYTES = 400_000
+MEMO = 400_000
+_OTHER = re.compile(r"[\W_]+")
 _SENTENCE = re.compile(r"[.!?]+(?:\s+|$)|\n+")
 PAIRS = "doc_id long, item_id long, lcs double, cosine double, answer boolean"
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """White-space tokens in lower case, of which only letters and digits count."""
+    return [w for w in (_OTHER.sub("", t) for t in text.lower().split()) if w]
 
 
 def answer_of(text: str) -> list[str]:
@@ -94,13 +98,24 @@ def term_positions(docs: DataFrame, items: Items, id_col: str, text_col: str) ->
 
     def run(batches):
         terms = shared.value
+        memo: dict[str, int] = {}  # token -> term, -1 for another word, -2 for no word
         for b in batches:
             n_words, ats, numbers = [], [], []
             for t in b.column(1).to_pylist():
-                found = list(map(terms.get, words_of(t)))
-                numeric = np.array([-1 if x is None else x for x in found], np.int32)
+                tokens = t.split()
+                found = list(map(memo.get, tokens))
+                if None in found:
+                    if len(memo) > MEMO:
+                        memo.clear()
+                    for x in set(tokens).difference(memo):
+                        w = _OTHER.sub("", x.lower())
+                        memo[x] = terms.get(w, -1) if w else -2
+                    found = list(map(memo.__getitem__, tokens))
+                numeric = np.array(found, np.int32)
+                if -2 in found:
+                    numeric = numeric[numeric != -2]
                 at = np.flatnonzero(numeric >= 0).astype(np.int32)
-                n_words.append(len(found))
+                n_words.append(numeric.size)
                 ats.append(at.tobytes())
                 numbers.append(numeric[at].tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int32()), pa.array(ats, pa.binary()), pa.array(numbers, pa.binary())], ["doc_id", "n_words", "at", "term"])
@@ -109,6 +124,20 @@ def term_positions(docs: DataFrame, items: Items, id_col: str, text_col: str) ->
     return rows.mapInArrow(run, "doc_id long, n_words int, at binary, term binary")
 
 
+def slices(batches, column: int):
+    """Runs of rows whose positions (in column) take about CHUNK_BYTES."""
+    for b in batches:
+        sizes = [0 if x is None else len(x) for x in b.column(column).to_pylist()]
+        start = size = 0
+        for i, n in enumerate(sizes):
+            size += n
+            if size >= CHUNK_BYTES:
+                yield b.slice(start, i + 1 - start)
+                start, size = i + 1, 0
+        if start < b.num_rows:
+            yield b.slice(start)
+
+
 class Chunk:
     """The terms of some texts, and which half-window (STRIDE words) each lies in; windows are two halves in a row."""
 
@@ -145,16 +174,14 @@ class Chunk:
 
 
 def document_frequencies(spots: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
-    """By term, the number of passages that hold it; and the number of passages."""
+    """By term, the number of blocks of STRIDE words that hold it; and the number of blocks."""
 
     def run(batches):
         df, n = np.zeros(n_terms, np.int64), 0
-        for b in batches:
+        for b in slices(batches, 1):
             c = Chunk(b, 0)
             n += int((c.halves - 1).sum())
-            first = np.isin(c.half, c.base)  # the first half of a text lies in one window, any other in two
-            pairs = np.concatenate([c.half, c.half[~first] - 1]) * n_terms + np.concatenate([c.term, c.term[~first]])
-            df += np.bincount(np.unique(pairs) % n_terms, minlength=n_terms)
+            df += np.bincount(np.unique(c.half * n_terms + c.term) % n_terms, minlength=n_terms)
         hit = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, -1).astype(np.int64)), pa.array(np.append(df[hit], n))], ["term", "n"])
 
@@ -208,7 +235,7 @@ def latent_basis(spots: DataFrame, items: Items, weight: np.ndarray, passages: i
         def make(batches):
             vectors, w = shared.value
             z = np.zeros((n, width))
-            for b in batches:
+            for b in slices(batches, 1):
                 c = Chunk(b, 0)
                 starts, y = c.windows(w, vectors)
                 if not starts.size:
@@ -233,7 +260,7 @@ def latent_basis(spots: DataFrame, items: Items, weight: np.ndarray, passages: i
         def make(batches):
             vectors, w = shared.value
             g = np.zeros((width, width))
-            for b in batches:
+            for b in slices(batches, 1):
                 y = Chunk(b, 0).windows(w, vectors)[1]
                 g += y.T @ y
             return g
@@ -250,7 +277,7 @@ def latent_basis(spots: DataFrame, items: Items, weight: np.ndarray, passages: i
 def _matcher(shared):
     def run(batches):
         items, weight, basis, latent = shared.value
-        for b in batches:
+        for b in slices(batches, 2):
             c = Chunk(b)
             doc_ids = b.column(0).to_pylist()
             starts, y = c.windows(weight, basis)
