@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import load, text_chunks, whole_text
 
-TRAIN_ROWS = 8000
+TRAIN_ROWS = 5000
 SIZES = (3, 4, 5, 6)
 CELLS = 1 << 20
 Z_MIN = 4.0
