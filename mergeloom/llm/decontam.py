@@ -1,11 +1,13 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Words are white-space tokens in lower case without their other characters than
-letters and digits. Words that occur in the benchmark are the terms; no other word can take part in a
-match, so a text becomes the positions and numbers of its terms, which all later
-passes read instead of the text. Passages are windows of WINDOW words, every
-STRIDE words, over whole texts, weighted by TF-IDF; frequencies count the blocks of STRIDE words, of which a
-passage is two, over all texts. Terms in more than COMMON of the blocks weigh nothing.
+Words are white-space tokens in lower case without ASCII punctuation. Words that
+occur in the benchmark are the terms; no other word can take part in a match, so a
+text becomes the positions and numbers of its terms, which all later passes read
+instead of the text. Passages are windows of WINDOW words, every STRIDE words, over
+whole texts, weighted by TF-IDF; frequencies count the blocks of STRIDE words, of
+which a passage is two, over all texts. A term weighs something if it is in the
+rarer half of an item's words, so every item keeps half of its words however often
+the corpus repeats it, and function words weigh nothing.
 
 A distributed randomised SVD of all passages, with the benchmark's own passages in
 proportion, gives the latent space: each task adds up its part of A'(A G) for a
@@ -28,6 +30,8 @@ arise, for every pair above the limits is reported; empty tables give no rows.
 from __future__ import annotations
 
 import re
+import string
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -38,27 +42,25 @@ from pyspark.sql import functions as F
 from .common import load, materialize, whole_text
 
 WINDOW, STRIDE = 48, 24
-RANK, EXTRA = 256, 16
-COSINE = 0.35
+RANK, EXTRA = 128, 16
+COSINE = 0.5
 VERBATIM, PARAPHRASE = 0.75, 0.6
-COMMON = 0.01
 ITEMS = 4096
 MIN_WORDS = 5
 SEED = 4
 TERM_BLOCK = 512
 CHUNK_BYTES = 400_000
-MEMO = 400_000
-_OTHER = re.compile(r"[\W_]+")
+_PUNCTUATION = string.punctuation.encode()
 _SENTENCE = re.compile(r"[.!?]+(?:\s+|$)|\n+")
 PAIRS = "doc_id long, item_id long, lcs double, cosine double, answer boolean"
 
 
-def words_of(text: str) -> list[str]:
-    """White-space tokens in lower case, of which only letters and digits count."""
-    return [w for w in (_OTHER.sub("", t) for t in text.lower().split()) if w]
+def words_of(text: str) -> list[bytes]:
+    """White-space tokens in lower case without ASCII punctuation."""
+    return text.lower().encode().translate(None, _PUNCTUATION).split()
 
 
-def answer_of(text: str) -> list[str]:
+def answer_of(text: str) -> list[bytes]:
     """The words of the last sentence."""
     parts = [w for w in (words_of(p) for p in _SENTENCE.split(text)) if w]
     return parts[-1] if parts else []
@@ -82,7 +84,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids, self.words, self.answers = [], [], []
-        self.terms: dict[str, int] = {}
+        self.terms: dict[bytes, int] = {}
         for item_id, text in rows:
             words = words_of(text or "")
             if len(words) < MIN_WORDS:
@@ -98,22 +100,11 @@ def term_positions(docs: DataFrame, items: Items, id_col: str, text_col: str) ->
 
     def run(batches):
         terms = shared.value
-        memo: dict[str, int] = {}  # token -> term, -1 for another word, -2 for no word
         for b in batches:
             n_words, ats, numbers = [], [], []
             for t in b.column(1).to_pylist():
-                tokens = t.split()
-                found = list(map(memo.get, tokens))
-                if None in found:
-                    if len(memo) > MEMO:
-                        memo.clear()
-                    for x in set(tokens).difference(memo):
-                        w = _OTHER.sub("", x.lower())
-                        memo[x] = terms.get(w, -1) if w else -2
-                    found = list(map(memo.__getitem__, tokens))
-                numeric = np.array(found, np.int32)
-                if -2 in found:
-                    numeric = numeric[numeric != -2]
+                words = words_of(t)
+                numeric = np.fromiter(map(terms.get, words, repeat(-1)), np.int32, len(words))
                 at = np.flatnonzero(numeric >= 0).astype(np.int32)
                 n_words.append(numeric.size)
                 ats.append(at.tobytes())
@@ -196,6 +187,15 @@ def document_frequencies(spots: DataFrame, n_terms: int) -> tuple[np.ndarray, in
     return df, passages
 
 
+def rarer_halves(items: Items, df: np.ndarray) -> np.ndarray:
+    """Which terms are in the rarer half of some item's distinct words."""
+    out = np.zeros(df.size, bool)
+    for words in items.words:
+        own = np.unique(words)
+        out[own[np.argsort(df[own], kind="stable")][: -(-own.size // 2)]] = True
+    return out
+
+
 def _reduced(spots: DataFrame, make, n_rows: int, width: int) -> np.ndarray:
     """The sum over tasks of a matrix that make(batches) gives; summed by blocks of rows on the executors."""
 
@@ -330,7 +330,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             continue
         spots = materialize(term_positions(docs, items, id_col, text_col), "spots")
         df, passages = document_frequencies(spots, len(items.terms))
-        weight = np.where(df <= max(COMMON * passages, 50), np.log((passages + 1) / (df + 1)) + 1, 0.0)
+        weight = np.where(rarer_halves(items, df), np.log((passages + 1) / (df + 1)) + 1, 0.0)
         basis = latent_basis(spots, items, weight, passages)
         latent = item_matrix(items, weight) @ basis
         norm = np.sqrt((latent**2).sum(axis=1))
