@@ -143,7 +143,7 @@ def lines_to_drop(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, counts: bool = False) -> DataFrame:
     """docs with the repeated lines taken out of text_col; with counts also ``n_lines`` and ``n_dropped`` (replacing columns so named)."""
     drops = materialize(lines_to_drop(docs, id_col, text_col, min_chars, min_docs), "drops")
-    joined = docs.withColumn("_ml_text", whole_text(text_col)).join(drops, F.col(id_col).cast("long").eqNullSafe(F.col("_ml_id")), "left")
+    joined = docs.withColumn("_ml_text", whole_text(text_col)).join(drops.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_ml_id")), "left")
     done = joined.withColumn("_ml_out", _strip(min_chars)("_ml_text", "_ml_drops"))
     columns = {text_col: F.when(F.col(text_col).isNull(), F.lit(None)).otherwise(F.col("_ml_out.text"))}
     if counts:
