@@ -343,7 +343,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that hold a benchmark item."""
     bad = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti")
+    return docs.join(bad.hint("merge"), id_col, "left_anti")
 
 
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,7 +191,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs without the rejected documents."""
     bad = judge(docs, labels, id_col, text_col, lang_col).where(~F.col("keep")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti")
+    return docs.join(bad.hint("merge"), id_col, "left_anti")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,7 +162,7 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """docs without the documents whose component has a smaller doc_id."""
     near = near_duplicates(docs, id_col, text_col, words_per_shingle)
     lost = near.where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(lost, id_col, "left_anti")
+    return docs.join(lost.hint("merge"), id_col, "left_anti")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
