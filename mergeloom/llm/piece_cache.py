@@ -1,10 +1,10 @@
 """Encode texts with a public tokenizer, word by word, behind a bounded cache.
 
-A byte-level BPE with the public word pattern never merges across a space that
-is followed by a visible character, so a text is cut at its spaces and every
+A byte-level BPE with the public word pattern never merges across a line feed or
+a space that is followed by a visible character, so a text is cut there and every
 distinct cut is given to the tokenizers library once. Texts for which that cut
 would not be exact (three white-space characters in a row, or two at the end)
-go to the library whole.
+go to the library whole, as do those with a NUL, which marks pieces here.
 """
 
 from __future__ import annotations
@@ -13,16 +13,22 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _UNSAFE = re.compile(r"\s\s\s|\s\s\Z")
-_LONG = 96
+_LONG = 4096
+_GROUP = 512
 _SPACE = re.compile(r"\s")
 
 
 class PieceCache:
-    """Distinct pieces and their ids, in one flat array; emptied at ``limit``."""
+    """Distinct pieces and their ids, in one flat array; emptied at ``limit``.
+
+    ``encode_many(keys)`` gives the keys in an order of its own, their ids and their counts.
+    """
 
     def __init__(self, encode_many, limit: int = 800_000):
         self.encode_many, self.limit = encode_many, limit
@@ -35,32 +41,37 @@ class PieceCache:
         self.used = 0
 
     def _append(self, keys: list, ids: np.ndarray, counts: np.ndarray) -> None:
-        n, rows, total = len(self.index), counts, ids.size
-        while n + len(rows) + 1 > self.off.size:
+        n, total = len(self.index), ids.size
+        while n + len(keys) + 1 > self.off.size:
             self.off = np.concatenate([self.off, np.zeros_like(self.off)])
         while self.used + total > self.flat.size:
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.off[n + 1 : n + 1 + len(rows)] = self.used + np.cumsum(counts)
+        self.off[n + 1 : n + 1 + len(keys)] = self.used + np.cumsum(counts)
         self.flat[self.used : self.used + total] = ids
         self.used += total
         self.index.update(zip(keys, range(n, n + len(keys)), strict=True))
 
     def rows(self, keys: list) -> np.ndarray:
-        """The cache row of every key: str (a piece after a space) or 1-tuple (the first piece of a text)."""
+        """The cache row of every key; keys are distinct."""
         found = list(map(self.index.get, keys))
         if None in found:
             holes = [i for i, f in enumerate(found) if f is None]
-            missing = {keys[i] for i in holes}
-            if self.index and len(self.index) + len(missing) > self.limit:
+            if self.index and len(self.index) + len(holes) > self.limit:
                 self.clear()
-                holes, missing = range(len(keys)), set(keys)
-            miss = list(missing)
-            self._append(miss, *self.encode_many([k[0] if k.__class__ is tuple else " " + k for k in miss]))
+                holes = range(len(keys))
+            self._append(*self.encode_many([keys[i] for i in holes]))
             index = self.index
             for i in holes:
                 found[i] = index[keys[i]]
         return np.array(found, np.int64)
 
+    def split_rows(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """The cache rows of all words of texts, cut at single spaces, and each text's word count."""
+        words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = words.flatten().dictionary_encode()
+        rows = self.rows(coded.dictionary.to_pylist())
+        return rows[coded.indices.to_numpy()], np.diff(words.offsets.to_numpy())
+
     def expand(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows in order, and the count of each row."""
         start = self.off[rows]
@@ -89,42 +100,59 @@ class CachedEncoder:
     def _many(self, texts: list) -> list:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and counts of pieces. Those without inner white space are joined and encoded together; lengths in bytes tell them apart."""
-        plain = [i for i, p in enumerate(pieces) if p[:1] == " " and len(p) > 1 and not _SPACE.search(p, 1)]
-        rows: list = [None] * len(pieces)
-        for at in range(0, len(plain), 512):
-            own = plain[at : at + 512]
-            group = [pieces[i] for i in own]
-            ids = np.array(self._many(["".join(group)])[0], np.int32)
-            stops = np.cumsum(self.id_bytes[ids])
-            cut = np.searchsorted(stops, np.cumsum([len(p.encode()) for p in group])) + 1
-            for i, a, b in zip(own, [0, *cut[:-1].tolist()], cut.tolist(), strict=True):
-                rows[i] = ids[a:b]
-        odd = [i for i, r in enumerate(rows) if r is None]
-        for i, ids in zip(odd, self._many([pieces[i] for i in odd]), strict=True):
-            rows[i] = np.array(ids, np.int32)
-        counts = np.fromiter(map(len, rows), np.int64, len(rows))
-        return np.concatenate(rows) if rows else np.empty(0, np.int32), counts
+    def _joined(self, words: list, mark: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts of words without white space, each after mark, encoded as one text; lengths in bytes tell them apart."""
+        text = mark + mark.join(words)
+        ids = np.array(self._many([text])[0], np.int32)
+        lens = list(map(len, words)) if text.isascii() else [len(w.encode()) for w in words]
+        cut = np.searchsorted(np.cumsum(self.id_bytes[ids]), np.cumsum(np.array(lens) + 1)) + 1
+        return ids, np.diff(cut, prepend=0)
+
+    def _pieces(self, keys: list) -> tuple[list, np.ndarray, np.ndarray]:
+        """Ids of keys: a word stands for itself after a space, "\\n" for a line feed, and a NUL and a word for that word after neither."""
+        spaced, bare, odd = [], [], []
+        for k in keys:
+            if k == "" or k == "\0" or k == "\n":
+                odd.append(k)
+            elif k[0] == "\0":
+                bare.append(k)
+            else:
+                spaced.append(k)
+        done, ids, counts = [], [], []
+        for kind, mark in ((spaced, " "), (bare, "\n")):
+            for at in range(0, len(kind), _GROUP):
+                group = kind[at : at + _GROUP]
+                if _SPACE.search("".join(group)):
+                    odd += [k for k in group if _SPACE.search(k)]
+                    group = [k for k in group if not _SPACE.search(k)]
+                    if not group:
+                        continue
+                own, n = self._joined(group if mark == " " else [k[1:] for k in group], mark)
+                if mark == "\n":  # the line feed is one id of its own
+                    own = np.delete(own, np.cumsum(n) - n)
+                    n = n - 1
+                done += group
+                ids.append(own)
+                counts.append(n)
+        texts = ["\n" if k == "\n" else k[1:] if k[:1] == "\0" else " " + k for k in odd]
+        rest = [np.array(x, np.int32) for x in self._many(texts)] if odd else []
+        counts.append(np.fromiter(map(len, rest), np.int64, len(rest)))
+        return done + odd, np.concatenate([np.empty(0, np.int32), *ids, *rest]), np.concatenate(counts)
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        keys: list = []
-        cuts = np.zeros(len(texts), np.int64)
+        safe: list = []
+        which: list = []
         whole: dict[int, np.ndarray] = {}
         for i, t in enumerate(texts):
             if not t:
                 continue
-            if _UNSAFE.search(t):
+            if "\0" in t or _UNSAFE.search(t) or (len(t) > _LONG and max(map(len, t.split(" "))) > _LONG):
                 whole[i] = np.array(self._many([t])[0], np.int32)
-                continue
-            parts = t.split(" ")
-            parts[0] = (parts[0],)
-            if len(t) > _LONG * len(parts) and max(map(len, parts)) > 4096:
-                whole[i] = np.array(self._many([t])[0], np.int32)
-                continue
-            keys += parts
-            cuts[i] = len(parts)
-        rows = self.cache.rows(keys)
+            else:
+                safe.append("\0" + t.replace("\n", " \n \0"))
+                which.append(i)
+        cuts = np.zeros(len(texts), np.int64)
+        rows, cuts[which] = self.cache.split_rows(safe)
         ids, counts = self.cache.expand(rows)
         ends = np.concatenate([[0], np.cumsum(counts)])
         bounds = ends[np.concatenate([[0], np.cumsum(cuts)])]

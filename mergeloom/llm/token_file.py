@@ -26,7 +26,7 @@ from . import simple8b
 from .common import load, partitions, scratch_path, text_chunks, whole_text
 from .piece_cache import encoder, public_tokenizer
 
-BLOCK_IDS = 1 << 17
+BLOCK_IDS = 1 << 19
 END_ID = 2
 BLOCK_SCHEMA = "shard int, block int, first long, n_ids long, payload binary"
 DOC_SCHEMA = "shard int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
@@ -73,7 +73,7 @@ def _writer(tokenizer: str, end_id: int, block_ids: int):
 
         for b in batches:
             keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, j in text_chunks(texts, block_ids):
+            for i, j in text_chunks(texts, 4 * block_ids):
                 ids, counts = enc.encode(texts[i:j])
                 ends = np.cumsum(counts)
                 ids = np.insert(ids, ends, end_id)
