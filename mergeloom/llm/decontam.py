@@ -148,14 +148,14 @@ class Chunk:
         """(halves that start a window with weighted terms, the window's vector)."""
         own = np.flatnonzero(weight[self.term] > 0)
         if not own.size:
-            return np.empty(0, np.int64), np.empty((0, vectors.shape[1]))
+            return np.empty(0, np.int64), np.empty((0, vectors.shape[1]), vectors.dtype)
         half, term = self.half[own], self.term[own]
         cut = np.flatnonzero(np.append(True, half[1:] != half[:-1]))
         sums = np.add.reduceat(weight[term][:, None] * vectors[term], cut, axis=0)
         held = half[cut]
         starts = np.union1d(held, held[held > 0] - 1)
         starts = starts[~np.isin(starts, self.base + self.halves - 1)]  # a window may not begin in a closing half
-        out = np.zeros((starts.size, vectors.shape[1]))
+        out = np.zeros((starts.size, vectors.shape[1]), vectors.dtype)
         for shift in (0, 1):
             place = np.searchsorted(held, starts + shift)
             place[place == held.size] = 0
@@ -242,7 +242,7 @@ def latent_basis(spots: DataFrame, items: Items, weight: np.ndarray, passages: i
                     continue
                 hit = np.flatnonzero(w[c.term] > 0)
                 half, term = c.half[hit], c.term[hit]
-                add = np.zeros((hit.size, width))
+                add = np.zeros((hit.size, width), y.dtype)
                 for shift in (0, 1):
                     place = np.searchsorted(starts, half - shift)
                     place[place == starts.size] = 0
@@ -267,16 +267,30 @@ def latent_basis(spots: DataFrame, items: Items, weight: np.ndarray, passages: i
 
         return make
 
-    z = _reduced(spots, project(spark.sparkContext.broadcast((gauss, weight))), n, width) + own.T @ (own @ gauss)
+    z = _reduced(spots, project(spark.sparkContext.broadcast((gauss.astype(np.float32), weight.astype(np.float32)))), n, width) + own.T @ (own @ gauss)
     q, _ = np.linalg.qr(z)
-    g = _reduced(spots, gram(spark.sparkContext.broadcast((q, weight))), width, width) + (own @ q).T @ (own @ q)
+    g = _reduced(spots, gram(spark.sparkContext.broadcast((q.astype(np.float32), weight.astype(np.float32)))), width, width) + (own @ q).T @ (own @ q)
     values, vectors = np.linalg.eigh((g + g.T) / 2)
     return q @ vectors[:, np.argsort(-values)[:rank]]
 
 
+def overlaps(terms: np.ndarray, begin: np.ndarray, stop: np.ndarray, words: list[int]) -> np.ndarray:
+    """For each run terms[begin:stop], how many of words it holds, each as often as both do: no common subsequence is longer."""
+    own, need = np.unique(words, return_counts=True)
+    lens = stop - begin
+    ends = np.cumsum(lens)
+    run = np.repeat(np.arange(lens.size), lens)
+    held = terms[np.repeat(begin - (ends - lens), lens) + np.arange(run.size)]
+    place = np.minimum(np.searchsorted(own, held), own.size - 1)
+    hit = own[place] == held
+    pair, count = np.unique(run[hit] * own.size + place[hit], return_counts=True)
+    return np.bincount(pair // own.size, np.minimum(count, need[pair % own.size]), lens.size)
+
+
 def _matcher(shared):
     def run(batches):
         items, weight, basis, latent = shared.value
+        sizes = np.array([len(w) for w in items.words], np.int64)
         for b in slices(batches, 2):
             c = Chunk(b)
             doc_ids = b.column(0).to_pylist()
@@ -284,23 +298,31 @@ def _matcher(shared):
             norm = np.sqrt((y**2).sum(axis=1))
             y = (y / np.where(norm > 0, norm, 1.0)[:, None]).astype(np.float32)
             best: dict[tuple[int, int], list] = {}
-            offset = np.cumsum(c.sizes) - c.sizes
+            span = int(c.halves.max(initial=1) * STRIDE + 2 * sizes.max(initial=0) + WINDOW)
+            spot = c.doc * span + c.at  # ascending over the chunk
             for i in range(0, starts.size, 8192):
                 cosines = y[i : i + 8192] @ latent.T
-                for w, k in zip(*np.nonzero(cosines >= COSINE), strict=True):
-                    start = int(starts[i + w])
-                    d = int(np.searchsorted(c.base, start, side="right")) - 1
-                    first = (start - int(c.base[d])) * STRIDE
-                    at = c.at[offset[d] : offset[d] + c.sizes[d]]
-                    a, z = np.searchsorted(at, (first - len(items.words[k]), first + WINDOW + len(items.words[k])))
-                    region = c.term[offset[d] + a : offset[d] + z].tolist()
-                    share = lcs_length(items.words[k], region) / len(items.words[k])
-                    if share < PARAPHRASE:
+                window, item = np.nonzero(cosines >= COSINE)
+                doc = np.searchsorted(c.base, starts[i + window], side="right") - 1
+                first = (starts[i + window] - c.base[doc]) * STRIDE
+                # the words before and after a window that an item reaching into it can hold
+                begin = np.searchsorted(spot, doc * span + np.maximum(first - sizes[item], 0))
+                stop = np.searchsorted(spot, doc * span + np.minimum(first + WINDOW + sizes[item], span - 1))
+                order = np.argsort(item, kind="stable")
+                for own in np.split(order, np.flatnonzero(np.diff(item[order])) + 1):
+                    if not own.size:
                         continue
-                    answer = lcs_length(items.answers[k], region) == len(items.answers[k])
-                    if share >= VERBATIM or answer:
-                        seen = best.setdefault((d, int(k)), [0.0, 0.0, False])
-                        best[d, int(k)] = [max(seen[0], share), max(seen[1], float(cosines[w, k])), seen[2] or answer]
+                    k = int(item[own[0]])
+                    words, answers = items.words[k], items.answers[k]
+                    for n in own[overlaps(c.term, begin[own], stop[own], words) >= PARAPHRASE * len(words)]:
+                        region = c.term[begin[n] : stop[n]].tolist()
+                        share = lcs_length(words, region) / len(words)
+                        if share < PARAPHRASE:
+                            continue
+                        answer = lcs_length(answers, region) == len(answers)
+                        if share >= VERBATIM or answer:
+                            seen = best.setdefault((int(doc[n]), k), [0.0, 0.0, False])
+                            seen[:] = max(seen[0], share), max(seen[1], float(cosines[window[n], k])), seen[2] or answer
             found = sorted(best.items())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -335,7 +357,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         latent = item_matrix(items, weight) @ basis
         norm = np.sqrt((latent**2).sum(axis=1))
         latent = (latent / np.where(norm > 0, norm, 1.0)[:, None]).astype(np.float32)
-        shared = spark.sparkContext.broadcast((items, weight, basis, latent))
+        shared = spark.sparkContext.broadcast((items, weight.astype(np.float32), basis.astype(np.float32), latent))
         out = out.union(spots.mapInArrow(_matcher(shared), PAIRS))
     return out.groupBy("doc_id", "item_id").agg(F.max("lcs").alias("lcs"), F.max("cosine").alias("cosine"), F.max("answer").alias("answer"))
 
