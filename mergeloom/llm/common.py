@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,3 +72,16 @@ def text_chunks(texts: list, limit: int = 4_000_000):
             start, size = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def trimmed(run):
+    """run(batches), after which the worker gives freed memory back to the system: a Python worker outlives its stages, and what it holds is missing in the next."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)
+
+    return wrapped

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, materialize, whole_text
+from .common import load, materialize, trimmed, whole_text
 
 WINDOW, STRIDE = 48, 24
 RANK, EXTRA = 128, 16
@@ -112,7 +112,7 @@ def term_positions(docs: DataFrame, items: Items, id_col: str, text_col: str) ->
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int32()), pa.array(ats, pa.binary()), pa.array(numbers, pa.binary())], ["doc_id", "n_words", "at", "term"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_words int, at binary, term binary")
+    return rows.mapInArrow(trimmed(run), "doc_id long, n_words int, at binary, term binary")
 
 
 def slices(batches, column: int):
@@ -208,7 +208,7 @@ def _reduced(spots: DataFrame, make, n_rows: int, width: int) -> np.ndarray:
         total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in pdf["part"])
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "part": [total.astype(np.float32).tobytes()]})
 
-    parts = spots.select("n_words", "at", "term").mapInArrow(run, "block long, part binary").groupBy("block").applyInPandas(add, "block long, part binary")
+    parts = spots.select("n_words", "at", "term").mapInArrow(trimmed(run), "block long, part binary").groupBy("block").applyInPandas(add, "block long, part binary")
     out = np.zeros((n_rows, width))
     for r in parts.collect():  # terms * rank numbers, whatever the corpus
         m = np.frombuffer(bytes(r["part"]), np.float32).reshape(-1, width)
@@ -358,7 +358,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         norm = np.sqrt((latent**2).sum(axis=1))
         latent = (latent / np.where(norm > 0, norm, 1.0)[:, None]).astype(np.float32)
         shared = spark.sparkContext.broadcast((items, weight.astype(np.float32), basis.astype(np.float32), latent))
-        out = out.union(spots.mapInArrow(_matcher(shared), PAIRS))
+        out = out.union(spots.mapInArrow(trimmed(_matcher(shared)), PAIRS))
     return out.groupBy("doc_id", "item_id").agg(F.max("lcs").alias("lcs"), F.max("cosine").alias("cosine"), F.max("answer").alias("answer"))
 
 

@@ -31,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, materialize, text_chunks, whole_text
+from .common import load, materialize, text_chunks, trimmed, whole_text
 
 ORDER = 4
 BITS = 15
 MASK = (1 << BITS) - 1
 START = 2
 HEAD = 1 << 19
+CHUNK = 1_000_000
 QUANTILE = 0.99
 MARGIN = 0.10
 SHORT = 2.0
@@ -61,11 +62,11 @@ def count_ngrams(texts: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             column = b.column(0).to_pylist()
-            for i, j in text_chunks(column):
+            for i, j in text_chunks(column, 2 * CHUNK):
                 keys, n = np.unique(np.concatenate([packed_ngrams(t) for t in column[i:j]]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
 
-    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(trimmed(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -124,8 +125,8 @@ def _scan(shared):
         keys, lps = shared.value
         for b in batches:
             texts = b.column(2).to_pylist()
-            sums, chars, tail_keys, tail_counts = [], [], [], []
-            for i, j in text_chunks(texts):
+            for i, j in text_chunks(texts, CHUNK):
+                sums, tail_keys, tail_counts = [], [], []
                 grams = [packed_ngrams(t) for t in texts[i:j]]
                 sizes = np.array([g.size for g in grams])
                 flat = np.concatenate(grams)
@@ -138,7 +139,6 @@ def _scan(shared):
                     hit, lp = np.zeros(flat.size, bool), np.zeros(flat.size)
                 ends = np.cumsum(sizes)
                 total = np.concatenate([[0.0], np.cumsum(lp)])
-                chars += sizes.tolist()
                 missed = np.flatnonzero(~hit)
                 cuts = np.searchsorted(missed, np.concatenate([[0], ends]))
                 for n, (e, s) in enumerate(zip(ends.tolist(), sizes.tolist(), strict=True)):
@@ -146,10 +146,10 @@ def _scan(shared):
                     k, c = np.unique(flat[missed[cuts[n] : cuts[n + 1]]], return_counts=True)
                     tail_keys.append(k)
                     tail_counts.append(c)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(chars, pa.int64()), pa.array(sums, pa.float64()), pa.array(tail_keys, pa.list_(pa.int64())), pa.array(tail_counts, pa.list_(pa.int64()))],
-                ["doc_id", "lang", "chars", "head_lp", "tail_keys", "tail_counts"],
-            )
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(tail_keys, pa.list_(pa.int64())), pa.array(tail_counts, pa.list_(pa.int64()))],
+                    ["doc_id", "lang", "chars", "head_lp", "tail_keys", "tail_counts"],
+                )
 
     return run
 
@@ -164,7 +164,7 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id"
     lp = materialize(asked.join(lp, "key"), "lp")
     top = lp.where(F.col("n") >= _head_cut(asked, head)).select("key", "lp").toPandas().sort_values("key")  # at most head rows
     shared = spark.sparkContext.broadcast((top["key"].to_numpy(np.int64), top["lp"].to_numpy(np.float64)))
-    scanned = rows.select("doc_id", "lang", "text").mapInArrow(_scan(shared), "doc_id long, lang string, chars long, head_lp double, tail_keys array<long>, tail_counts array<long>")
+    scanned = rows.select("doc_id", "lang", "text").mapInArrow(trimmed(_scan(shared)), "doc_id long, lang string, chars long, head_lp double, tail_keys array<long>, tail_counts array<long>")
     scanned = materialize(scanned.withColumn("row", F.monotonically_increasing_id()), "scanned")
     pairs = scanned.select("row", F.explode(F.arrays_zip("tail_keys", "tail_counts")).alias("t")).select("row", F.col("t.tail_keys").alias("key"), F.col("t.tail_counts").alias("c"))
     tails = pairs.join(lp.select("key", "lp"), "key").groupBy("row").agg(F.sum(F.col("c") * F.col("lp")).alias("tail_lp"))
