@@ -22,6 +22,7 @@ _UNSAFE = re.compile(r"\s\s\s|\s\s\Z")
 _LONG = 4096
 _GROUP = 512
 _SPACE = re.compile(r"\s")
+_RUN = re.compile(rf"(?:\A| )[^ ]{{{_LONG + 1}}}")
 
 
 class PieceCache:
@@ -146,7 +147,7 @@ class CachedEncoder:
         for i, t in enumerate(texts):
             if not t:
                 continue
-            if "\0" in t or _UNSAFE.search(t) or (len(t) > _LONG and max(map(len, t.split(" "))) > _LONG):
+            if "\0" in t or _UNSAFE.search(t) or (len(t) > _LONG and _RUN.search(t)):
                 whole[i] = np.array(self._many([t])[0], np.int32)
             else:
                 safe.append("\0" + t.replace("\n", " \n \0"))

@@ -11,6 +11,7 @@ import numpy as np
 COUNTS = np.array([1, 0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 BITS = np.array([64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 _ORDER = range(2, 16)
+SEGMENT = 2048
 
 
 def _selectors(ids: np.ndarray) -> np.ndarray:
@@ -48,14 +49,7 @@ def pack(ids: np.ndarray) -> np.ndarray:
         best = _narrow(ids)
     else:
         best = _selectors(ids)
-    step = COUNTS[best].tolist()
-    starts = []
-    add = starts.append
-    p = 0
-    while p < n:
-        add(p)
-        p += step[p]
-    starts = np.array(starts, np.int64)
+    starts = _chain(COUNTS[best])
     sel = best[starts].astype(np.int64)
     words_per = np.where(sel == 0, 2, 1)
     place = np.cumsum(words_per) - words_per
@@ -73,6 +67,38 @@ def pack(ids: np.ndarray) -> np.ndarray:
     return out
 
 
+def _chain(step: np.ndarray) -> np.ndarray:
+    """The positions reached from 0 when position p leads to p + step[p].
+
+    All runs of SEGMENT positions are walked at once, each from its own start; then each
+    run's true entry is followed until it meets that walk, which it does after a few words.
+    """
+    n = step.size
+    begin = np.arange(0, n, SEGMENT)
+    stop = np.minimum(begin + SEGMENT, n)
+    hit = np.zeros(n, bool)
+    leave = begin.copy()
+    live, at = np.arange(begin.size), begin
+    while live.size:
+        hit[at] = True
+        at = at + step[at]
+        inside = at < stop[live]
+        if not inside.all():
+            leave[live[~inside]] = at[~inside]
+            live, at = live[inside], at[inside]
+    p = 0
+    for lo, hi, out in zip(begin.tolist(), stop.tolist(), leave.tolist(), strict=True):
+        own = []
+        while p < hi and not hit[p]:
+            own.append(p)
+            p += int(step[p])
+        hit[lo : min(p, hi)] = False
+        hit[own] = True
+        if p < hi:
+            p = out
+    return np.flatnonzero(hit)
+
+
 def _narrow(ids: np.ndarray) -> np.ndarray:
     """_selectors for ids below 2**20, of which three or more always fit; the tail is padded with zeros."""
     small = ids.astype(np.uint32)
