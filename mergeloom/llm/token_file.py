@@ -73,7 +73,7 @@ def _writer(tokenizer: str, end_id: int, block_ids: int):
 
         for b in batches:
             keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, j in text_chunks(texts, 4 * block_ids):
+            for i, j in text_chunks(texts, 8 * block_ids):
                 ids, counts = enc.encode(texts[i:j])
                 ends = np.cumsum(counts)
                 ids = np.insert(ids, ends, end_id)
