@@ -33,7 +33,7 @@ class PieceCache:
     ``encode_many(keys)`` gives the keys in an order of its own, their ids and their counts.
     """
 
-    def __init__(self, encode_many, limit: int = 1_500_000):
+    def __init__(self, encode_many, limit: int = 800_000):
         self.encode_many, self.limit = encode_many, limit
         self.clear()
 
@@ -98,7 +98,7 @@ class CachedEncoder:
         self.id_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():  # in the byte-level alphabet a character is a byte
             self.id_bytes[i] = len(token)
-        self.cache = PieceCache(self._pieces)
+        self.cache = PieceCache(self._pieces, 1_500_000)
 
     def _many(self, texts: list) -> list:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
