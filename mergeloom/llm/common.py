@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ASCII_SPACE = " \t\n\x0b\x0c\r"
+ROW = "__row"
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -48,6 +49,11 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df, written and read back, with a number of its own for every row in ROW."""
+    return materialize(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -1,0 +1,206 @@
+"""Near-duplicates by an exact similarity join of shingle sets.
+
+A document is the set of its shingles of WORDS words, and two documents are linked
+if the Jaccard similarity of their sets is at least 0.8. Two such sets share an
+element among the first n - ceil(0.8 n) + 1 of either, in whatever order of all
+elements; so every set emits that prefix and sets that meet are candidates. The
+order is by a table of hashed counts and then by hash, rare elements first, so few
+others meet; the table has a fixed size and decides nothing else.
+
+Equal sets are one node. Candidates are thinned by size, by what is left after the
+place where they meet and, in the verifying join, compared in full, so no link is
+missed and none is wrong (elements are 64-bit hashes).
+
+Cases: words are white-space tokens, in lower case for A-Z; null and empty texts and
+those of white space have the empty set and are copies of each other; fewer words
+than a shingle has give one shingle; rows that repeat a doc_id are rows of their own;
+of a group the smallest doc_id stays, null last; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import ROW, materialize, numbered, partitions, trimmed, whole_text
+from .graph import connected_components
+
+WORDS = 5
+NUM, DEN = 4, 5  # the similarity
+COUNTERS = 1 << 20
+SAMPLE = 8  # sets a counted set stands for
+BUCKET_ITEMS = 1_500_000
+PAIRS_AT_ONCE = 4_000_000
+HASHED_WORDS = 500_000
+_C, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
+_EMITTED = np.dtype([("token", "<u8"), ("node", "<i8"), ("size", "<i4"), ("place", "<i4")])
+
+
+class WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word, 42)
+        return h
+
+
+def shingles(text: str, hashes: WordHashes, k: int = WORDS) -> np.ndarray:
+    """The distinct shingles of a whole text, as sorted hashes."""
+    words = text.encode().lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    k = min(k, h.size)
+    m = h.size - k + 1
+    total = h[:m] * _C
+    for i in range(1, k):
+        total ^= total >> np.uint64(29)
+        total += h[i : m + i]
+        total *= _GOLD
+    total ^= total >> np.uint64(32)
+    return np.unique(total)
+
+
+def prefix_size(n: np.ndarray | int):
+    return n - -(-n * NUM // DEN) + 1
+
+
+def _sets(k: int):
+    def run(batches):
+        hashes = WordHashes()
+        for b in batches:
+            if len(hashes) > HASHED_WORDS:
+                hashes.clear()
+            own = [shingles(t, hashes, k) for t in b.column(2).to_pylist()]
+            raw = [x.tobytes() for x in own]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array([x.size for x in own], pa.int32()), pa.array([xxhash.xxh3_128_digest(x) for x in raw], pa.binary()), pa.array(raw, pa.binary())],
+                [ROW, "doc_id", "size", "same", "items"],
+            )
+
+    return run
+
+
+def counters(sets: DataFrame) -> np.ndarray:
+    """Roughly how often elements occur, by the first bits of their hashes."""
+
+    def run(batches):
+        counts = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            flat = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64)
+            counts += np.bincount((flat >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
+        blocks = range(0, COUNTERS, 1 << 14)
+        yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array([counts[i : i + (1 << 14)].astype(np.uint32).tobytes() for i in blocks], pa.binary())], ["block", "part"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in pdf["part"])
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "part": [np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()]})
+
+    out = np.zeros(COUNTERS, np.uint32)
+    some = sets.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0)
+    for r in some.select("items").mapInArrow(run, "block long, part binary").groupBy("block").applyInPandas(add, "block long, part binary").collect():  # 4 MB, whatever the corpus
+        out[r["block"] : r["block"] + (1 << 14)] = np.frombuffer(bytes(r["part"]), np.uint32)
+    return out
+
+
+def _emit(shared, buckets: int):
+    def run(batches):
+        rarity = shared.value
+        for b in batches:
+            nodes, items = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for i in range(0, len(nodes), 2048):
+                parts = []
+                for node, raw in zip(nodes[i : i + 2048], items[i : i + 2048], strict=True):
+                    h = np.frombuffer(raw, np.uint64)
+                    first = h[np.argsort(rarity[(h >> np.uint64(44)).astype(np.int64)], kind="stable")[: prefix_size(h.size)]]
+                    out = np.empty(first.size, _EMITTED)
+                    out["token"], out["node"], out["size"], out["place"] = first, node, h.size, np.arange(first.size)
+                    parts.append(out)
+                flat = np.concatenate(parts)
+                at = ((((flat["token"] * _GOLD) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+                order = np.argsort(at, kind="stable")
+                flat, at = flat[order], at[order]
+                ids, start = np.unique(at, return_index=True)
+                ends = np.append(start[1:], at.size)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([flat[s:e].tobytes() for s, e in zip(start, ends, strict=True)], pa.binary())], ["bucket", "block"])
+
+    return run
+
+
+def meeting_pairs(flat: np.ndarray) -> np.ndarray:
+    """Distinct pairs (u < v) of nodes that meet at an element and may be similar by their sizes and places."""
+    flat = flat[np.lexsort((flat["node"], flat["size"], flat["token"]))]
+    cut = np.flatnonzero(np.append(True, flat["token"][1:] != flat["token"][:-1]))
+    group = np.repeat(np.arange(cut.size), np.diff(np.append(cut, flat.size)))
+    # within a group sizes ascend: a partner lies ahead, up to the last of size <= size * DEN / NUM
+    span = int(flat["size"].max(initial=0)) * 2 + 2
+    key = group * span + flat["size"]
+    reach = np.searchsorted(key, group * span + np.minimum(flat["size"].astype(np.int64) * DEN // NUM, span - 1), side="right")
+    ahead = reach - np.arange(flat.size) - 1
+    found = np.empty((0, 2), np.int64)
+    total = np.cumsum(ahead)
+    start = 0
+    while start < flat.size:
+        base = total[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(total, base + PAIRS_AT_ONCE, side="right")))
+        n = ahead[start:stop]
+        a = np.repeat(np.arange(start, stop), n)
+        b = a + 1 + np.arange(a.size) - np.repeat(np.cumsum(n) - n, n)
+        x, y = flat[a], flat[b]
+        both = x["size"].astype(np.int64) + y["size"]
+        # at most all before the places in the one or the other, and all after them in both
+        most = np.minimum(x["place"], y["place"]) + np.minimum(x["size"] - x["place"], y["size"] - y["place"])
+        ok = most.astype(np.int64) * (NUM + DEN) >= NUM * both
+        pairs = np.stack([np.minimum(x["node"], y["node"])[ok], np.maximum(x["node"], y["node"])[ok]], axis=1)
+        found = np.unique(np.concatenate([found, pairs]), axis=0)
+        start = stop
+    return found
+
+
+def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
+    pairs = meeting_pairs(np.frombuffer(b"".join(pdf["block"].tolist()), _EMITTED))
+    return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
+
+
+def _verify(batches):
+    for b in batches:
+        us, vs, ok = b.column(2).to_pylist(), b.column(3).to_pylist(), []
+        for x, y in zip(us, vs, strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            place = np.searchsorted(x, y)
+            place[place == x.size] = 0
+            common = int((x[place] == y).sum())
+            ok.append(common * DEN >= NUM * (x.size + y.size - common))
+        yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+
+def similar_pairs(sets: DataFrame) -> DataFrame:
+    """(u, v) for every two of the distinct sets (node, size, items) with a similarity of at least NUM / DEN."""
+    spark = sets.sparkSession
+    sets = sets.where("size > 0")
+    emitted = sets.agg(F.sum(F.col("size") / DEN + 1)).first()[0] or 0
+    parts = partitions(spark)
+    buckets = max(4 * parts, int(-(-emitted // BUCKET_ITEMS)))
+    shared = spark.sparkContext.broadcast(counters(sets))
+    blocks = sets.select("node", "items").mapInArrow(trimmed(_emit(shared, buckets)), "bucket long, block binary")
+    pairs = materialize(blocks.groupBy("bucket").applyInPandas(_meet, "u long, v long").distinct(), "set-pairs")
+    left = sets.select(F.col("node").alias("u"), F.col("items").alias("x"))
+    right = sets.select(F.col("node").alias("v"), F.col("items").alias("y"))
+    both = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "x", "y")
+    return both.mapInArrow(trimmed(_verify), "u long, v long")
+
+
+def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = WORDS) -> DataFrame:
+    """docs with one row of every group that similar rows link."""
+    held = numbered(docs, "near-rows")
+    shape = held.select(ROW, F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
+    rows = materialize(shape.mapInArrow(trimmed(_sets(words_per_shingle)), f"{ROW} long, doc_id long, size int, same binary, items binary"), "sets")
+    nodes = materialize(rows.groupBy("same").agg(F.min(ROW).alias("node")), "set-nodes")
+    reps = rows.join(nodes.select(F.col("node").alias(ROW)), ROW, "left_semi").select(F.col(ROW).alias("node"), "size", "items")
+    roots = materialize(connected_components(similar_pairs(reps)), "set-roots")
+    grouped = rows.select(ROW, "doc_id", "same").join(nodes, "same").join(roots, "node", "left").select(ROW, "doc_id", F.coalesce("root", "node").alias("root"))
+    first = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), ROW)
+    lost = grouped.withColumn("nth", F.row_number().over(first)).where("nth > 1").select(ROW)
+    return held.join(lost.hint("merge"), ROW, "left_anti").select(docs.columns)

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from mergeloom.llm import chat, decontam, kneser_ney, line_runs, nbsvm, pieces, shards, simhash, simple8b, token_file, topk
+from mergeloom.llm import chat, decontam, kneser_ney, line_runs, nbsvm, pieces, set_join, shards, simhash, simple8b, token_file, topk
 from mergeloom.llm.common import scratch_path
 from mergeloom.llm.piece_cache import encoder, public_tokenizer
 
@@ -103,6 +103,47 @@ def test_simhash(spark, docs):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_set_join(spark):
+    """The stage of the pipeline keeps one of every group linked by a 5-word Jaccard similarity of 0.8."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    rows = []
+    for _ in range(25):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(30, 200))]
+        rows.append(" ".join(base))
+        for share in (0.0, 0.005, 0.01, 0.02, 0.03, 0.05):
+            rows.append(" ".join(f"x{rng.randrange(3000)}" if rng.random() < share else w for w in base))
+    rows += ["Near  copy", "near copy", None, "", " \t"]
+    ids = [i if i % 40 else None for i in range(len(rows))]
+    ids[3] = 2
+    df = spark.createDataFrame([(i, t, "en") for i, t in zip(ids, rows, strict=True)], "doc_id long, text string, lang string")
+    sets = []
+    for t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x == y or len(x & y) * 5 >= len(x | y) * 4:
+                root[find(i)] = find(j)
+    groups = collections.defaultdict(list)
+    for i in range(len(rows)):
+        groups[find(i)].append(i)
+    want = sorted((min((ids[i] is None, ids[i] or 0) for i in g) for g in groups.values()))
+    assert 25 < len(groups) < len(rows) - 50
+    got = corpus_pipeline.near_duplicates(spark, df, "")
+    assert got.columns == df.columns
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got.collect()) == want
+    assert set_join.keep_one_per_group(df.limit(0)).count() == 0
+
+
 def test_sampling_law():
     found = [(3, "▁", -2.0), (4, "a", -1.5), (5, "b", -1.0), (6, "ab", -1.2), (7, "▁a", -2.2)]
     vocab = pieces.Vocabulary(found, [9 + i for i in range(256)])
