@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import load, materialize
 
 K = 5
 EVERY = 50
@@ -103,8 +103,7 @@ def _searcher(query_ids: np.ndarray, query_rows: np.ndarray, k: int, rows_at_onc
         d = max(query_rows.shape[1], max(r.shape[1] for r in held_rows))
         ids = np.concatenate(held_ids)
         rows = np.concatenate([fit(r, d) for r in held_rows])
-        both = np.unique(np.column_stack([ids.astype(np.float64), np.arange(ids.size)])[:, 1].astype(np.int64))
-        block = VerticalBlock(ids[both], rows[both])
+        block = VerticalBlock(ids, rows)
         queries = fit(query_rows, d)
         found = [(int(i), *block.best(int(i), q, k)) for i, q in zip(query_ids, queries, strict=True)]
         counts = [f[1].size for f in found]
@@ -139,7 +138,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
     """(query_id, rank, vec_id, score): each query's k best rows of vectors."""
     spark = vectors.sparkSession
     shape = [F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")]
-    rows = vectors.select(*shape).where("vec_id IS NOT NULL")
+    rows = materialize(vectors.select(*shape).where("vec_id IS NOT NULL").distinct(), "vectors")  # a repeat would take a place among the k best
     asked = queries.select(*shape).where("vec_id IS NOT NULL").distinct()
     total = asked.count()
     groups = max(1, -(-total // QUERY_GROUP))
@@ -151,7 +150,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
         if ok.size:
             hits = hits.union(rows.mapInArrow(_searcher(got["vec_id"].to_numpy(np.int64)[ok], matrix, k), HIT_SCHEMA))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = hits.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -220,6 +220,24 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_repeats(spark):
+    """Rows that repeat id and vector, k or more times and in any task, take one place; other vectors of an id take their own."""
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=20).tolist()) for i in range(30)]
+    best = [3 * x for x in rows[0][1]]
+    turned = [*best[:2], best[3], best[2], *best[4:]]
+    rows += [(500, best)] * 7 + [(501, best)] * 6 + [(50, turned)] * 5 + [(502, [0.0] * 20), (502, [0.001] * 20), (502, [0.002] * 20)]
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts)
+        got = [(r["query_id"], r["vec_id"], r["score"]) for r in topk.top_k(df, df.where("vec_id % 50 = 0 AND vec_id < 50 ")).orderBy("query_id", "rank").collect()]
+        held = [(i, np.floor(np.array(v) * 256)) for i, v in {(i, tuple(v)) for i, v in rows}]
+        q = dict(held)[0]
+        want = sorted(((0, i, int(q @ v)) for i, v in held if i != 0), key=lambda x: (-x[2], x[1]))[:5]
+        assert got == want and len({x[1] for x in got}) == 5
+    few = spark.createDataFrame([(0, [1.0]), *[(2, [0.001])] * 6, (2, [0.002]), (3, [-1.0])], "vec_id long, embedding array<double>").repartition(1)
+    assert [(r["vec_id"], r["score"]) for r in topk.top_k(few, few.where("vec_id = 0")).orderBy("rank").collect()] == [(2, 0), (2, 0), (3, -65536)]
+
+
 def test_shards(spark, docs):
     rng = random.Random(1)
     many = spark.createDataFrame([(i, f"t{i % 400} " * rng.randint(1, 90) if i < 500 else f"copy {i % 3}") for i in range(900)], "doc_id long, text string")
