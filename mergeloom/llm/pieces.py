@@ -44,8 +44,8 @@ SAMPLES = 2
 SEED = 20
 CHUNK = 800_000
 MARK = "▁"
-SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, decoded boolean, samples array<struct<n_pieces: long, ids_crc32: long, log_prob: double, inclusion: double, decoded: boolean>>"
-SCHEMA_IDS = "doc_id long, ids array<int>, samples array<struct<ids: array<int>, log_prob: double, inclusion: double>>"
+SCHEMA = "doc_id long, ids array<int>, samples array<struct<ids: array<int>, log_prob: double, inclusion: double>>"
+SCHEMA_DIGEST = "doc_id long, ids array<int>, text string, n_pieces long, ids_crc32 long, decoded boolean, samples array<struct<ids: array<int>, log_prob: double, inclusion: double, n_pieces: long, ids_crc32: long, decoded: boolean>>"
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -459,8 +459,20 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *parts]).astype(np.int32)))
+
+
+def _digests(vocab: Vocabulary, parts: list[np.ndarray], raw: list[bytes]) -> tuple[list[pa.Array], list[bytes]]:
+    """Of segmentations of raw: the number of pieces, the checksum of the ids and whether they decode to it; and what they decode to."""
+    texts = [vocab.decode(x.astype(np.int64)) for x in parts]
+    return [pa.array([x.size for x in parts], pa.int64()), pa.array([_crc(x) for x in parts], pa.int64()), pa.array([a == b for a, b in zip(texts, raw, strict=True)], pa.bool_())], texts
+
+
 def segment(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = SEED, theta: float = 1.0, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """Every row's library encoding and k sampled segmentations: ids, or with digest their counts, checksums and whether they decode to the text."""
+    """Every row's library encoding and k sampled segmentations, as ids; with digest also the text decoded from the encoding, and of each segmentation its count, checksum and whether it decodes to the row's text."""
+    digests = ["n_pieces", "ids_crc32", "decoded"]
 
     def run(batches):
         own = pieces(model, theta)
@@ -471,20 +483,20 @@ def segment(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = SEED, the
                 words = Words(texts[i:j])
                 best = own.encode(texts[i:j], words)
                 drawn = sample(own.vocab, texts[i:j], keys[i:j], k, seed, words)
-                out = {"doc_id": column.slice(i, j - i)}
+                flat = [x for d in drawn for x, _, _ in d]
+                out = {"doc_id": column.slice(i, j - i), "ids": _lists(best)}
+                item = {"ids": _lists(flat), "log_prob": pa.array([lp for d in drawn for _, lp, _ in d], pa.float64()), "inclusion": pa.array([q for d in drawn for _, _, q in d], pa.float64())}
                 if digest:
                     raw = [t.encode() for t in texts[i:j]]
-                    check = lambda ids, text: own.vocab.decode(ids.astype(np.int64)) == text
-                    out |= {"n_pieces": [x.size for x in best], "ids_crc32": [_crc(x) for x in best], "decoded": [check(x, t) for x, t in zip(best, raw, strict=True)]}
-                    out["samples"] = [[{"n_pieces": x.size, "ids_crc32": _crc(x), "log_prob": lp, "inclusion": q, "decoded": check(x, t)} for x, lp, q in d] for d, t in zip(drawn, raw, strict=True)]
-                else:
-                    out |= {"ids": best, "samples": [[{"ids": x, "log_prob": lp, "inclusion": q} for x, lp, q in d] for d in drawn]}
-                yield pa.RecordBatch.from_arrays([out["doc_id"], *(pa.array(out[n], types[n]) for n in types)], ["doc_id", *types])
+                    values, decoded = _digests(own.vocab, best, raw)
+                    out |= {"text": pa.array([t.decode("utf-8", "replace") for t in decoded], pa.string())} | dict(zip(digests, values, strict=True))
+                    item |= dict(zip(digests, _digests(own.vocab, flat, [t for t, d in zip(raw, drawn, strict=True) for _ in d])[0], strict=True))
+                cuts = np.concatenate([[0], np.cumsum([len(d) for d in drawn])])
+                out["samples"] = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays(list(item.values()), list(item)))
+                yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
-    item = {"n_pieces": pa.int64(), "ids_crc32": pa.int64(), "log_prob": pa.float64(), "inclusion": pa.float64(), "decoded": pa.bool_()} if digest else {"ids": pa.list_(pa.int32()), "log_prob": pa.float64(), "inclusion": pa.float64()}
-    types = ({"n_pieces": pa.int64(), "ids_crc32": pa.int64(), "decoded": pa.bool_()} if digest else {"ids": pa.list_(pa.int32())}) | {"samples": pa.list_(pa.struct(item))}
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    return rows.mapInArrow(trimmed(run), SCHEMA if digest else SCHEMA_IDS)
+    return rows.mapInArrow(trimmed(run), SCHEMA_DIGEST if digest else SCHEMA)
 
 
 def decode(rows: DataFrame, model: str, ids_col: str = "ids", to: str = "text") -> DataFrame:

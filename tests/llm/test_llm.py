@@ -183,6 +183,26 @@ def test_pieces(spark, docs):
     assert [r["text2"] for r in pieces.decode(full, model, to="text2").orderBy("doc_id").collect()] == [r["text"] for r in docs.where("doc_id < 5").orderBy("doc_id").collect()]
 
 
+def test_pieces_query(spark):
+    """The registered query and the last stage give ids, samples and the decoded text of every row."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in rows.collect()}
+    own = pieces.pieces(public_tokenizer("piece_bpe_32k.model"), 1.0)
+    for out in (pieces.op3_pieces(spark, sf), corpus_pipeline.segment(spark, rows, sf)):
+        got = out.collect()
+        assert len(got) == rows.count()
+        for r in got:
+            t = texts[r["doc_id"]]
+            assert r["ids"] == own.sp.encode(t) and r["text"] == t and r["decoded"]
+            assert r["n_pieces"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+            assert len(r["samples"]) == (2 if t else 1) and len({tuple(x["ids"]) for x in r["samples"]}) == len(r["samples"])
+            for x in r["samples"]:
+                assert own.vocab.decode(np.array(x["ids"], np.int64)).decode() == t and x["n_pieces"] == len(x["ids"])
+
+
 def test_decontamination(spark):
     rng = random.Random(5)
     vocab = [f"w{i}" for i in range(4000)] + ["the", "of"] * 400
