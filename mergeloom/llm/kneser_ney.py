@@ -1,8 +1,10 @@
 """Quality by an interpolated modified Kneser-Ney model of trusted text.
 
 The model is over characters, of order 4: an n-gram of characters is one long of
-15 bits a character (code points above 0x7FFE share the last code). Trusted text
-is that of documents labelled as good. Its n-grams are counted by partial
+15 bits a symbol. The characters that occur are numbered, the most frequent first;
+those beyond the numbers there are (about 30,000) are spelled in two symbols kept
+for that, so different characters always stay different. Trusted text is that of
+documents labelled as good. Its n-grams are counted by partial
 aggregation; lower orders take continuation counts; discounts come from the counts
 of counts.
 
@@ -37,6 +39,9 @@ ORDER = 4
 BITS = 15
 MASK = (1 << BITS) - 1
 START = 2
+LEAD, TRAIL = MASK + 1 - 1088 - 1024, MASK + 1 - 1024  # the symbols that spell a character: its code point over 1024, and the rest
+SINGLE = LEAD  # symbols below stand for a character each, but for START
+SPELLED = 0xFFFF
 HEAD = 1 << 19
 CHUNK = 1_000_000
 QUANTILE = 0.99
@@ -44,10 +49,36 @@ MARGIN = 0.10
 SHORT = 2.0
 
 
-def packed_ngrams(text: str) -> np.ndarray:
-    """The n-gram that ends at each character."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    codes = np.concatenate([np.full(ORDER - 1, START, np.int64), np.minimum(codes, MASK)])
+def symbol_table(points: np.ndarray) -> np.ndarray:
+    """By code point, its symbol: the first of points take one each, all others the mark SPELLED."""
+    table = np.full(0x110000, SPELLED, np.uint16)
+    points = points[: SINGLE - 1]
+    table[points] = np.delete(np.arange(SINGLE), START)[: points.size]
+    return table
+
+
+def plain_table() -> np.ndarray:
+    """Code points that are symbols as they are, as far as these go."""
+    table = np.full(0x110000, SPELLED, np.uint16)
+    table[:SINGLE] = np.arange(SINGLE)
+    table[START] = SPELLED
+    return table
+
+
+_PLAIN = plain_table()
+
+
+def packed_ngrams(text: str, table: np.ndarray | None = None) -> np.ndarray:
+    """The n-gram that ends at each symbol."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    own = (_PLAIN if table is None else table)[points]
+    wide = own == SPELLED
+    own = own.astype(np.int64)
+    if wide.any():
+        at = np.arange(own.size) + np.cumsum(wide) - wide
+        own = np.repeat(own, 1 + wide)
+        own[at[wide]], own[at[wide] + 1] = LEAD + (points[wide] >> 10), TRAIL + (points[wide] & 1023)
+    codes = np.concatenate([np.full(ORDER - 1, START, np.int64), own])
     n = codes.size - ORDER + 1
     key = codes[:n].copy()
     for i in range(1, ORDER):
@@ -56,14 +87,32 @@ def packed_ngrams(text: str) -> np.ndarray:
     return key
 
 
-def count_ngrams(texts: DataFrame) -> DataFrame:
-    """(key, n) of a one-column table of texts."""
+def common_points(texts: DataFrame) -> np.ndarray:
+    """The code points of a one-column table of texts, most frequent first."""
+
+    def run(batches):
+        n = np.zeros(0x110000, np.int64)
+        for b in batches:
+            column = b.column(0).to_pylist()
+            for i, j in text_chunks(column, CHUNK):
+                own = np.bincount(np.frombuffer("".join(column[i:j]).encode("utf-32-le", "surrogatepass"), np.uint32))
+                n[: own.size] += own
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["point", "n"])
+
+    rows = texts.mapInArrow(trimmed(run), "point long, n long").groupBy("point").agg(F.sum("n").alias("n")).collect()  # one row a character
+    return np.array([r["point"] for r in sorted(rows, key=lambda r: (-r["n"], r["point"]))], np.int64)
+
+
+def count_ngrams(texts: DataFrame, shared=None) -> DataFrame:
+    """(key, n) of a one-column table of texts; shared: the broadcast table of symbols."""
 
     def run(batches):
+        table = None if shared is None else shared.value
         for b in batches:
             column = b.column(0).to_pylist()
             for i, j in text_chunks(column, 2 * CHUNK):
-                keys, n = np.unique(np.concatenate([packed_ngrams(t) for t in column[i:j]]), return_counts=True)
+                keys, n = np.unique(np.concatenate([packed_ngrams(t, table) for t in column[i:j]]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
 
     return texts.mapInArrow(trimmed(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
@@ -120,14 +169,15 @@ def _head_cut(counts: DataFrame, limit: int) -> int:
     return cut if cut is not None else 1 << 62
 
 
-def _scan(shared):
+def _scan(shared, symbols):
     def run(batches):
         keys, lps = shared.value
+        table = symbols.value
         for b in batches:
             texts = b.column(2).to_pylist()
             for i, j in text_chunks(texts, CHUNK):
                 sums, tail_keys, tail_counts = [], [], []
-                grams = [packed_ngrams(t) for t in texts[i:j]]
+                grams = [packed_ngrams(t, table) for t in texts[i:j]]
                 sizes = np.array([g.size for g in grams])
                 flat = np.concatenate(grams)
                 if keys.size:
@@ -147,7 +197,7 @@ def _scan(shared):
                     tail_keys.append(k)
                     tail_counts.append(c)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(tail_keys, pa.list_(pa.int64())), pa.array(tail_counts, pa.list_(pa.int64()))],
+                    [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array([len(t) for t in texts[i:j]], pa.int64()), pa.array(sums, pa.float64()), pa.array(tail_keys, pa.list_(pa.int64())), pa.array(tail_counts, pa.list_(pa.int64()))],
                     ["doc_id", "lang", "chars", "head_lp", "tail_keys", "tail_counts"],
                 )
 
@@ -158,13 +208,14 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id"
     """(doc_id, lang, chars, nats): nats is the cross entropy a character under the model of the trusted documents."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), whole_text(text_col).alias("text"))
-    trusted = materialize(count_ngrams(rows.join(trusted_ids, "doc_id", "left_semi").select("text")), "trusted-grams")
-    asked = materialize(count_ngrams(rows.select("text")), "asked-grams")
+    symbols = spark.sparkContext.broadcast(symbol_table(common_points(rows.select("text"))))
+    trusted = materialize(count_ngrams(rows.join(trusted_ids, "doc_id", "left_semi").select("text"), symbols), "trusted-grams")
+    asked = materialize(count_ngrams(rows.select("text"), symbols), "asked-grams")
     lp = log_probabilities(trusted, asked)
     lp = materialize(asked.join(lp, "key"), "lp")
     top = lp.where(F.col("n") >= _head_cut(asked, head)).select("key", "lp").toPandas().sort_values("key")  # at most head rows
     shared = spark.sparkContext.broadcast((top["key"].to_numpy(np.int64), top["lp"].to_numpy(np.float64)))
-    scanned = rows.select("doc_id", "lang", "text").mapInArrow(trimmed(_scan(shared)), "doc_id long, lang string, chars long, head_lp double, tail_keys array<long>, tail_counts array<long>")
+    scanned = rows.select("doc_id", "lang", "text").mapInArrow(trimmed(_scan(shared, symbols)), "doc_id long, lang string, chars long, head_lp double, tail_keys array<long>, tail_counts array<long>")
     scanned = materialize(scanned.withColumn("row", F.monotonically_increasing_id()), "scanned")
     pairs = scanned.select("row", F.explode(F.arrays_zip("tail_keys", "tail_counts")).alias("t")).select("row", F.col("t.tail_keys").alias("key"), F.col("t.tail_counts").alias("c"))
     tails = pairs.join(lp.select("key", "lp"), "key").groupBy("row").agg(F.sum(F.col("c") * F.col("lp")).alias("tail_lp"))

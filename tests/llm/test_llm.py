@@ -337,6 +337,21 @@ def test_kneser_ney(spark):
     assert all(r["keep"] for r in kneser_ney.judge(docs, labels.limit(0)).collect())
 
 
+def test_kneser_ney_characters(spark):
+    """Characters above 0x7FFE stay different: random Hangul is told from trusted Hangul; so do those beyond the table."""
+    rng = random.Random(11)
+    words = ["".join(chr(0xAC00 + rng.randrange(11172)) for _ in range(rng.randint(2, 4))) for _ in range(60)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    junk = lambda n: " ".join("".join(chr(0xAC00 + rng.randrange(11172)) for _ in range(rng.randint(2, 4))) for _ in range(n))
+    docs = spark.createDataFrame([(i, say(80), "ko") for i in range(60)] + [(100 + i, junk(80), "ko") for i in range(6)], "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r["keep"] for r in kneser_ney.judge(docs, spark.createDataFrame([(i, 1) for i in range(50)], "doc_id long, quality int")).collect()}
+    assert all(out[i] for i in range(60)) and not any(out[100 + i] for i in range(6))
+    points = np.array([p for p in (*range(0xD800), *range(0xE000, 0x110000))])
+    for table in (None, kneser_ney.symbol_table(points), kneser_ney.symbol_table(points[::-1])):
+        own = [tuple((kneser_ney.packed_ngrams(chr(p), table) & kneser_ney.MASK).tolist()) for p in points[::7]]
+        assert len(set(own)) == len(own) and max(map(max, own)) <= kneser_ney.MASK and (kneser_ney.START,) not in own
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     rows, marks = [], []
