@@ -125,3 +125,37 @@ def test_registry():
     assert set(ORACLE_SQL) <= set(QUERIES) and st.standardizer("name") is st.person_name
     with pytest.raises(ValueError):
         st.standardizer("no such")
+
+
+def test_whole_assignment(spark):
+    """The exact solver against brute force, over the whole tables of the query and on random components beyond SMALL."""
+    import numpy as np
+
+    from mergeloom.operators import assign
+    from mergeloom.plans import queries
+
+    def best(gain):
+        """Largest total gain, by the sets of columns in use."""
+        totals = {0: 0.0}
+        for row in gain:
+            grown = dict(totals)
+            for used, total in totals.items():
+                for j in np.flatnonzero(row > 0):
+                    if not used >> int(j) & 1:
+                        key = used | 1 << int(j)
+                        grown[key] = max(grown.get(key, 0.0), total + row[j])
+            totals = grown
+        return max(totals.values())
+
+    rng = np.random.default_rng(3)
+    for shape in ((7, 8), (8, 7), (9, 9), (3, 10), (10, 3)):
+        gain = np.where(rng.random(shape) < 0.6, rng.integers(1, 6, shape) / 8, 0.0)
+        chosen = assign.optimal(gain)
+        used = [j for j in chosen if j >= 0]
+        assert len(set(used)) == len(used) and sum(gain[i, j] for i, j in enumerate(chosen) if j >= 0) == best(gain)
+    sf = "/root/testdata/sf0.001"
+    r = [x[0] for x in queries.load(spark, sf, "region").select("r_regionkey").collect()]
+    n = [x[0] for x in queries.load(spark, sf, "nation").select("n_nationkey").collect()]
+    gain = np.array([[max(((i * 7 + j * 13) % 11 + 1) / 11 - 0.5, 0.0) for j in n] for i in r])
+    assert max(gain.shape) > assign.SMALL
+    assert queries.QUERIES["entity_assignment_whole"](spark, sf).first()[0] == round(best(gain), 6)
