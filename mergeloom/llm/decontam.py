@@ -1,6 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Words are white-space tokens in lower case without ASCII punctuation. Words that
+Words are white-space tokens (of all of Unicode's white space) in lower case, of
+which only letters and digits count; scripts written without spaces are cut into
+characters. Words that
 occur in the benchmark are the terms; no other word can take part in a match, so a
 text becomes the positions and numbers of its terms, which all later passes read
 instead of the text. Passages are windows of WINDOW words, every STRIDE words, over
@@ -21,8 +23,11 @@ more if the item's answer, its last sentence, is found in order as well.
 The benchmark is sent to every task in blocks of ITEMS items, so what is broadcast
 is bounded; a larger benchmark takes further rounds.
 
+An item longer than a window is looked for by windows of its own.
+
 Cases: null and empty texts and items hold no terms and match nothing; an item of
-fewer than MIN_WORDS words is too short to tell and is skipped; a null doc_id is
+fewer than MIN_WORDS words is too short for shares and is reported where its words
+stand in a row; a null doc_id is
 reported as null; rows that repeat a doc_id report once an item; ties cannot
 arise, for every pair above the limits is reported; empty tables give no rows.
 """
@@ -30,7 +35,6 @@ arise, for every pair above the limits is reported; empty tables give no rows.
 from __future__ import annotations
 
 import re
-import string
 from itertools import repeat
 
 import numpy as np
@@ -50,14 +54,27 @@ MIN_WORDS = 5
 SEED = 4
 TERM_BLOCK = 512
 CHUNK_BYTES = 400_000
-_PUNCTUATION = string.punctuation.encode()
-_SENTENCE = re.compile(r"[.!?]+(?:\s+|$)|\n+")
+_OTHER = re.compile(r"[^\w\s]|_")
+_ASCII_SPACED = bytes(32 if chr(c).isspace() else c for c in range(256))
+_ASCII_OTHER = bytes(c for c in range(128) if _OTHER.match(chr(c)))
+# Thai, Lao, Tibetan, Burmese, Khmer, kana, CJK ideographs
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+_SENTENCE = re.compile(r"[.!?]+(?:\s+|$)|[\u3002\uff0e\uff01\uff1f\uff61]+|\n+")
 PAIRS = "doc_id long, item_id long, lcs double, cosine double, answer boolean"
 
 
 def words_of(text: str) -> list[bytes]:
-    """White-space tokens in lower case without ASCII punctuation."""
-    return text.lower().encode().translate(None, _PUNCTUATION).split()
+    """White-space tokens in lower case, of which only letters and digits count; scripts without spaces by character."""
+    text = text.lower()
+    if text.isascii():
+        return text.encode().translate(_ASCII_SPACED, _ASCII_OTHER).split()
+    text = _OTHER.sub("", text)
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        if _UNSPACED.search(text):
+            text = _UNSPACED.sub(r" \g<0> ", text)
+    return " ".join(text.split()).encode("utf-8", "surrogatepass").split()
 
 
 def answer_of(text: str) -> list[bytes]:
@@ -80,18 +97,27 @@ def lcs_length(a: list[int], b: list[int]) -> int:
 
 
 class Items:
-    """A block of the benchmark: terms, and the items as term numbers."""
+    """A block of the benchmark: terms, the items as term numbers, and the passages of the items; short items apart."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        self.ids, self.words, self.answers = [], [], []
+        self.ids, self.words, self.answers, self.short = [], [], [], []
         self.terms: dict[bytes, int] = {}
+        self.passages, self.owners = [], []
         for item_id, text in rows:
             words = words_of(text or "")
+            numbers = [self.terms.setdefault(w, len(self.terms)) for w in words]
+            if 0 < len(words) < MIN_WORDS:
+                self.short.append((item_id, numbers))
             if len(words) < MIN_WORDS:
                 continue
+            for start in range(0, max(len(words) - WINDOW, 0) + STRIDE, STRIDE):
+                self.owners.append(len(self.ids))
+                self.passages.append(numbers[max(0, min(start, len(words) - WINDOW)) :][:WINDOW])
+                if start + WINDOW >= len(words):
+                    break
             self.ids.append(item_id)
-            self.words.append([self.terms.setdefault(w, len(self.terms)) for w in words])
-            self.answers.append([self.terms[w] for w in answer_of(text)])
+            self.words.append(numbers)
+            self.answers.append([self.terms.setdefault(w, len(self.terms)) for w in answer_of(text)])
 
 
 def term_positions(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFrame:
@@ -217,8 +243,8 @@ def _reduced(spots: DataFrame, make, n_rows: int, width: int) -> np.ndarray:
 
 
 def item_matrix(items: Items, weight: np.ndarray) -> np.ndarray:
-    m = np.zeros((len(items.ids), weight.size))
-    for i, words in enumerate(items.words):
+    m = np.zeros((len(items.passages), weight.size))
+    for i, words in enumerate(items.passages):
         np.add.at(m[i], words, weight[words])
     return m
 
@@ -228,7 +254,7 @@ def latent_basis(spots: DataFrame, items: Items, weight: np.ndarray, passages: i
     spark, n = spots.sparkSession, weight.size
     width = min(n, rank + EXTRA)
     own = item_matrix(items, weight)
-    own *= np.sqrt(max(1.0, passages / max(1, len(items.ids))))  # the benchmark's passages weigh as much as the corpus
+    own *= np.sqrt(max(1.0, passages / max(1, len(items.passages))))  # the benchmark's passages weigh as much as the corpus
     gauss = np.random.default_rng(SEED).standard_normal((n, width))
 
     def project(shared):
@@ -287,10 +313,24 @@ def overlaps(terms: np.ndarray, begin: np.ndarray, stop: np.ndarray, words: list
     return np.bincount(pair // own.size, np.minimum(count, need[pair % own.size]), lens.size)
 
 
+def runs_of(c: Chunk, short: list[tuple[int, list[int]]]):
+    """(text, item number) wherever the words of a short item stand in a row."""
+    order = np.argsort(c.term, kind="stable")
+    ranked = c.term[order]
+    for k, (_, words) in enumerate(short):
+        at = order[np.searchsorted(ranked, words[0]) : np.searchsorted(ranked, words[0], side="right")]
+        at = at[at + len(words) <= c.term.size]
+        for i, w in enumerate(words[1:], 1):
+            at = at[(c.term[at + i] == w) & (c.at[at + i] == c.at[at] + i) & (c.doc[at + i] == c.doc[at])]
+        for d in np.unique(c.doc[at]).tolist():
+            yield d, k
+
+
 def _matcher(shared):
     def run(batches):
         items, weight, basis, latent = shared.value
         sizes = np.array([len(w) for w in items.words], np.int64)
+        owners = np.array(items.owners, np.int64)
         for b in slices(batches, 2):
             c = Chunk(b)
             doc_ids = b.column(0).to_pylist()
@@ -302,7 +342,8 @@ def _matcher(shared):
             spot = c.doc * span + c.at  # ascending over the chunk
             for i in range(0, starts.size, 8192):
                 cosines = y[i : i + 8192] @ latent.T
-                window, item = np.nonzero(cosines >= COSINE)
+                window, passage = np.nonzero(cosines >= COSINE)
+                item = owners[passage]
                 doc = np.searchsorted(c.base, starts[i + window], side="right") - 1
                 first = (starts[i + window] - c.base[doc]) * STRIDE
                 # the words before and after a window that an item reaching into it can hold
@@ -322,12 +363,15 @@ def _matcher(shared):
                         answer = lcs_length(answers, region) == len(answers)
                         if share >= VERBATIM or answer:
                             seen = best.setdefault((int(doc[n]), k), [0.0, 0.0, False])
-                            seen[:] = max(seen[0], share), max(seen[1], float(cosines[window[n], k])), seen[2] or answer
+                            seen[:] = max(seen[0], share), max(seen[1], float(cosines[window[n], passage[n]])), seen[2] or answer
+            # short items are numbered after the others, and match whole or not at all
+            best |= {(d, len(items.ids) + k): [1.0, 1.0, True] for d, k in runs_of(c, items.short)}
+            ids = items.ids + [i for i, _ in items.short]
             found = sorted(best.items())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([doc_ids[d] for (d, _), _ in found], pa.int64()),
-                    pa.array([items.ids[k] for (_, k), _ in found], pa.int64()),
+                    pa.array([ids[k] for (_, k), _ in found], pa.int64()),
                     pa.array([v[0] for _, v in found], pa.float64()),
                     pa.array([v[1] for _, v in found], pa.float64()),
                     pa.array([v[2] for _, v in found], pa.bool_()),
@@ -348,7 +392,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for r in range(rounds):
         own = asked if rounds == 1 else asked.where(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == r)
         items = Items(sorted((x["item_id"], x["text"]) for x in own.collect()))  # one block of the benchmark
-        if not items.ids:
+        if not items.terms:
             continue
         spots = materialize(term_positions(docs, items, id_col, text_col), "spots")
         df, passages = document_frequencies(spots, len(items.terms))

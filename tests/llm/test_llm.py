@@ -225,6 +225,24 @@ def test_decontamination(spark):
     assert decontam.lcs_length(a, b) == table[-1, -1]
 
 
+def test_decontamination_scripts(spark):
+    """Typographic marks, no-break spaces, scripts without spaces, and items of a few words."""
+    rng = random.Random(13)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    vocab = [f"mot{i}é" for i in range(3000)]
+    french = [rng.choice(vocab) for _ in range(24)]
+    chinese, long, short = han(30), han(400), "zwölf blaue Hähne"
+    bench = spark.createDataFrame([(1, " ".join(french)), (2, chinese + "\u3002"), (3, short), (4, "\u00bf\u2026"), (5, long), (6, "solo")], "item_id long, text string")
+    marked = "\u201c" + "\u00a0: ".join(french) + "\u00a0?\u201d"
+    rows = [(0, " ".join(rng.choice(vocab) for _ in range(200))), (1, "\u00ab" + marked + "\u00bb"), (2, han(50) + "\u300c" + chinese[:12] + "\uff0c" + chinese[12:] + "\u300d" + han(80)), (3, han(300)), (4, "hier \u201eZwölf blaue\u2014Hähne\u201c nicht"), (5, "hier zwölf\u2009blaue \u201eHähne\u201c!"), (6, "blaue Hähne zwölf"), (7, han(33) + long + han(20)), (8, "so solo, x"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, bench).collect())
+    assert got == [(1, 1), (2, 2), (5, 3), (7, 5), (8, 6)]
+    only = [(r["doc_id"], r["item_id"], r["lcs"]) for r in decontam.contaminated(docs, bench.where("item_id IN (3, 4)")).collect()]
+    assert only == [(5, 3, 1.0)]
+    assert decontam.words_of("A_b\x1cc-d\x07e") == decontam.words_of("A_b\x1cc-d\x07e \u2019") == [b"ab", b"cde"]
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=40).tolist()) for i in range(300)]
