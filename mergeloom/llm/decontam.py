@@ -51,6 +51,7 @@ COSINE = 0.5
 VERBATIM, PARAPHRASE = 0.75, 0.6
 ITEMS = 4096
 MIN_WORDS = 5
+ANSWER = 5  # a fifth
 SEED = 4
 TERM_BLOCK = 512
 CHUNK_BYTES = 400_000
@@ -78,9 +79,12 @@ def words_of(text: str) -> list[bytes]:
 
 
 def answer_of(text: str) -> list[bytes]:
-    """The words of the last sentence."""
+    """The words of the last sentence; where that is most of the text, or all of it, the last ANSWER of the words."""
     parts = [w for w in (words_of(p) for p in _SENTENCE.split(text)) if w]
-    return parts[-1] if parts else []
+    words = words_of(text)
+    if parts and 2 * len(parts[-1]) <= len(words):
+        return parts[-1]
+    return words[len(words) - -(-len(words) // ANSWER) :]
 
 
 def lcs_length(a: list[int], b: list[int]) -> int:

@@ -243,6 +243,20 @@ def test_decontamination_scripts(spark):
     assert decontam.words_of("A_b\x1cc-d\x07e") == decontam.words_of("A_b\x1cc-d\x07e \u2019") == [b"ab", b"cde"]
 
 
+def test_decontamination_answers(spark):
+    """A paraphrase of an item of one sentence, and of one whose last sentence is most of it, is found by its final words."""
+    rng = random.Random(17)
+    vocab = [f"w{i}" for i in range(4000)]
+    items = [[rng.choice(vocab) for _ in range(30)] for _ in range(3)]
+    bench = spark.createDataFrame([(0, " ".join(items[0]) + "."), (1, " ".join(items[1][:3]) + ". " + " ".join(items[1][3:])), (2, " ".join(items[2]) + ".")], "item_id long, text string")
+    change = lambda words, at: " ".join("zzz" if i in at else w for i, w in enumerate(words))
+    early, late = set(range(1, 20, 2)), {*range(1, 18, 2), 29}
+    rows = [(0, change(items[0], early)), (1, change(items[1], early)), (2, change(items[2], late)), (3, " ".join(rng.sample(vocab, 4000)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"], r["answer"]) for r in decontam.contaminated(docs, bench).collect()) == [(0, 0, True), (1, 1, True)]
+    assert decontam.answer_of("One two three four. Five six.") == [b"five", b"six"]
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=40).tolist()) for i in range(300)]
