@@ -43,18 +43,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, materialize, trimmed, whole_text
+from .common import ROW, load, materialize, numbered, trimmed, whole_text
 
 WINDOW, STRIDE = 48, 24
-RANK, EXTRA = 128, 16
-COSINE = 0.5
+RANK, EXTRA = 256, 16
+COSINE = 0.35
 VERBATIM, PARAPHRASE = 0.75, 0.6
 ITEMS = 4096
 MIN_WORDS = 5
 ANSWER = 5  # a fifth
 SEED = 4
 TERM_BLOCK = 512
-CHUNK_BYTES = 400_000
+CHUNK_BYTES = 200_000
 _OTHER = re.compile(r"[^\w\s]|_")
 _ASCII_SPACED = bytes(32 if chr(c).isspace() else c for c in range(256))
 _ASCII_OTHER = bytes(c for c in range(128) if _OTHER.match(chr(c)))
@@ -412,8 +412,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that hold a benchmark item."""
-    bad = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad.hint("merge"), id_col, "left_anti")
+    held = numbered(docs, "decontam-rows")
+    bad = contaminated(held, benchmark, ROW, text_col).select(F.col("doc_id").alias(ROW)).distinct()
+    return held.join(bad.hint("merge"), ROW, "left_anti").select(docs.columns)
 
 
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

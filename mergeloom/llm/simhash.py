@@ -27,10 +27,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import load, materialize, partitions, whole_text
+from .common import ROW, load, materialize, numbered, partitions, whole_text
 from .graph import connected_components
 
 RADIUS = 3
@@ -159,10 +159,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3) -> DataFrame:
-    """docs without the documents whose component has a smaller doc_id."""
-    near = near_duplicates(docs, id_col, text_col, words_per_shingle)
-    lost = near.where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(lost.hint("merge"), id_col, "left_anti")
+    """docs with one row of every component: that of the smallest doc_id, null last."""
+    held = numbered(docs, "simhash-rows")
+    near = near_duplicates(held, ROW, text_col, words_per_shingle).select(F.col("doc_id").alias(ROW), "component_id")
+    first = Window.partitionBy("component_id").orderBy(F.col("id").asc_nulls_last(), ROW)
+    lost = near.join(held.select(ROW, F.col(id_col).cast("long").alias("id")), ROW).withColumn("nth", F.row_number().over(first)).where("nth > 1").select(ROW)
+    return held.join(lost.hint("merge"), ROW, "left_anti").select(docs.columns)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,16 +4,16 @@ Candidates lie in vertical layout, one array a dimension. A query's scores are
 accumulated block by block of dimensions, heaviest first; after each block the
 Cauchy-Schwarz bound on the remaining mass gives every candidate a range, the
 k-th best lower end is the threshold, and candidates whose upper end lies below
-it are compacted away. The few survivors are scored exactly in integers.
+it are compacted away. The few survivors are scored exactly in integers, as wide as
+they have to be.
 
 Queries are a stated set. They are taken in groups of QUERY_GROUP rows, whose
 size bounds what is sent to each task; the candidates are scanned once a group.
 Each task keeps its k best rows for a query, and a window merges those.
 
 Cases: a component x becomes floor(256 * x) in double precision; vectors that are
-null, or that hold a null, NaN or infinity, or a component outside of +-2**23
-after scaling (its scores would not be exact), take no part, nor do rows without
-vec_id; a shorter vector counts as filled with zeros; the row of a query is told
+null, or that hold a null, NaN or infinity, take no part, nor do rows without
+vec_id; a component or a score of a hit that is no long raises, as SQL's cast does; a shorter vector counts as filled with zeros; the row of a query is told
 by its vec_id, so a query never meets rows of its own id; rows that repeat id and
 vector count once; ties go to the smaller vec_id; an empty table gives no rows.
 """
@@ -32,7 +32,7 @@ EVERY = 50
 BLOCK = 16
 QUERY_GROUP = 8192
 SCALE = 256
-LIMIT = float(1 << 23)
+LIMIT = float(1 << 63)
 HIT_SCHEMA = "query_id long, vec_id long, score long"
 
 
@@ -42,10 +42,12 @@ def scaled(lists: list) -> tuple[np.ndarray, np.ndarray]:
     for i, x in enumerate(lists):
         if x is None or any(v is None for v in x):
             continue
-        v = np.floor(np.asarray(x, np.float64) * SCALE)
-        if np.isfinite(v).all() and (np.abs(v) <= LIMIT).all():
+        v = np.asarray(x, np.float64)
+        if np.isfinite(v).all():
+            if (np.abs(v) >= LIMIT / SCALE).any():
+                raise OverflowError("a scaled component is beyond a long")
             ok.append(i)
-            rows.append(v)
+            rows.append(np.floor(v * SCALE))
     d = max((r.size for r in rows), default=0)
     out = np.zeros((len(rows), d))
     for i, r in enumerate(rows):
@@ -59,9 +61,13 @@ def fit(m: np.ndarray, d: int) -> np.ndarray:
 
 def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Integer inner products of x's rows with q; float64 is exact below 2**53."""
-    if q.size and float(np.abs(q).max()) * float(np.abs(x).max(initial=0)) * q.size < 2.0**53:
+    bound = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.size
+    if bound < 2.0**53:
         return (x @ q).astype(np.int64)
-    return (x.astype(np.int64) * q.astype(np.int64)).sum(axis=1)
+    x, q = x.astype(np.int64), q.astype(np.int64)
+    if bound < 2.0**62:
+        return (x * q).sum(axis=1)
+    return (x.astype(object) * q.astype(object)).sum(axis=1)
 
 
 class VerticalBlock:
@@ -73,20 +79,21 @@ class VerticalBlock:
         self.order = np.argsort(-weight, kind="stable")
         self.columns = np.ascontiguousarray(rows[:, self.order].T)
         squares = self.columns**2
+        self.norm = np.sqrt(squares.sum(axis=0))
         self.rest = [np.sqrt(squares[b:].sum(axis=0)) for b in range(block, rows.shape[1] + block, block)]
 
     def best(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids and scores of the k best rows for q, ties to the smaller id."""
         q = q[self.order]
         alive = np.flatnonzero(self.ids != query_id)
-        part = None
+        part, length = None, float(np.sqrt((q**2).sum()))
         for n, b in enumerate(range(0, q.size, self.block)):
             take = slice(b, b + self.block)
             columns = self.columns[take] if part is None and alive.size == self.ids.size else self.columns[take][:, alive]
             add = q[take] @ columns
             part = add if part is None else part + add
             slack = float(np.sqrt((q[b + self.block :] ** 2).sum())) * self.rest[n][alive]
-            slack = slack * (1 + 1e-9) + 1e-3  # rounding of the bound itself
+            slack = slack * (1 + 1e-9) + 1e-12 * length * self.norm[alive] + 1e-3  # rounding of the bound itself
             if alive.size > k:
                 floor = np.partition(part - slack, alive.size - k)[alive.size - k]
                 keep = part + slack >= floor
@@ -94,8 +101,11 @@ class VerticalBlock:
             if alive.size <= 4 * k:
                 break
         ids, scores = self.ids[alive], exact_scores(q, self.columns.T[alive])
-        order = np.lexsort((ids, -scores))[:k]
-        return ids[order], scores[order]
+        if scores.dtype == object:
+            order = np.array(sorted(range(ids.size), key=lambda i: (-scores[i], ids[i]))[:k], np.int64)
+        else:
+            order = np.lexsort((ids, -scores))[:k]
+        return ids[order], scores[order].astype(np.int64)
 
 
 def _searcher(query_ids: np.ndarray, query_rows: np.ndarray, k: int, rows_at_once: int = 65536):

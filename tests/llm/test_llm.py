@@ -290,6 +290,39 @@ def test_top_k_repeats(spark):
     assert [(r["vec_id"], r["score"]) for r in topk.top_k(few, few.where("vec_id = 0")).orderBy("rank").collect()] == [(2, 0), (2, 0), (3, -65536)]
 
 
+def test_top_k_large(spark):
+    """Finite vectors of large components take part, with exact scores."""
+    rng = np.random.default_rng(10)
+    rows = [(i, (rng.normal(size=20) * 10.0 ** (i % 6)).tolist()) for i in range(60)]
+    rows += [(100, [1e6 + 1 / 256, 1e6]), (101, [1e6, 1e6]), (102, [-1e9, 3.0]), (103, [1e15, -1e15 + 1]), (104, [1e15, -1e15]), (105, [float("inf")])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    held = {i: [math.floor(x * 256) for x in v] + [0] * (20 - len(v)) for i, v in rows if i != 105}
+    got = collections.defaultdict(list)
+    for r in topk.top_k(df.where("vec_id <> 102"), df.where("vec_id IN (50, 100)").union(spark.createDataFrame([(200, [1.0, 1.0])], df.schema))).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    for q, own in {50: held[50], 200: [256, 256] + [0] * 18}.items():
+        assert got[q] == sorted(((i, sum(a * b for a, b in zip(own, v, strict=True))) for i, v in held.items() if i not in (q, 102)), key=lambda x: (-x[1], x[0]))[:5]
+
+
+def test_filters_by_row(spark):
+    """Rejected and contaminated rows go by row: without an id as well, and a clean row that shares a reject's id stays."""
+    rng = random.Random(21)
+    vocab = [f"w{i}" for i in range(2000)]
+    item, clean = " ".join(rng.choice(vocab) for _ in range(30)), " ".join(rng.choice(vocab) for _ in range(50))
+    docs = spark.createDataFrame([(1, "a " + item), (1, clean), (None, item), (None, clean + " b"), (2, clean + " c")], "doc_id long, text string")
+    kept = decontam.drop_contaminated(docs, spark.createDataFrame([(0, item)], "item_id long, text string"))
+    assert sorted(r["text"] for r in kept.collect()) == sorted([clean, clean + " b", clean + " c"]) and kept.columns == docs.columns
+    copies = spark.createDataFrame([(3, clean), (3, clean), (None, clean), (None, item), (4, clean)], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in simhash.keep_one_per_group(copies).collect()) == sorted([(3, clean), (0, item)])
+    words = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(2, 6))) for _ in range(60)]
+    say = lambda: " ".join(rng.choice(words) for _ in range(80))
+    junk = ["".join(rng.choice("#$%&!QXZ0123") for _ in range(300)) for _ in range(2)]
+    good = [(i, say(), "en") for i in range(60)]
+    docs = spark.createDataFrame([*good, (None, junk[0], "en"), (55, junk[1], "en")], "doc_id long, text string, lang string")
+    kept = kneser_ney.keep_good(docs, spark.createDataFrame([(i, 1) for i in range(50)], "doc_id long, quality int"))
+    assert sorted(r["text"] for r in kept.collect()) == sorted(t for _, t, _ in good)
+
+
 def test_shards(spark, docs):
     rng = random.Random(1)
     many = spark.createDataFrame([(i, f"t{i % 400} " * rng.randint(1, 90) if i < 500 else f"copy {i % 3}") for i in range(900)], "doc_id long, text string")
