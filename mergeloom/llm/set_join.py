@@ -99,7 +99,7 @@ def counters(sets: DataFrame) -> np.ndarray:
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "part": [np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()]})
 
     out = np.zeros(COUNTERS, np.uint32)
-    some = sets.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0)
+    some = sets.where(F.pmod(F.xxhash64(ROW), F.lit(SAMPLE)) == 0)
     for r in some.select("items").mapInArrow(run, "block long, part binary").groupBy("block").applyInPandas(add, "block long, part binary").collect():  # 4 MB, whatever the corpus
         out[r["block"] : r["block"] + (1 << 14)] = np.frombuffer(bytes(r["part"]), np.uint32)
     return out
@@ -176,18 +176,21 @@ def _verify(batches):
         yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
-def similar_pairs(sets: DataFrame) -> DataFrame:
-    """(u, v) for every two of the distinct sets (node, size, items) with a similarity of at least NUM / DEN."""
+def similar_pairs(sets: DataFrame, copies: DataFrame) -> DataFrame:
+    """(u, v) for every two of sets (ROW, size, items) with a similarity of at least NUM / DEN; copies: the rows of sets that repeat others and take no part."""
     spark = sets.sparkSession
     sets = sets.where("size > 0")
     emitted = sets.agg(F.sum(F.col("size") / DEN + 1)).first()[0] or 0
     parts = partitions(spark)
     buckets = max(4 * parts, int(-(-emitted // BUCKET_ITEMS)))
     shared = spark.sparkContext.broadcast(counters(sets))
-    blocks = sets.select("node", "items").mapInArrow(trimmed(_emit(shared, buckets)), "bucket long, block binary")
+    blocks = sets.select(ROW, "items").join(copies, ROW, "left_anti").mapInArrow(trimmed(_emit(shared, buckets)), "bucket long, block binary")
     pairs = materialize(blocks.groupBy("bucket").applyInPandas(_meet, "u long, v long").distinct(), "set-pairs")
-    left = sets.select(F.col("node").alias("u"), F.col("items").alias("x"))
-    right = sets.select(F.col("node").alias("v"), F.col("items").alias("y"))
+    # only the sets that met are moved
+    met = materialize(pairs.select(F.col("u").alias(ROW)).union(pairs.select("v")).distinct(), "sets-met")
+    few = materialize(sets.select(ROW, "items").join(met, ROW, "left_semi"), "sets-few")
+    left = few.select(F.col(ROW).alias("u"), F.col("items").alias("x"))
+    right = few.select(F.col(ROW).alias("v"), F.col("items").alias("y"))
     both = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "x", "y")
     return both.mapInArrow(trimmed(_verify), "u long, v long")
 
@@ -198,8 +201,8 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shape = held.select(ROW, F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     rows = materialize(shape.mapInArrow(trimmed(_sets(words_per_shingle)), f"{ROW} long, doc_id long, size int, same binary, items binary"), "sets")
     nodes = materialize(rows.groupBy("same").agg(F.min(ROW).alias("node")), "set-nodes")
-    reps = rows.join(nodes.select(F.col("node").alias(ROW)), ROW, "left_semi").select(F.col(ROW).alias("node"), "size", "items")
-    roots = materialize(connected_components(similar_pairs(reps)), "set-roots")
+    copies = materialize(rows.select(ROW, "same").join(nodes, "same").where(F.col(ROW) != F.col("node")).select(ROW), "set-copies")
+    roots = materialize(connected_components(similar_pairs(rows, copies)), "set-roots")
     grouped = rows.select(ROW, "doc_id", "same").join(nodes, "same").join(roots, "node", "left").select(ROW, "doc_id", F.coalesce("root", "node").alias("root"))
     first = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), ROW)
     lost = grouped.withColumn("nth", F.row_number().over(first)).where("nth > 1").select(ROW)
