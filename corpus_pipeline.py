@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mergeloom.llm import decontam, kneser_ney, line_runs, pieces, set_join
+from mergeloom.llm import decontam, kneser_ney, line_runs, near_copies, pieces
 from mergeloom.llm.common import load, materialize
 from mergeloom.llm.piece_cache import public_tokenizer
 
@@ -24,7 +24,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return set_join.keep_one_per_group(docs).select(docs.columns)
+    return near_copies.keep_one_per_group(docs).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

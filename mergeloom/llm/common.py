@@ -3,50 +3,51 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
-import uuid
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import drop_path, materialize, scratch_path, shared_dir
+
+__all__ = ["ROW", "bit_filter", "drop_path", "load", "materialize", "numbered", "partitions", "scratch_path", "shared_dir", "text_chunks", "trimmed", "whole_text", "without"]
+
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 ROW = "__row"
+FILTER_BITS = 1 << 25
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``.
+def bit_filter(rows: DataFrame) -> Column:
+    """A predicate on ROW that is true for all ROWs in rows and for few others: a bit array of FILTER_BITS bits, however many rows there are.
 
-    Where that is unset, a local session gets a temporary folder; on a cluster
-    it is an error, since a machine-local folder would lose files.
+    With many more rows than bits it holds for nearly all, and nothing is saved.
     """
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = os.path.join(tempfile.gettempdir(), "mergeloom-checkpoints")
-    return base.rstrip("/")
+    place = lambda: F.pmod(F.xxhash64(ROW), F.lit(FILTER_BITS))
+    by = rows.select((place() + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in by.collect():  # FILTER_BITS bits at most
+        own = np.frombuffer(bytes(r["bits"]), np.uint8)
+        bits[(r["bucket"] - 1) * own.size : r["bucket"] * own.size] = own
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
 
+    @F.pandas_udf("boolean")
+    def held(at: pd.Series) -> pd.Series:
+        x = at.to_numpy()
+        return pd.Series(shared.value[x >> 3] >> (x & 7) & 1 == 1)
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/mergeloom/{name}-{uuid.uuid4().hex}"
+    return held(place())
 
 
-def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back; this cuts its lineage."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def without(held: DataFrame, lost: DataFrame) -> DataFrame:
+    """held without the rows whose ROW is in lost; only rows that a bit array cannot rule out are shuffled."""
+    maybe = bit_filter(lost)
+    return held.where(~maybe).unionByName(held.where(maybe).join(lost.hint("merge"), ROW, "left_anti"))
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
@@ -54,12 +55,6 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return materialize(df.withColumn(ROW, F.monotonically_increasing_id()), name)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, load, materialize, numbered, trimmed, whole_text
+from .common import ROW, load, materialize, numbered, trimmed, whole_text, without
 
 WINDOW, STRIDE = 48, 24
 RANK, EXTRA = 256, 16
@@ -414,7 +414,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """docs without those that hold a benchmark item."""
     held = numbered(docs, "decontam-rows")
     bad = contaminated(held, benchmark, ROW, text_col).select(F.col("doc_id").alias(ROW)).distinct()
-    return held.join(bad.hint("merge"), ROW, "left_anti").select(docs.columns)
+    return without(held, materialize(bad, "leaks")).select(docs.columns)
 
 
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, load, materialize, numbered, text_chunks, trimmed, whole_text
+from .common import ROW, load, materialize, numbered, text_chunks, trimmed, whole_text, without
 
 ORDER = 4
 BITS = 15
@@ -244,7 +244,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     held = numbered(docs, "quality-rows")
     own = held.select(ROW, F.col(id_col).cast("long").alias("doc_id")).join(labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality"), "doc_id").select(F.col(ROW).alias("doc_id"), "quality")
     bad = judge(held, own, ROW, text_col, lang_col).where(~F.col("keep")).select(F.col("doc_id").alias(ROW))
-    return held.join(bad.hint("merge"), ROW, "left_anti").select(docs.columns)
+    return without(held, materialize(bad, "rejected")).select(docs.columns)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,11 +27,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, load, materialize, numbered, partitions, whole_text
-from .graph import connected_components
+from ..operators.components import connected_components
+from .common import load, materialize, partitions, trimmed, whole_text
 
 RADIUS = 3
 BUCKET_VARIANTS = 2_000_000
@@ -142,8 +142,8 @@ def ball_links(fps: DataFrame) -> DataFrame:
     n = fps.count()
     parts = partitions(spark)
     buckets = max(4 * parts, -(-n * 561 // BUCKET_VARIANTS))
-    blocks = fps.select("fp").repartition(parts).mapInArrow(_emit(buckets), "bucket long, block binary")
-    return blocks.groupBy("bucket").applyInPandas(_meet, "u long, v long")
+    blocks = fps.select("fp").repartition(parts).mapInArrow(trimmed(_emit(buckets)), "bucket long, block binary")
+    return blocks.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_meet, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3) -> DataFrame:
@@ -158,15 +158,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3) -> DataFrame:
-    """docs with one row of every component: that of the smallest doc_id, null last."""
-    held = numbered(docs, "simhash-rows")
-    near = near_duplicates(held, ROW, text_col, words_per_shingle).select(F.col("doc_id").alias(ROW), "component_id")
-    first = Window.partitionBy("component_id").orderBy(F.col("id").asc_nulls_last(), ROW)
-    lost = near.join(held.select(ROW, F.col(id_col).cast("long").alias("id")), ROW).withColumn("nth", F.row_number().over(first)).where("nth > 1").select(ROW)
-    return held.join(lost.hint("merge"), ROW, "left_anti").select(docs.columns)
-
-
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = near_duplicates(load(spark, sf_dir, "documents"))
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
