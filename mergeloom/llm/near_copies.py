@@ -7,15 +7,17 @@ independent fingerprints of BITS bits each, nearly every linked pair has one tha
 RADIUS bits. So every fingerprint emits its variants within half the radius, the variants are
 shuffled, and texts that meet at a variant are candidates.
 
-Where more than HUBS + 1 texts meet, each is first compared with HUBS of them only, which joins most
-in a number of pairs in proportion to the texts. What these pairs leave in different
-components is compared in a second pass, which meets the texts of such crowds
-again and takes all pairs across components. So every pair that collides is either
-compared or already joined. Every comparison is of the whole sets.
+Where FEW texts or fewer meet, all pairs of them are compared. Where more meet, first those with
+equal fingerprints are compared with one of them, in a number of pairs in proportion to the texts,
+which joins most. Then the texts that such crowds link are a set of their own: of those sets that
+are not one component yet, the texts outside of the largest component are compared with
+all others, in tiles of TILE texts, so no task holds a whole crowd and no pairs are written but
+those that join. So every two that collide are compared or already joined, and every
+comparison is of the whole sets.
 
 Texts with the same words in the same order are one node. Variants travel in binary
-blocks, eight bytes a variant. Only texts that met are moved: a bit array of fixed size thins
-the rows before the join, and decides nothing.
+blocks, eight bytes a variant. Only the sets of texts that met are moved: a bit array of fixed
+size thins the rows before the join, and decides nothing.
 
 What is lost is what no fingerprint brings together; tests and the README give the
 recall against the exact join.
@@ -41,13 +43,15 @@ from .common import ROW, bit_filter, materialize, numbered, partitions, trimmed,
 WORDS = 5
 NUM, DEN = 4, 5  # the similarity
 TABLES, BITS, RADIUS = 8, 44, 2
-HUBS = 2
+FEW = 3
+TILE = 256
 BUCKET_VARIANTS = 2_000_000
-PAIRS_AT_ONCE = 2_000_000
+SHINGLES_AT_ONCE = 4096
 HASHED_WORDS = 500_000
 _C, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
 _FLIPS = np.array([0, *(1 << i for i in range(BITS))], np.uint64)  # half of RADIUS
-_KEY_BYTES = 6  # a variant and its table
+_KEY_BYTES = 6  # a variant, its table, and whether it is the fingerprint itself
+_OWN = np.uint64(1 << 47)
 #: A byte's bits, each in a byte of its own: sums of up to 255 of them stay apart.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
@@ -79,8 +83,8 @@ def shingles(h: np.ndarray, k: int = WORDS) -> np.ndarray:
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
     """Whether two sets, sorted, have a Jaccard similarity of NUM / DEN or more."""
-    if min(x.size, y.size) * DEN < NUM * max(x.size, y.size):
-        return False
+    if not x.size or min(x.size, y.size) * DEN < NUM * max(x.size, y.size):
+        return x.size == y.size
     place = np.searchsorted(x, y)
     place[place == x.size] = 0
     common = int((x[place] == y).sum())
@@ -130,21 +134,6 @@ def _runs(nodes: np.ndarray, limit: int = 2048):
 
 
 _TABLES = (np.arange(TABLES, dtype=np.uint64) << np.uint64(BITS))[None, :, None]
-_CROWDED = np.dtype([("key", "<u8"), ("node", "<i8"), ("root", "<i8")])
-
-
-def _variants(prints: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(variant with its table, row, bucket) of all variants, in the order of buckets."""
-    keys = ((prints[:, :, None] ^ _FLIPS) | _TABLES).ravel()
-    who = np.repeat(np.arange(prints.shape[0], dtype=np.uint16), TABLES * _FLIPS.size)
-    at = ((_mix(keys) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(at, kind="stable")
-    return keys[order], who[order], at[order]
-
-
-def _cut(at: np.ndarray):
-    ids, first = np.unique(at, return_index=True)
-    return ids, list(zip(first.tolist(), [*first[1:].tolist(), at.size], strict=True))
 
 
 def _emit(buckets: int):
@@ -155,26 +144,16 @@ def _emit(buckets: int):
             nodes = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             prints = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(-1, TABLES)
             for i, j in _runs(nodes):
-                keys, who, at = _variants(prints[i:j], buckets)
-                keys = keys.view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES]
-                ids, cuts = _cut(at)
+                keys = (prints[i:j, :, None] ^ _FLIPS) | _TABLES
+                at = ((_mix(keys) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64).ravel()
+                keys[:, :, 0] |= _OWN
+                who = np.repeat(np.arange(j - i, dtype=np.uint16), TABLES * _FLIPS.size)
+                order = np.argsort(at, kind="stable")
+                keys, who, at = keys.ravel()[order].view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES], who[order], at[order]
+                ids, first = np.unique(at, return_index=True)
+                ends = np.append(first[1:], at.size)
                 base = nodes[i : i + 1].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([base + keys[s:e].tobytes() + who[s:e].tobytes() for s, e in cuts], pa.binary())], ["bucket", "block"])
-
-    return run
-
-
-def _emit_crowd(buckets: int):
-    def run(batches):
-        for b in batches:
-            nodes, roots = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 2))
-            prints = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(-1, TABLES)
-            for i in range(0, nodes.size, 2048):
-                keys, who, at = _variants(prints[i : i + 2048], buckets)
-                flat = np.empty(keys.size, _CROWDED)
-                flat["key"], flat["node"], flat["root"] = keys, nodes[i : i + 2048][who], roots[i : i + 2048][who]
-                ids, cuts = _cut(at)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([flat[s:e].tobytes() for s, e in cuts], pa.binary())], ["bucket", "block"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([base + keys[s:e].tobytes() + who[s:e].tobytes() for s, e in zip(first, ends, strict=True)], pa.binary())], ["bucket", "block"])
 
     return run
 
@@ -209,107 +188,128 @@ def _spans(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(cut, size), np.repeat(cut + size, size)
 
 
-def hub_pairs(keys: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    """Pairs (u < v) of HUBS nodes of each group with all others of it; (u, u) for nodes of groups too large for these to be all pairs."""
+def _stars(keys: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """(hub, other) for every other node of each group of sorted keys; the hub is its first node."""
+    start, _ = _spans(keys)
+    other = start != np.arange(keys.size)
+    return np.stack([nodes[start[other]], nodes[other]], axis=1)
+
+
+def met_pairs(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs to compare, links of crowds), u < v: keys are variants, marked by _OWN if not flipped."""
+    own, keys = keys & _OWN != 0, keys & ~_OWN
     hit = _met(keys)
-    keys, nodes = keys[hit], nodes[hit]
-    order = np.lexsort((_mix(nodes.view(np.uint64)), keys))
-    keys, nodes = keys[order], nodes[order]
+    own, keys, nodes = own[hit], keys[hit], nodes[hit]
+    order = np.lexsort((_mix(nodes.view(np.uint64)), keys))  # one order of nodes everywhere, so few are hubs
+    own, keys, nodes = own[order], keys[order], nodes[order]
     start, end = _spans(keys)
-    place = np.arange(keys.size) - start
-    found = [np.stack([nodes[start[ok] + h], nodes[ok]], axis=1) for h in range(HUBS) for ok in [place > h]]
-    crowd = nodes[end - start > HUBS + 1]
-    pairs = np.concatenate([*found, np.stack([crowd, crowd], axis=1)])
-    return np.unique(np.sort(pairs, axis=1), axis=0)
-
-
-def cross_pairs(keys: np.ndarray, nodes: np.ndarray, roots: np.ndarray) -> np.ndarray:
-    """All pairs (u < v) of nodes of one group that have different roots."""
-    order = np.lexsort((roots, keys))
-    keys, nodes, roots = keys[order], nodes[order], roots[order]
-    _, end = _spans(keys)
-    own_end = np.flatnonzero(np.append((keys[1:] != keys[:-1]) | (roots[1:] != roots[:-1]), True)) + 1
-    own_end = own_end[np.searchsorted(own_end, np.arange(keys.size), side="right")]
-    ahead = end - own_end  # partners of an entry: from the end of its root's run to the end of its group
-    total = np.cumsum(ahead)
-    found, start = np.empty((0, 2), np.int64), 0
-    while start < keys.size:
-        base = total[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(total, base + PAIRS_AT_ONCE, side="right")))
-        n = ahead[start:stop]
-        a = np.repeat(np.arange(start, stop), n)
-        b = own_end[a] + np.arange(a.size) - np.repeat(np.cumsum(n) - n, n)
-        found = np.unique(np.concatenate([found, np.sort(np.stack([nodes[a], nodes[b]], axis=1), axis=1)]), axis=0)
-        start = stop
-    return found
-
-
-def _frame(pairs: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
+    few = end - start <= FEW
+    at = np.arange(keys.size)
+    found = [np.stack([nodes[at[ok] - h], nodes[ok]], axis=1) for h in range(1, FEW) for ok in [few & (at - start >= h)]]
+    crowd = ~few
+    found.append(_stars(keys[crowd & own], nodes[crowd & own]))
+    pairs = lambda parts: np.unique(np.sort(np.concatenate(parts), axis=1), axis=0)
+    return pairs(found), pairs([_stars(keys[crowd], nodes[crowd])])
 
 
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
-    return _frame(hub_pairs(*_unpacked(pdf["block"].tolist())))
-
-
-def _meet_again(pdf: pd.DataFrame) -> pd.DataFrame:
-    flat = np.frombuffer(b"".join(pdf["block"].tolist()), _CROWDED)
-    flat = flat[_met(flat["key"])]
-    return _frame(cross_pairs(flat["key"], flat["node"], flat["root"]))
-
-
-def _collided(nodes: DataFrame, n: int, emit, meet) -> DataFrame:
-    """Distinct pairs (u, v) that meet(blocks of a bucket) gives for the n rows of nodes; as many partitions as buckets, whose size is bounded."""
-    buckets = max(4 * partitions(nodes.sparkSession), -(-n * TABLES * _FLIPS.size // BUCKET_VARIANTS))
-    blocks = nodes.mapInArrow(trimmed(emit(buckets)), "bucket long, block binary").repartition(buckets, "bucket")
-    return blocks.groupBy("bucket").applyInPandas(meet, "u long, v long").distinct()
+    pairs, links = met_pairs(*_unpacked(pdf["block"].tolist()))
+    both = np.concatenate([pairs, links])
+    return pd.DataFrame({"u": both[:, 0], "v": both[:, 1], "crowd": np.arange(len(both)) >= len(pairs)})
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The size of the intersection of every set of left with every one of right."""
+    flat = [np.concatenate([np.empty(0, np.uint64), *x]) for x in (left, right)]
+    rows = [np.repeat(np.arange(len(x)), [y.size for y in x]) for x in (left, right)]
+    common = np.intersect1d(*flat)
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not common.size:
+        return out
+    place = [np.searchsorted(common, x) for x in flat]
+    for p, x in zip(place, flat, strict=True):
+        p[p == common.size] = 0
+        p[common[p] != x] = -1
+    for i in range(0, common.size, SHINGLES_AT_ONCE):
+        sides = []
+        for p, r, x in zip(place, rows, (left, right), strict=True):
+            m = np.zeros((len(x), min(SHINGLES_AT_ONCE, common.size - i)), np.float32)
+            hit = (p >= i) & (p < i + SHINGLES_AT_ONCE)
+            m[r[hit], p[hit] - i] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _compare_tiles(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of the texts of two tiles (or one with itself) a pair for every two components that similar texts join."""
+    a, b = pdf["a"].iloc[0], pdf["b"].iloc[0]
+    left, right = pdf[pdf["tile"] == a], pdf[pdf["tile"] == b]
+    sets = [[np.frombuffer(x, np.uint64) for x in side["items"]] for side in (left, right)]
+    common = overlaps(*sets)
+    sizes = [np.array([x.size for x in side], np.float64) for side in sets]
+    roots = [side["root"].to_numpy() for side in (left, right)]
+    ok = (common * DEN >= NUM * (sizes[0][:, None] + sizes[1][None, :] - common)) & (roots[0][:, None] != roots[1][None, :])
+    i, j = np.nonzero(ok)
+    joined = np.sort(np.stack([roots[0][i], roots[1][j]], axis=1), axis=1)
+    first = np.unique(joined, axis=0, return_index=True)[1]
+    pairs = np.sort(np.stack([left["node"].to_numpy()[i[first]], right["node"].to_numpy()[j[first]]], axis=1), axis=1)
+    return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
 
 
-def _verify(words_per_shingle: int):
+def _sets(words_per_shingle: int):
     def run(batches):
         hashes = WordHashes()
-        held: dict[int, np.ndarray] = {}
-
-        def own(node: int, text: str) -> np.ndarray:
-            if node not in held:
-                if len(held) > 256 or len(hashes) > HASHED_WORDS:
-                    held.clear()
-                    hashes.clear()
-                held[node] = shingles(hashed(text.encode().lower().split(), hashes), words_per_shingle)
-            return held[node]
-
         for b in batches:
-            us, vs, xs, ys = (c.to_pylist() for c in b.columns)
-            ok = [similar(own(u, x), own(v, y)) for u, v, x, y in zip(us, vs, xs, ys, strict=True)]
-            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            if len(hashes) > HASHED_WORDS:
+                hashes.clear()
+            items = [shingles(hashed(t.encode().lower().split(), hashes), words_per_shingle).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(items, pa.binary())], ["node", "items"])
 
     return run
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, held: DataFrame, words_per_shingle: int) -> DataFrame:
-    """The pairs (u, v) of nodes whose texts are similar; nodes: (node, ROW), held: (ROW, text)."""
-    met = materialize(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes.select("node", ROW), "node"), "copies-met")
-    few = held.where(bit_filter(met)).join(met.hint("merge"), ROW).select("node", "text")
-    few = materialize(few, "copies-few")
-    left = few.select(F.col("node").alias("u"), F.col("text").alias("x"))
-    right = few.select(F.col("node").alias("v"), F.col("text").alias("y"))
-    both = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "x", "y")
-    return both.mapInArrow(trimmed(_verify(words_per_shingle)), "u long, v long")
+def _verify(batches):
+    for b in batches:
+        xs, ys = b.column(2).to_pylist(), b.column(3).to_pylist()
+        ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(xs, ys, strict=True)]
+        yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+
+def _crowd_links(crowds: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) between the components, as links make them, of the texts in each crowd; crowds: links (u, v) of texts that met."""
+    roots = connected_components(links).select("node", "root")
+    members = connected_components(crowds).withColumnRenamed("root", "crowd").join(roots, "node", "left").select("crowd", "node", F.coalesce("root", "node").alias("root"))
+    members = materialize(members, "crowd-members")
+    counts = members.groupBy("crowd", "root").agg(F.count("*").alias("n"))
+    shape = counts.groupBy("crowd").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    shape = shape.select("crowd", F.col("most.root").alias("major"), F.ceil((F.col("all") - F.col("most.n")) / TILE).alias("others"), F.ceil(F.col("most.n") / TILE).alias("majors"))
+    h, major = F.xxhash64("node"), F.col("root") == F.col("major")
+    placed = members.join(shape, "crowd").withColumn("tile", F.when(major, F.col("others") + F.pmod(h, F.col("majors"))).otherwise(F.pmod(h, F.col("others"))))
+    # the largest component is not compared with itself
+    partner = F.explode(F.sequence(F.lit(0).cast("long"), F.when(major, F.col("others") - 1).otherwise(F.col("others") + F.col("majors") - 1)))
+    dealt = placed.withColumn("partner", partner).select("crowd", "tile", "node", "root", F.least("tile", "partner").alias("a"), F.greatest("tile", "partner").alias("b"))
+    return dealt.join(sets, "node").groupBy("crowd", "a", "b").applyInPandas(_compare_tiles, "u long, v long")
 
 
 def similar_links(nodes: DataFrame, held: DataFrame, words_per_shingle: int = WORDS) -> DataFrame:
     """Links (u, v) that join the similar ones of nodes (node, ROW, prints); held: (ROW, text)."""
     nodes = nodes.where("prints IS NOT NULL")
-    first = materialize(_collided(nodes.select("node", "prints"), nodes.count(), _emit, _meet), "copies-pairs")
-    links = materialize(verified(first.where("u < v"), nodes, held, words_per_shingle), "copies-links")
-    crowded = first.where("u = v").select(F.col("u").alias("node"))
-    n = crowded.count()
-    if not n:
+    n = nodes.count()
+    buckets = max(4 * partitions(nodes.sparkSession), -(-n * TABLES * _FLIPS.size // BUCKET_VARIANTS))
+    blocks = nodes.select("node", "prints").mapInArrow(trimmed(_emit(buckets)), "bucket long, block binary").repartition(buckets, "bucket")
+    met = materialize(blocks.groupBy("bucket").applyInPandas(_meet, "u long, v long, crowd boolean").distinct(), "copies-pairs")
+    pairs, crowds = met.where(~F.col("crowd")).select("u", "v"), met.where("crowd").select("u", "v")
+    who = met.select(F.col("u").alias("node")).union(met.select("v")).distinct()
+    who = materialize(nodes.select("node", ROW).join(who, "node"), "copies-met")
+    sets = held.where(bit_filter(who)).join(who.hint("merge"), ROW).select("node", "text").mapInArrow(trimmed(_sets(words_per_shingle)), "node long, items binary")
+    sets = materialize(sets, "copies-sets")
+    left, right = (sets.select(F.col("node").alias(x), F.col("items").alias(y)) for x, y in (("u", "x"), ("v", "y")))
+    both = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "x", "y")
+    links = materialize(both.mapInArrow(_verify, "u long, v long"), "copies-links")
+    if crowds.isEmpty():
         return links
-    crowd = nodes.join(crowded, "node").join(connected_components(links), "node", "left").select("node", "prints", F.coalesce("root", "node").alias("root"))
-    across = _collided(materialize(crowd, "copies-crowd"), n, _emit_crowd, _meet_again).join(first, ["u", "v"], "left_anti")
-    more = verified(materialize(across, "copies-across"), nodes, held, words_per_shingle)
-    return links.unionByName(materialize(more, "copies-more"))
+    return links.unionByName(materialize(_crowd_links(crowds, links, sets), "crowd-links"))
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = WORDS) -> DataFrame:

@@ -150,22 +150,26 @@ def test_near_copies(spark):
 
 
 def test_near_copies_compare_all():
-    """Every two that meet are compared, or joined by what the first pass compared, however many meet."""
+    """Every two that meet are compared, or are in one crowd, however many meet; sets are compared in full."""
     rng = np.random.default_rng(3)
     for crowd in (2, 3, 4, 30):
-        keys = np.concatenate([np.full(crowd, 5, np.uint64), np.full(crowd, 9, np.uint64), rng.integers(100, 10**6, 40).astype(np.uint64)])
-        nodes = np.concatenate([np.arange(crowd), np.arange(crowd) + crowd // 2, rng.integers(200, 300, 40)])
-        met = {(min(a, b), max(a, b)) for k in (5, 9) for a in nodes[keys == k].tolist() for b in nodes[keys == k].tolist() if a != b}
-        first = set(map(tuple, near_copies.hub_pairs(keys, nodes).tolist()))
-        crowded = {u for u, v in first if u == v}
-        tested = {(u, v) for u, v in first if u < v}
-        assert tested <= met and (met == tested or crowded)
-        roots = rng.integers(0, 4, 400)
-        again = np.isin(nodes, list(crowded))
-        near_copies_pairs = near_copies.cross_pairs(keys[again], nodes[again], roots[nodes[again]])
-        more = set(map(tuple, near_copies_pairs.tolist()))
-        assert all(p in tested or p in more or roots[p[0]] == roots[p[1]] for p in met)
-        assert all(roots[u] != roots[v] for u, v in more)
+        keys = np.concatenate([np.full(crowd, 5, np.uint64), np.full(crowd, 9, np.uint64), rng.integers(100, 200, 40).astype(np.uint64)])
+        keys[::2] |= near_copies._OWN
+        nodes = np.concatenate([np.arange(crowd), np.arange(crowd) + crowd // 2, rng.permutation(np.arange(200, 240))])
+        plain = keys & ~near_copies._OWN
+        met = {(min(a, b), max(a, b)) for k in np.unique(plain) for a in nodes[plain == k].tolist() for b in nodes[plain == k].tolist() if a != b}
+        pairs, links = (set(map(tuple, x.tolist())) for x in near_copies.met_pairs(keys, nodes))
+        assert pairs <= met and links <= met
+        root = np.arange(300)
+        for _ in range(300):
+            for u, v in links:
+                root[u] = root[v] = min(root[u], root[v])
+        assert all(p in pairs or root[p[0]] == root[p[1]] for p in met)
+    sets = [[np.unique(rng.integers(0, 300, rng.integers(0, 200)).astype(np.uint64)) for _ in range(9)] for _ in range(2)]
+    assert near_copies.overlaps(*sets).tolist() == [[np.intersect1d(x, y).size for y in sets[1]] for x in sets[0]]
+    for x in sets[0]:
+        for y in sets[1]:
+            assert near_copies.similar(x, y) == (5 * np.intersect1d(x, y).size >= 4 * np.union1d(x, y).size)
 
 
 def test_rows_without(spark):
