@@ -57,7 +57,7 @@ def unescape(text: str) -> str:
 
 class Template:
     def __init__(self, tokenizer: str):
-        self.encoder = encoder(tokenizer)
+        self.encoder = encoder(tokenizer, spelled=True)
         self.base = self.encoder.tok.get_vocab_size()
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         to_byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in plain)}

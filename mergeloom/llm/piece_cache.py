@@ -4,7 +4,8 @@ A byte-level BPE with the public word pattern never merges across a line feed or
 a space that is followed by a visible character, so a text is cut there and every
 distinct cut is given to the tokenizers library once. Texts for which that cut
 would not be exact (three white-space characters in a row, or two at the end)
-go to the library whole, as do those with a NUL, which marks pieces here.
+go to the library whole, as do those with a NUL, which marks pieces here, and those
+with one of the tokenizer's control strings, unless these are to be spelled out.
 """
 
 from __future__ import annotations
@@ -87,13 +88,18 @@ class PieceCache:
 
 
 class CachedEncoder:
-    """``encode(texts)`` gives (ids, counts by text), the same ids as the library gives for whole texts."""
+    """``encode(texts)`` gives (ids, counts by text), the same ids as the library gives for whole texts.
 
-    def __init__(self, tokenizer_path: str):
+    A control string in a text gets its reserved id, as the library has it; with spelled it is text like any other.
+    """
+
+    def __init__(self, tokenizer_path: str, spelled: bool = False):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(tokenizer_path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = spelled
+        control = [] if spelled else [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
+        self.unsafe = "|".join([_UNSAFE, *control])
         vocab = self.tok.get_vocab()
         self.id_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():  # in the byte-level alphabet a character is a byte
@@ -146,7 +152,7 @@ class CachedEncoder:
         safe: list = []
         which: list = []
         whole: dict[int, np.ndarray] = {}
-        unsafe = pc.match_substring_regex(pa.array(texts, pa.large_string()), _UNSAFE).to_pylist()
+        unsafe = pc.match_substring_regex(pa.array(texts, pa.large_string()), self.unsafe).to_pylist()
         for i, (t, odd) in enumerate(zip(texts, unsafe, strict=True)):
             if not t:
                 continue
@@ -167,14 +173,14 @@ class CachedEncoder:
         return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
 
 
-_ENCODERS: dict[str, CachedEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], CachedEncoder] = {}
 
 
-def encoder(tokenizer_path: str) -> CachedEncoder:
-    """One encoder a Python worker and file."""
-    if tokenizer_path not in _ENCODERS:
-        _ENCODERS[tokenizer_path] = CachedEncoder(tokenizer_path)
-    return _ENCODERS[tokenizer_path]
+def encoder(tokenizer_path: str, spelled: bool = False) -> CachedEncoder:
+    """One encoder a Python worker, file and treatment of control strings."""
+    if (tokenizer_path, spelled) not in _ENCODERS:
+        _ENCODERS[tokenizer_path, spelled] = CachedEncoder(tokenizer_path, spelled)
+    return _ENCODERS[tokenizer_path, spelled]
 
 
 def public_tokenizer(name: str) -> str:
