@@ -21,7 +21,9 @@ bytes at the weight of the last rank over ten. ``theta`` sharpens all weights.
 
 Cases: null and empty texts have no pieces and one segmentation, the empty one, of
 log-probability 0 and inclusion 1; a text with fewer segmentations than asked for
-gives all of them; rows that repeat a key and text give equal samples; a null key
+gives all of them, but for parts of a conditional probability under 1e-15; a literal
+U+2581 is the model's space to the library, so such a text decodes with a space there and its
+``decoded`` is false; rows that repeat a key and text give equal samples; a null key
 counts as -1; an empty table gives no rows.
 """
 
@@ -432,8 +434,8 @@ class Pieces:
         longest = max(map(len, words.distinct), default=0)
         whole: dict[int, np.ndarray] = {}
         for i, t in enumerate(texts):
-            # runs of spaces can be pieces
-            if t and ("  " in t or t[0] == " " or t[-1] == " " or (longest > _LONG and max(map(len, t.split(" "))) > _LONG)):
+            # runs of spaces can be pieces, and the mark counts as one
+            if t and (MARK in t or "  " in t or t[0] == " " or t[-1] == " " or (longest > _LONG and max(map(len, t.split(" "))) > _LONG)):
                 whole[i] = np.array(self.sp.encode(t), np.int32)
         if longest > _LONG:  # such words are only in texts that went to the library whole
             short = [n for n, w in enumerate(words.distinct) if len(w) <= _LONG]
