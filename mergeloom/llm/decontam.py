@@ -16,19 +16,20 @@ proportion, gives the latent space: each task adds up its part of A'(A G) for a
 Gaussian G, the sums are reduced by blocks of terms, and an orthonormal basis of
 the result, rotated by the small matrix (A Q)'(A Q), holds the leading right
 singular vectors. Windows whose latent cosine with an item reaches COSINE are
-candidates. For those the longest common subsequence with the item, as a share of
+candidates; for an item of fewer than FULL words, which is little of a window, the limit
+shrinks with the root of its words. For those the longest common subsequence with the item, as a share of
 the item's words, decides: VERBATIM or more is a leak, and so is PARAPHRASE or
 more if the item's answer, its last sentence, is found in order as well.
 
-The benchmark is sent to every task in blocks of ITEMS items, so what is broadcast
-is bounded; a larger benchmark takes further rounds.
+The benchmark is sent to every task in blocks of about ITEM_CHARS characters, which bounds
+the terms and so what is broadcast; a larger benchmark takes further rounds.
 
 An item longer than a window is looked for by windows of its own.
 
 Cases: null and empty texts and items hold no terms and match nothing; an item of
 fewer than MIN_WORDS words is too short for shares and is reported where its words
-stand in a row; a null doc_id is
-reported as null; rows that repeat a doc_id report once an item; ties cannot
+stand in a row; items without item_id are skipped, as there is nothing to report them by; a
+null doc_id is reported as null; rows that repeat a doc_id report once an item; ties cannot
 arise, for every pair above the limits is reported; empty tables give no rows.
 """
 
@@ -47,9 +48,9 @@ from .common import ROW, load, materialize, numbered, trimmed, whole_text, witho
 
 WINDOW, STRIDE = 48, 24
 RANK, EXTRA = 256, 16
-COSINE = 0.35
+COSINE, FULL = 0.35, 16
 VERBATIM, PARAPHRASE = 0.75, 0.6
-ITEMS = 4096
+ITEM_CHARS = 400_000
 MIN_WORDS = 5
 ANSWER = 5  # a fifth
 SEED = 4
@@ -246,20 +247,38 @@ def _reduced(spots: DataFrame, make, n_rows: int, width: int) -> np.ndarray:
     return out
 
 
-def item_matrix(items: Items, weight: np.ndarray) -> np.ndarray:
-    m = np.zeros((len(items.passages), weight.size))
-    for i, words in enumerate(items.passages):
-        np.add.at(m[i], words, weight[words])
-    return m
+class Passages:
+    """The passages of the benchmark as the rows of a sparse matrix of weights."""
+
+    def __init__(self, items: Items, weight: np.ndarray):
+        sizes = np.array([len(p) for p in items.passages], np.int64)
+        self.n = sizes.size
+        self.owner = np.repeat(np.arange(self.n), sizes)
+        self.term = np.fromiter((t for p in items.passages for t in p), np.int64, int(sizes.sum()))
+        self.weight = weight[self.term]
+
+    def times(self, m: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.n, m.shape[1]))
+        for i in range(0, self.term.size, 8192):
+            own = slice(i, i + 8192)
+            np.add.at(out, self.owner[own], self.weight[own, None] * m[self.term[own]])
+        return out
+
+    def transposed_times(self, m: np.ndarray, n_terms: int) -> np.ndarray:
+        out = np.zeros((n_terms, m.shape[1]))
+        for i in range(0, self.term.size, 8192):
+            own = slice(i, i + 8192)
+            np.add.at(out, self.term[own], self.weight[own, None] * m[self.owner[own]])
+        return out
 
 
 def latent_basis(spots: DataFrame, items: Items, weight: np.ndarray, passages: int, rank: int = RANK) -> np.ndarray:
     """Terms x rank: leading right singular vectors of the passages, by randomised SVD."""
     spark, n = spots.sparkSession, weight.size
     width = min(n, rank + EXTRA)
-    own = item_matrix(items, weight)
-    own *= np.sqrt(max(1.0, passages / max(1, len(items.passages))))  # the benchmark's passages weigh as much as the corpus
-    gauss = np.random.default_rng(SEED).standard_normal((n, width))
+    own = Passages(items, weight)
+    own.weight = own.weight * np.sqrt(max(1.0, passages / max(1, own.n)))  # the benchmark's passages weigh as much as the corpus
+    gauss = np.random.default_rng(SEED).standard_normal((n, width), np.float32)
 
     def project(shared):
         def make(batches):
@@ -297,9 +316,12 @@ def latent_basis(spots: DataFrame, items: Items, weight: np.ndarray, passages: i
 
         return make
 
-    z = _reduced(spots, project(spark.sparkContext.broadcast((gauss.astype(np.float32), weight.astype(np.float32)))), n, width) + own.T @ (own @ gauss)
+    z = _reduced(spots, project(spark.sparkContext.broadcast((gauss, weight.astype(np.float32)))), n, width)
+    z += own.transposed_times(own.times(gauss), n)
     q, _ = np.linalg.qr(z)
-    g = _reduced(spots, gram(spark.sparkContext.broadcast((q.astype(np.float32), weight.astype(np.float32)))), width, width) + (own @ q).T @ (own @ q)
+    g = _reduced(spots, gram(spark.sparkContext.broadcast((q.astype(np.float32), weight.astype(np.float32)))), width, width)
+    y = own.times(q)
+    g += y.T @ y
     values, vectors = np.linalg.eigh((g + g.T) / 2)
     return q @ vectors[:, np.argsort(-values)[:rank]]
 
@@ -335,6 +357,7 @@ def _matcher(shared):
         items, weight, basis, latent = shared.value
         sizes = np.array([len(w) for w in items.words], np.int64)
         owners = np.array(items.owners, np.int64)
+        least = (COSINE * np.sqrt(np.minimum(sizes[owners] / FULL, 1.0))).astype(np.float32)
         for b in slices(batches, 2):
             c = Chunk(b)
             doc_ids = b.column(0).to_pylist()
@@ -346,7 +369,7 @@ def _matcher(shared):
             spot = c.doc * span + c.at  # ascending over the chunk
             for i in range(0, starts.size, 8192):
                 cosines = y[i : i + 8192] @ latent.T
-                window, passage = np.nonzero(cosines >= COSINE)
+                window, passage = np.nonzero(cosines >= least)
                 item = owners[passage]
                 doc = np.searchsorted(c.base, starts[i + window], side="right") - 1
                 first = (starts[i + window] - c.base[doc]) * STRIDE
@@ -390,8 +413,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(doc_id, item_id, lcs, cosine, answer) for every document that holds a benchmark item."""
     spark = docs.sparkSession
     asked = benchmark.select(F.col(item_col).cast("long").alias("item_id"), whole_text(item_text).alias("text")).where("item_id IS NOT NULL")
-    n_items = asked.count()
-    rounds = max(1, -(-n_items // ITEMS))
+    chars = asked.agg(F.sum(F.length("text"))).first()[0] or 0
+    rounds = max(1, -(-chars // ITEM_CHARS))
     out = spark.createDataFrame([], PAIRS)
     for r in range(rounds):
         own = asked if rounds == 1 else asked.where(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == r)
@@ -402,7 +425,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         df, passages = document_frequencies(spots, len(items.terms))
         weight = np.where(rarer_halves(items, df), np.log((passages + 1) / (df + 1)) + 1, 0.0)
         basis = latent_basis(spots, items, weight, passages)
-        latent = item_matrix(items, weight) @ basis
+        latent = Passages(items, weight).times(basis)
         norm = np.sqrt((latent**2).sum(axis=1))
         latent = (latent / np.where(norm > 0, norm, 1.0)[:, None]).astype(np.float32)
         shared = spark.sparkContext.broadcast((items, weight.astype(np.float32), basis.astype(np.float32), latent))
