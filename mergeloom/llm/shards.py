@@ -1,18 +1,20 @@
 """Sharding with byte balance for indivisible groups, by Karmarkar-Karp differencing.
 
-Groups are documents with equal text. Each task first differences its own groups
+Groups are documents with equal text. Each task differences about TASK_UNITS groups
 into bundles: the two partial partitions with the largest spread are combined,
 oppositely ordered, until one is left. Groups above a fixed share of all bytes
-stay single. The driver then differences the bundles and large groups, whose
-number is bounded by TASKS * BUNDLES + LARGE whatever the input, into the shards.
+stay single. The bundles are differenced in turn, level by level, until at most DRIVER_UNITS
+are left, which the driver differences into the shards. So neither a task nor the driver
+holds more, whatever the input.
 
 Slots number the documents of a shard by ascending doc_id; they come from a range
 partitioning and one total by partition and shard.
 
 Cases: a null text counts as an empty one (size 1); rows that repeat a doc_id
-are all placed; a group with more bytes than a shard's fair share cannot be kept
-whole under the law ``bytes`` and is split by doc_id into the fewest even parts
-(there are at most as many such groups as shards); an empty table gives no rows.
+are all placed, each by itself; a group with more bytes than a shard's fair share cannot be
+kept whole under the law ``bytes`` and is dealt in turn, by ascending doc_id, to the fewest
+parts that fit, which differ by one row at most (there are fewer such groups than shards); an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,12 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, materialize, partitions, whole_text
+from .common import ROW, load, materialize, numbered, partitions, whole_text
 
 SHARDS = 8
 BUNDLES = 64
-TASKS = 1024
-LARGE = 16384
+TASK_UNITS = 32_768
+DRIVER_UNITS = 65_536
+LARGE = 16_384
 
 
 def differencing(sizes: list, k: int) -> list[list[int]]:
@@ -65,53 +68,67 @@ def _flat(tree) -> list[int]:
 
 
 def _bundler(large: int, k: int):
+    """(unit, parent): single large units and at most k bundles of the others, named by the partition."""
+
     def run(batches):
-        part = TaskContext.get().partitionId()
-        rows = sorted((-n, g, piece) for b in batches for g, piece, n in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        part = TaskContext.get().partitionId() << 24
+        rows = sorted((-n, u) for b in batches for u, n in zip(*(c.to_pylist() for c in b.columns), strict=True))
         single = [r for r in rows if -r[0] >= large]
         rest = [r for r in rows if -r[0] < large]
         bins = differencing([-r[0] for r in rest], min(k, max(1, len(rest))))
         placed = [(r, k + i) for i, r in enumerate(single)] + [(rest[i], b) for b, ids in enumerate(bins) for i in ids]
         if placed:
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "g": pa.array([r[1] for r, _ in placed], pa.binary()),
-                    "piece": pa.array([r[2] for r, _ in placed], pa.int32()),
-                    "bytes": pa.array([-r[0] for r, _ in placed], pa.int64()),
-                    "part": pa.array([part] * len(placed), pa.int32()),
-                    "bundle": pa.array([b for _, b in placed], pa.int32()),
-                }
-            )
+            yield pa.RecordBatch.from_pydict({"unit": pa.array([r[1] for r, _ in placed], pa.int64()), "parent": pa.array([part + b for _, b in placed], pa.int64())})
 
     return run
 
 
-def assign_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot) for every row of docs; equal texts share a shard."""
-    spark = docs.sparkSession
+def spread_units(units: DataFrame, shards: int, task_units: int = TASK_UNITS, driver_units: int = DRIVER_UNITS) -> DataFrame:
+    """(unit, shard) for units (unit, bytes), in shards of nearly equal bytes."""
+    spark = units.sparkSession
+    total, n = units.agg(F.sum("bytes"), F.count("*")).first()
+    levels: list[DataFrame] = []
+    now = units
+    while n > driver_units or not levels:
+        tasks = max(-(-n // task_units), min(partitions(spark), -(-n // 1024)), 1)
+        step = now.select("unit", "bytes").repartition(tasks, "unit").mapInArrow(_bundler(max(1, (total or 0) // LARGE), BUNDLES), "unit long, parent long")
+        levels.append(materialize(step, f"bundles-{len(levels)}"))
+        now = now.join(levels[-1], "unit").groupBy(F.col("parent").alias("unit")).agg(F.sum("bytes").alias("bytes"))
+        now = materialize(now, f"bundle-sizes-{len(levels)}")
+        before, n = n, now.count()
+        if n >= before:
+            break
+    last = sorted((-r["bytes"], r["unit"]) for r in now.collect())  # driver_units at most, or as few as the levels leave
+    bins = differencing([-x[0] for x in last], shards)
+    homes = spark.createDataFrame([(last[i][1], b) for b, ids in enumerate(bins) for i in ids], "unit long, shard int")
+    for level in reversed(levels):
+        homes = level.join(homes.withColumnRenamed("unit", "parent"), "parent").select("unit", "shard")
+    return homes
+
+
+def assign_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot, *keep) for every row of docs; equal texts share a shard."""
     text = whole_text(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.md5(text)).alias("g"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.md5(text)).alias("g"), *keep)
     rows = materialize(rows, "sizes")
-    groups = rows.groupBy("g").agg(F.sum("size").alias("bytes"))
-    groups = materialize(groups, "groups")
+    groups = materialize(rows.groupBy("g").agg(F.sum("size").alias("bytes")), "groups")
     total = groups.agg(F.sum("bytes")).first()[0] or 0
     fair = max(1, total // shards)
-    giants = [(r["g"], -(-r["bytes"] // fair)) for r in groups.where(F.col("bytes") > fair).collect()]  # fewer than shards
-    piece = F.lit(0)
-    for g, n in giants:
-        piece = F.when(F.col("g") == F.lit(bytes(g)), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n)).cast("int")).otherwise(piece)
-    rows = rows.withColumn("piece", piece.cast("int"))
-    units = rows.groupBy("g", "piece").agg(F.sum("size").alias("bytes")) if giants else groups.select("g", F.lit(0).alias("piece"), "bytes")
-    tasks = min(partitions(spark), TASKS)
-    bundled = units.repartition(tasks, "g").mapInArrow(_bundler(max(1, total // LARGE), BUNDLES), "g binary, piece int, bytes long, part int, bundle int")
-    bundled = materialize(bundled, "bundles")
-    sums = bundled.groupBy("part", "bundle").agg(F.sum("bytes").alias("bytes")).collect()
-    sums = sorted((-r["bytes"], r["part"], r["bundle"]) for r in sums)
-    bins = differencing([-s[0] for s in sums], shards)
-    law = spark.createDataFrame([(*sums[i][1:], b) for b, ids in enumerate(bins) for i in ids], "part int, bundle int, shard int")
-    homes = bundled.join(F.broadcast(law), ["part", "bundle"]).select("g", "piece", "shard")  # bounded, see above
-    homes = materialize(homes, "homes")
-    placed = rows.join(homes, ["g", "piece"]).select("doc_id", "size", "text_crc32", "shard")
+    giants = {bytes(r["g"]): (i, -(-r["bytes"] // fair)) for i, r in enumerate(groups.where(F.col("bytes") > fair).collect())}  # fewer than shards
+    rows = rows.withColumn("piece", F.lit(0).cast("long"))
+    if giants:
+        where, parts = F.lit(-1), F.lit(1)
+        for g, (i, n) in giants.items():
+            where, parts = F.when(F.col("g") == F.lit(g), i).otherwise(where), F.when(F.col("g") == F.lit(g), n).otherwise(parts)
+        rows = rows.withColumn("shard", where.cast("int"))
+        dealt = number_slots(rows.where("shard >= 0"), ["doc_id"]).withColumn("piece", F.pmod(F.col("slot"), parts)).drop("slot")
+        rows = materialize(rows.where("shard < 0").unionByName(dealt).drop("shard"), "dealt")
+        groups = rows.groupBy("g", "piece").agg(F.sum("size").alias("bytes"))
+    else:
+        groups = groups.withColumn("piece", F.lit(0).cast("long"))
+    groups = materialize(groups.withColumn("unit", F.monotonically_increasing_id()), "units")
+    homes = groups.join(spread_units(groups.select("unit", "bytes"), shards), "unit").select("g", "piece", "shard")
+    placed = rows.join(materialize(homes, "homes"), ["g", "piece"]).select("doc_id", "size", "text_crc32", "shard", *keep)
     return number_slots(placed, ["doc_id", "text_crc32", "size"])
 
 
@@ -131,10 +148,11 @@ def number_slots(placed: DataFrame, order: list[str]) -> DataFrame:
     return at.join(F.broadcast(shift), ["part", "shard"]).withColumn("slot", F.col("at") - F.col("shift")).drop("at", "part", "shift")
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write docs as one folder a shard, each in slot order within its files."""
-    by_id = assigned.groupBy("doc_id").agg(F.min("shard").alias("shard"), F.min("slot").alias("slot")).withColumnRenamed("doc_id", "_ml_id")
-    joined = docs.join(by_id, F.col(id_col).eqNullSafe(F.col("_ml_id"))).drop("_ml_id")
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write docs as one folder a shard, ``shard=0`` and so on, each in slot order within its files; columns of docs named shard or slot are replaced."""
+    held = numbered(docs, "shard-rows")
+    homes = assign_shards(held, shards, id_col, text_col, keep=(ROW,)).select(ROW, "shard", "slot")
+    joined = held.drop("shard", "slot").join(homes.hint("merge"), ROW).drop(ROW)
     joined.repartitionByRange(partitions(docs.sparkSession), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
