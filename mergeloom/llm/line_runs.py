@@ -2,10 +2,11 @@
 
 A store holds runs, each a table of (h, n_docs, last_doc, fresh) sorted by the
 128-bit line hash h. Every new batch is aggregated, merge-joined with the fresh
-rows of all runs (whose hashes are distinct over the store), and written as a run
-of level 0: hashes that the anti join finds nowhere are ``fresh``, the others
-only add to counts. Once a level holds FANOUT runs they are merged into one run of
-the next level.
+rows of all runs, and written as a run of level 0: a hash that no run holds is ``fresh``, an
+entry of the store; for others the run has an addition to an entry that an older run holds. So
+entries are distinct over the store, and a line's total is its entry and the additions to
+it. Once a level holds FANOUT runs they are merged into one run of the next level, where
+additions are worked into the entries that are there.
 
 Documents go into batches by the hash of their doc_id, so each batch has all the
 rows of a document, and n_docs counts documents exactly. Counting is a partial
@@ -76,7 +77,7 @@ class RunStore:
         self.levels[level].append(path)
 
     def add(self, lines: DataFrame) -> None:
-        """Add a batch (doc_id, h) as a run of level 0, marking the hashes that no run holds."""
+        """Add a batch (doc_id, h) as a run of level 0: entries for the hashes that no run holds, additions for the others."""
         batch = lines.groupBy("h").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc"))
         if runs := self.runs():
             held = runs[0]
@@ -101,14 +102,19 @@ class RunStore:
             level += 1
 
     def totals(self) -> DataFrame:
-        return merge_runs(self.runs())
+        return merge_runs(self.runs()).where("fresh")
 
 
 def merge_runs(runs: list[DataFrame]) -> DataFrame:
-    all_rows = runs[0]
+    """One run: entries with the additions to them, and additions whose entry is in none of these runs."""
+    rows = runs[0]
     for r in runs[1:]:
-        all_rows = all_rows.unionByName(r)
-    return all_rows.groupBy("h").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"), F.max("fresh").alias("fresh"))
+        rows = rows.unionByName(r)
+    entries = rows.where("fresh").select("h", "n_docs", "last_doc")
+    added = rows.where(~F.col("fresh")).groupBy("h").agg(F.sum("n_docs").alias("more"), F.max("last_doc").alias("later"))
+    both = entries.join(added.hint("merge"), "h", "full_outer")
+    n_docs = F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))
+    return both.select("h", n_docs.alias("n_docs"), F.greatest("last_doc", "later").alias("last_doc"), F.col("n_docs").isNotNull().alias("fresh"))
 
 
 def _strip(min_chars: int):
