@@ -7,14 +7,15 @@ held-out fifth. A feature that separates the labels by less than Z_MIN standard
 errors is left out; the others are worth their log-count ratio r, and a logistic
 regression with an L2 penalty learns a weight on top of each.
 
-The fit runs in one task over that bounded sample; the model, of a fixed size, is
+The fit runs in one task over the cells of that bounded sample; the model, of a fixed size, is
 then sent to the tasks that score all documents.
 
 Cases: a null text is an empty one and gets the score of the intercept; a document
 labelled twice counts as toxic if one label says so; labels without toxic or
 doc_id teach nothing; a null doc_id is not held out; with labels of one kind only,
-or none, every score is the share of toxic labels (0 without labels); an empty
-table gives no rows.
+or none, every score is the share of toxic labels (0 without labels, or without
+documents that have one); of rows that repeat a doc_id the text that sorts first teaches; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -58,19 +59,16 @@ def ngram_cells(text: str) -> np.ndarray:
     return np.concatenate(out).astype(np.int32) if out else np.empty(0, np.int32)
 
 
-def fit(texts: list, labels: np.ndarray) -> tuple[np.ndarray, float]:
-    """(weight of every cell, intercept)."""
+def fit(docs: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, float]:
+    """(weight of every cell, intercept); docs: the distinct cells of each text."""
     labels = np.asarray(labels, np.float64)
     share = float(labels.mean()) if labels.size else 0.0
     weights = np.zeros(CELLS, np.float32)
     if share in (0.0, 1.0):
         return weights, 40.0 if share else -40.0
     df = [np.zeros(CELLS), np.zeros(CELLS)]
-    docs = []
-    for t, y in zip(texts, labels, strict=True):
-        cells = np.unique(ngram_cells(t))
+    for cells, y in zip(docs, labels, strict=True):
         df[int(y)][cells] += 1
-        docs.append(cells)
     n1, n0 = labels.sum(), labels.size - labels.sum()
     p, q = (df[1] + 1) / (n1 + 2), (df[0] + 1) / (n0 + 2)
     both = (df[1] + df[0] + 1) / (labels.size + 2)
@@ -110,20 +108,25 @@ def score(text: str, weights: np.ndarray, intercept: float) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
-    taught = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("_ml_id")).agg(F.max("toxic").alias("_ml_y"))
+    taught = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("_ml_id")).agg(F.max("toxic").cast("int").alias("_ml_y"))
     picked = taught.orderBy(F.xxhash64("_ml_id"), "_ml_id").limit(rows)  # bounded by the parameter
     sample = docs.select(F.col(id_col).cast("long").alias("_ml_id"), whole_text(text_col).alias("_ml_text")).join(F.broadcast(picked), "_ml_id")
+    sample = sample.groupBy("_ml_id", "_ml_y").agg(F.min("_ml_text").alias("_ml_text"))
 
-    def run(batches):
-        texts, ys = [], []
+    def cells(batches):
         for b in batches:
-            texts += b.column(1).to_pylist()
-            ys += b.column(2).to_pylist()
-        order = sorted(range(len(texts)), key=lambda i: (ys[i], texts[i]))
-        weights, intercept = fit([texts[i] for i in order], np.array([ys[i] for i in order]))
+            found = [np.unique(ngram_cells(t)).tobytes() for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["id", "y", "cells"])
+
+    def run(batches):
+        rows = sorted((y, i, c) for b in batches for i, y, c in zip(*(x.to_pylist() for x in b.columns), strict=True))
+        weights, intercept = fit([np.frombuffer(c, np.int32) for _, _, c in rows], np.array([y for y, _, _ in rows]))
         yield pa.RecordBatch.from_pydict({"weights": pa.array([weights.tobytes()], pa.binary()), "intercept": [intercept]})
 
-    model = sample.select("_ml_id", "_ml_text", "_ml_y").repartition(1).mapInArrow(run, "weights binary, intercept double").first()
+    found = sample.select("_ml_id", "_ml_y", "_ml_text").mapInArrow(cells, "id long, y int, cells binary")
+    model = found.repartition(1).mapInArrow(run, "weights binary, intercept double").first()
+    if model is None:  # no partition at all
+        return fit([], np.empty(0))
     return np.frombuffer(bytes(model["weights"]), np.float32), model["intercept"]
 
 
