@@ -12,10 +12,10 @@ rarer half of an item's words, so every item keeps half of its words however oft
 the corpus repeats it, and function words weigh nothing.
 
 A distributed randomised SVD of all passages, with the benchmark's own passages in
-proportion, gives the latent space: each task adds up its part of A'(A G) for a
-Gaussian G, the sums are reduced by blocks of terms, and an orthonormal basis of
-the result, rotated by the small matrix (A Q)'(A Q), holds the leading right
-singular vectors. Windows whose latent cosine with an item reaches COSINE are
+proportion, gives the latent space: each task adds up its part of Z = A'(A G) for a
+Gaussian G, the sums are reduced by blocks of terms, and the left singular vectors of
+Z (G'Z)^(-1/2), the Nystroem form that needs no second pass over the passages, are the
+leading right singular vectors of A. Windows whose latent cosine with an item reaches COSINE are
 candidates; for an item of fewer than FULL words, which is little of a window, the limit
 shrinks with the root of its words. For those the longest common subsequence with the item, as a share of
 the item's words, decides: VERBATIM or more is a leak, and so is PARAPHRASE or
@@ -56,6 +56,7 @@ ANSWER = 5  # a fifth
 SEED = 4
 TERM_BLOCK = 512
 CHUNK_BYTES = 200_000
+OVERLAP_TERMS = 1_000_000
 _OTHER = re.compile(r"[^\w\s]|_")
 _ASCII_SPACED = bytes(32 if chr(c).isspace() else c for c in range(256))
 _ASCII_OTHER = bytes(c for c in range(128) if _OTHER.match(chr(c)))
@@ -176,13 +177,13 @@ class Chunk:
         self.total = int(self.halves.sum())
 
     def windows(self, weight: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(halves that start a window with weighted terms, the window's vector)."""
+        """(halves that start a window with weighted terms, the window's vector); vectors: of the terms, times their weights."""
         own = np.flatnonzero(weight[self.term] > 0)
         if not own.size:
             return np.empty(0, np.int64), np.empty((0, vectors.shape[1]), vectors.dtype)
         half, term = self.half[own], self.term[own]
         cut = np.flatnonzero(np.append(True, half[1:] != half[:-1]))
-        sums = np.add.reduceat(weight[term][:, None] * vectors[term], cut, axis=0)
+        sums = sums_of_runs(vectors, term, cut)
         held = half[cut]
         starts = np.union1d(held, held[held > 0] - 1)
         starts = starts[~np.isin(starts, self.base + self.halves - 1)]  # a window may not begin in a closing half
@@ -195,6 +196,16 @@ class Chunk:
         return starts, out
 
 
+def sums_of_runs(vectors: np.ndarray, term: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """The sum of vectors[term] over each run of term that begins at cut; runs are short."""
+    size = np.diff(np.append(cut, term.size))
+    out = vectors[term[cut]]
+    for k in range(1, int(size.max(initial=1))):
+        more = np.flatnonzero(size > k)
+        out[more] += vectors[term[cut[more] + k]]
+    return out
+
+
 def document_frequencies(spots: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
     """By term, the number of blocks of STRIDE words that hold it; and the number of blocks."""
 
@@ -283,6 +294,7 @@ def latent_basis(spots: DataFrame, items: Items, weight: np.ndarray, passages: i
     def project(shared):
         def make(batches):
             vectors, w = shared.value
+            vectors = w[:, None] * vectors
             z = np.zeros((n, width))
             for b in slices(batches, 1):
                 c = Chunk(b, 0)
@@ -305,38 +317,38 @@ def latent_basis(spots: DataFrame, items: Items, weight: np.ndarray, passages: i
 
         return make
 
-    def gram(shared):
-        def make(batches):
-            vectors, w = shared.value
-            g = np.zeros((width, width))
-            for b in slices(batches, 1):
-                y = Chunk(b, 0).windows(w, vectors)[1]
-                g += y.T @ y
-            return g
-
-        return make
-
     z = _reduced(spots, project(spark.sparkContext.broadcast((gauss, weight.astype(np.float32)))), n, width)
     z += own.transposed_times(own.times(gauss), n)
-    q, _ = np.linalg.qr(z)
-    g = _reduced(spots, gram(spark.sparkContext.broadcast((q.astype(np.float32), weight.astype(np.float32)))), width, width)
-    y = own.times(q)
-    g += y.T @ y
-    values, vectors = np.linalg.eigh((g + g.T) / 2)
-    return q @ vectors[:, np.argsort(-values)[:rank]]
+    core = gauss.T @ z
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    kept = values > 1e-6 * max(values.max(initial=0.0), 1e-300)  # sums are of 32-bit floats
+    return np.linalg.svd(z @ (vectors[:, kept] / np.sqrt(values[kept])), full_matrices=False)[0][:, :rank]
 
 
-def overlaps(terms: np.ndarray, begin: np.ndarray, stop: np.ndarray, words: list[int]) -> np.ndarray:
-    """For each run terms[begin:stop], how many of words it holds, each as often as both do: no common subsequence is longer."""
-    own, need = np.unique(words, return_counts=True)
+def item_words(items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """(item * terms + term, how often the item has it), sorted: the words of all items."""
+    n = len(items.terms)
+    flat = np.fromiter((k * n + t for k, words in enumerate(items.words) for t in words), np.int64)
+    return np.unique(flat, return_counts=True)
+
+
+def overlaps(terms: np.ndarray, begin: np.ndarray, stop: np.ndarray, item: np.ndarray, n_terms: int, words: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """For each run terms[begin:stop], how many words of its item it holds, each as often as both do: no common subsequence is longer."""
+    own, need = words
+    out = np.zeros(begin.size)
     lens = stop - begin
-    ends = np.cumsum(lens)
-    run = np.repeat(np.arange(lens.size), lens)
-    held = terms[np.repeat(begin - (ends - lens), lens) + np.arange(run.size)]
-    place = np.minimum(np.searchsorted(own, held), own.size - 1)
-    hit = own[place] == held
-    pair, count = np.unique(run[hit] * own.size + place[hit], return_counts=True)
-    return np.bincount(pair // own.size, np.minimum(count, need[pair % own.size]), lens.size)
+    total, i = np.cumsum(lens), 0
+    while i < begin.size:
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + OVERLAP_TERMS, side="right")))
+        size = lens[i:j]
+        run = np.repeat(np.arange(i, j), size)
+        held = terms[np.repeat(begin[i:j] - (np.cumsum(size) - size), size) + np.arange(run.size)] + item[run] * n_terms
+        place = np.minimum(np.searchsorted(own, held), own.size - 1)
+        hit = own[place] == held
+        pair, count = np.unique(run[hit] * own.size + place[hit], return_counts=True)
+        out += np.bincount(pair // own.size, np.minimum(count, need[pair % own.size]), begin.size)
+        i = j
+    return out
 
 
 def runs_of(c: Chunk, short: list[tuple[int, list[int]]]):
@@ -357,6 +369,8 @@ def _matcher(shared):
         items, weight, basis, latent = shared.value
         sizes = np.array([len(w) for w in items.words], np.int64)
         owners = np.array(items.owners, np.int64)
+        words = item_words(items)
+        basis = weight[:, None] * basis
         least = (COSINE * np.sqrt(np.minimum(sizes[owners] / FULL, 1.0))).astype(np.float32)
         for b in slices(batches, 2):
             c = Chunk(b)
@@ -376,21 +390,17 @@ def _matcher(shared):
                 # the words before and after a window that an item reaching into it can hold
                 begin = np.searchsorted(spot, doc * span + np.maximum(first - sizes[item], 0))
                 stop = np.searchsorted(spot, doc * span + np.minimum(first + WINDOW + sizes[item], span - 1))
-                order = np.argsort(item, kind="stable")
-                for own in np.split(order, np.flatnonzero(np.diff(item[order])) + 1):
-                    if not own.size:
+                enough = overlaps(c.term, begin, stop, item, len(items.terms), words) >= PARAPHRASE * sizes[item]
+                for n in np.flatnonzero(enough).tolist():
+                    k = int(item[n])
+                    region = c.term[begin[n] : stop[n]].tolist()
+                    share = lcs_length(items.words[k], region) / len(items.words[k])
+                    if share < PARAPHRASE:
                         continue
-                    k = int(item[own[0]])
-                    words, answers = items.words[k], items.answers[k]
-                    for n in own[overlaps(c.term, begin[own], stop[own], words) >= PARAPHRASE * len(words)]:
-                        region = c.term[begin[n] : stop[n]].tolist()
-                        share = lcs_length(words, region) / len(words)
-                        if share < PARAPHRASE:
-                            continue
-                        answer = lcs_length(answers, region) == len(answers)
-                        if share >= VERBATIM or answer:
-                            seen = best.setdefault((int(doc[n]), k), [0.0, 0.0, False])
-                            seen[:] = max(seen[0], share), max(seen[1], float(cosines[window[n], passage[n]])), seen[2] or answer
+                    answer = lcs_length(items.answers[k], region) == len(items.answers[k])
+                    if share >= VERBATIM or answer:
+                        seen = best.setdefault((int(doc[n]), k), [0.0, 0.0, False])
+                        seen[:] = max(seen[0], share), max(seen[1], float(cosines[window[n], passage[n]])), seen[2] or answer
             # short items are numbered after the others, and match whole or not at all
             best |= {(d, len(items.ids) + k): [1.0, 1.0, True] for d, k in runs_of(c, items.short)}
             ids = items.ids + [i for i, _ in items.short]
