@@ -153,6 +153,18 @@ def standardizer(category: str) -> Callable[[Column], Column]:
     raise ValueError(f"unknown category: {category}")
 
 
+# The kinds of fields that columns are stacked by.
+FIELDS = ("name", "date", "time", "temperature", "status", "address", "id", "phone_number", "email", "price", "quantity", "age", "gender", "weight", "height")
+
+
+def field_standardizer(category: str) -> Callable[[Column], Column]:
+    """How a field is brought into form when tables are stacked: names become first names; an unknown kind raises."""
+    key = category.strip().lower().replace(" ", "_")
+    if key not in FIELDS:
+        raise ValueError(f"unknown field: {category}")
+    return first_name if key == "name" else identity
+
+
 #: How each category is shown, as (prefix, suffix).
 DISPLAY = {"temperature": ("", "°C"), "price": ("$", ""), "age": ("", " years"), "weight": ("", " kg"), "height": ("", " m")}
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.embed import Embedder
+from ..functions.embed import Embedder, embed_distinct
 from ..functions.similarity import cosine, rescale
 from ..functions.standardize import REGISTRY
+from .pairs import first_best
 
 DISTANCE_LIMIT = 10
 SAMPLE_ROWS = 2
@@ -20,9 +21,9 @@ def nearest_alias(headers: DataFrame, aliases: DataFrame, limit: int = DISTANCE_
     Both sides are names, not data: as many rows as columns and aliases.
     """
     pairs = headers.join(F.broadcast(aliases), how="cross").withColumn("dist", F.levenshtein(F.lower("header"), F.lower("alias")))
-    best = pairs.groupBy("header").agg(F.min(F.struct("dist", "ordinal", "pos", "category")).alias("best"))
-    near = F.col("best.dist") < limit
-    return best.select("header", F.when(near, F.col("best.category")).otherwise("etc").alias("category"), F.when(near, F.col("best.dist")).alias("dist"))
+    best = first_best(pairs.withColumn("near", -F.col("dist")), ["header"], "near", ["ordinal", "pos", "category", "dist"])
+    near = F.col("dist") < limit
+    return best.select("header", F.when(near, F.col("category")).otherwise("etc").alias("category"), F.when(near, F.col("dist")).alias("dist"))
 
 
 def categories_of(df: DataFrame, aliases: DataFrame, limit: int = DISTANCE_LIMIT) -> dict[str, str]:
@@ -53,9 +54,9 @@ def classify(df: DataFrame, embedder: Embedder, accept: float = ACCEPT) -> DataF
     """(position, column, category, score): the exemplar most like each column's sample, 'etc' below accept; first exemplar on ties."""
     spark: SparkSession = df.sparkSession
     rows = [(i, c, e.split(",")[0]) for i, (c, (e, _)) in enumerate(REGISTRY.items())]
-    exemplars = spark.createDataFrame(rows, "ordinal int, category string, exemplar string").withColumn("e", embedder.column(F.col("exemplar")))
-    texts = sample_texts(df).withColumn("v", embedder.column(F.col("text")))
+    exemplars = spark.createDataFrame(rows, "ordinal int, category string, exemplar string")
+    exemplars = embed_distinct(exemplars, "exemplar", "e", embedder)
+    texts = embed_distinct(sample_texts(df), "text", "v", embedder)
     scored = texts.join(F.broadcast(exemplars), how="cross").withColumn("score", F.coalesce(rescale(cosine(F.col("v"), F.col("e")), embedder.baseline), F.lit(-1.0)))
-    best = scored.groupBy("position", "column").agg(F.min(F.struct((-F.col("score")).alias("neg"), "ordinal", "category")).alias("best"))
-    score = -F.col("best.neg")
-    return best.select("position", "column", F.when(score >= accept, F.col("best.category")).otherwise("etc").alias("category"), score.alias("score"))
+    best = first_best(scored, ["position", "column"], "score", ["ordinal", "category", "score"])
+    return best.select("position", "column", F.when(F.col("score") >= accept, F.col("category")).otherwise("etc").alias("category"), "score")

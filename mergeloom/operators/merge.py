@@ -22,6 +22,11 @@ def merged_columns(left: list[str], right: list[str], schema_map: dict[str, str
     return out
 
 
+def unmatched(right: DataFrame, matches: DataFrame, right_id: str) -> DataFrame:
+    """The rows of right that are in no match (left_id, right_id)."""
+    return right.join(matches.select(F.col("right_id").alias("_m")), F.col(f"`{right_id}`").cast("long") == F.col("_m"), "left_anti")
+
+
 def merge_tables(left: DataFrame, right: DataFrame, schema_map: dict[str, str | None], matches: DataFrame, left_id: str, right_id: str) -> DataFrame:
     """Matched and unmatched left rows, then unmatched right rows. A left value stays even where it is null."""
     left_cols, right_cols = [c for c in left.columns if c != left_id], [c for c in right.columns if c != right_id]
@@ -32,7 +37,7 @@ def merge_tables(left: DataFrame, right: DataFrame, schema_map: dict[str, str |
     cell = lambda prefix, names, c: F.col(f"{prefix}{names.index(c)}").cast("string")
     joined = a.join(pairs, "_l", "left").join(b, "_r", "left")
     first = joined.select(*((cell("a", left_cols, x) if x else cell("b", right_cols, y)).alias(n) for n, x, y in columns))
-    rest = b.join(pairs, "_r", "left_anti")
+    rest = unmatched(b, matches, "_r")
     second = rest.select(*((cell("b", right_cols, y) if y else F.lit(None).cast("string")).alias(n) for n, _, y in columns))
     return first.unionByName(second)
 

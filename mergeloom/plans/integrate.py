@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.embed import Embedder, HashingNgramEmbedder
-from ..functions.standardize import clean_table, first_name, plan_temperature, standardizer, temperature
+from ..functions.standardize import FIELDS, clean_table, field_standardizer, plan_temperature, standardizer, temperature
 from ..operators.assign import assign
 from ..operators.classify import categorize, classify
 from ..operators.match import ENTITY_THRESHOLD, match_schemas, score_pairs
@@ -44,9 +44,8 @@ class Result:
 def stack_tables(master: DataFrame, dependent: DataFrame, aliases: DataFrame) -> DataFrame:
     """Both tables under the categories of their columns, the master's names reduced to first names."""
     a, b = categorize(master, aliases), categorize(dependent, aliases)
-    if "name" in a.columns:
-        a = a.withColumn("name", first_name(F.col("name")))
-    return stack(a, b)
+    known = {c: field_standardizer(c) for c in a.columns if c.replace(" ", "_") in FIELDS}
+    return stack(a.withColumns({c: fn(F.col(f"`{c}`")) for c, fn in known.items()}), b)
 
 
 def standardize_table(df: DataFrame, embedder: Embedder, skip: tuple[str, ...] = (ROW,)) -> DataFrame:

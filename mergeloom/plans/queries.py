@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import standardize as st
+from ..functions.embed import PrecomputedEmbedder
 from ..operators import bertscore, merge, profile
 from ..operators.assign import assign
 from ..operators.classify import nearest_alias
-from ..operators.match import score_pairs
+from ..operators.match import match_categories, match_schemas, score_pairs
+from ..operators.pairs import best_with_ties, first_best
 from .integrate import Config, integrate
 
 QUERIES = {}
@@ -101,8 +103,8 @@ def time_standardize(spark, sf):
 
 @query("""SELECT l_orderkey, l_linenumber, printf('%.1f', l_quantity * 9 / 5 + 32) AS temperature FROM lineitem""")
 def temperature_standardize(spark, sf):
-    rows = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.when((F.col("l_orderkey") == 1) & (F.col("l_linenumber") == 1), F.concat(st.one_decimal(F.col("l_quantity") * 9 / 5 + 32), F.lit("F"))).otherwise(st.one_decimal(F.col("l_quantity"))).alias("raw"))
-    plan = st.TemperaturePlan(celsius=False)
+    rows = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") == 1, F.concat(st.one_decimal(F.col("l_quantity") * 9 / 5 + 32), F.lit("F"))).otherwise(st.one_decimal(F.col("l_quantity"))).alias("raw"))
+    plan = st.plan_temperature(rows.withColumn("at", F.col("l_orderkey") * 10 + F.col("l_linenumber")), "raw", "at")
     return rows.select("l_orderkey", "l_linenumber", st.temperature(F.col("raw"), plan).alias("temperature"))
 
 
@@ -145,16 +147,43 @@ def numeric_similarity(spark, sf):
     return pairs.select("s_suppkey", "c_custkey", F.round(S.numeric_similarity(F.col("s_acctbal"), F.col("c_acctbal"), F.col("sigma")), 6).alias("score"))
 
 
-@query("""
-SELECT c1.n_nationkey AS nation1, c2.n_nationkey AS nation2, CASE WHEN c1.n_nationkey = c2.n_nationkey THEN 1.0::DOUBLE ELSE 0 END AS score
-FROM (SELECT DISTINCT c_nationkey AS n_nationkey FROM customer) c1, (SELECT DISTINCT s_nationkey AS n_nationkey FROM supplier) c2""")
+@query("SELECT c_custkey AS left_id, s_suppkey AS right_id, 1.0::DOUBLE AS score FROM customer JOIN supplier ON c_nationkey = s_nationkey")
 def categorical_match_score(spark, sf):
-    from ..operators.match import attribute_score
+    return score_pairs(load(spark, sf, "customer"), load(spark, sf, "supplier"), {"c_nationkey": "s_nationkey"}, "c_custkey", "s_suppkey", exact_categories=True)
+
+
+def _nation_vectors(nations):
+    """A vector for every name and every name spelled backwards: its own place, and a little of the next one's."""
+    place = F.transform(F.sequence(F.lit(0), F.lit(24)), lambda i: F.when(i == F.col("n_nationkey"), 1.0).when(i == (F.col("n_nationkey") + 1) % 25, 0.4).otherwise(0.0))
+    named = nations.select(F.col("n_name").alias("text"), place.alias("vector"))
+    return PrecomputedEmbedder(named.union(named.select(F.reverse("text"), "vector")))
+
+
+@query("SELECT n_name AS value1, reverse(n_name) AS value2 FROM nation")
+def category_value_match(spark, sf):
+    """Neighbours are above the threshold too; the best one-to-one map is every name and itself spelled backwards."""
+    n = load(spark, sf, "nation")
+    return match_categories(n, "n_name", n.select(F.reverse("n_name").alias("back")), "back", _nation_vectors(n))
 
-    a = load(spark, sf, "customer").select(F.col("c_nationkey").alias("nation1")).distinct()
-    b = load(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation2")).distinct()
-    s, _ = attribute_score("categorical", "categorical", F.col("nation1"), F.col("nation2"))
-    return a.join(b, how="cross").select("nation1", "nation2", s.alias("score"))
+
+@query("SELECT s_suppkey AS left_id, c_custkey AS right_id, 1.0::DOUBLE AS score FROM supplier JOIN nation a ON s_nationkey = a.n_nationkey JOIN customer ON c_nationkey = a.n_nationkey")
+def mapped_category_scores(spark, sf):
+    """Pairs by a categorical attribute whose values are spelled differently on both sides."""
+    n = load(spark, sf, "nation")
+    s = load(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("nation"))
+    c = load(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.reverse("n_name").alias("back"))
+    return score_pairs(s, c, {"nation": "back"}, "s_suppkey", "c_custkey", embedder=_nation_vectors(n))
+
+
+@query("SELECT * FROM (VALUES ('s_suppkey', 'c_custkey'), ('s_name', 'c_name'), ('s_nationkey', 'c_nationkey'), ('s_acctbal', 'c_acctbal')) t(attribute, matched)")
+def schema_match(spark, sf):
+    """Column names of supplier and customer by the likeness of given vectors, one to one."""
+    left, right = load(spark, sf, "supplier").columns, load(spark, sf, "customer").columns
+    kinds = ["key", "name", "nationkey", "acctbal", "mktsegment"]
+    rows = [(c, [float(c.endswith(k)) + 0.2 * (j == 0) for j, k in enumerate(kinds)]) for c in [*left, *right]]
+    unit = [(c, [x / sum(y * y for y in v) ** 0.5 for x in v]) for c, v in rows]
+    found = match_schemas(left, right, PrecomputedEmbedder(spark.createDataFrame(unit, "text string, vector array<double>")), 0.3)
+    return spark.createDataFrame(list(found.items()), "attribute string, matched string")
 
 
 _SCORES = f"""
@@ -172,24 +201,18 @@ def entity_pair_scores(spark, sf):
     return _supplier_customer_pairs(spark, sf).select("left_id", "right_id", F.round("score", 6).alias("score"))
 
 
-_EDGES = "SELECT r_regionkey AS i, n_nationkey AS j, ((r_regionkey * 7 + n_nationkey * 13) % 11 + 1) / 11.0::DOUBLE AS score FROM region, nation WHERE r_regionkey < 4 AND n_nationkey < 5"
-
-
-@query(f"""
-WITH RECURSIVE e AS ({_EDGES}), u AS (SELECT i::BIGINT AS i, j::BIGINT AS j, score FROM e WHERE score > 0.5),
+@query("""
+WITH RECURSIVE e AS (SELECT r_regionkey::BIGINT AS i, n_nationkey::BIGINT AS j, ((r_regionkey * 7 + n_nationkey * 13) % 11 + 1) / 11.0::DOUBLE AS score FROM region, nation),
+n AS (SELECT count(*) AS n FROM region), r AS (SELECT i, row_number() OVER (ORDER BY i) AS row FROM (SELECT DISTINCT i FROM e)),
+u AS (SELECT row, j, score, row_number() OVER (PARTITION BY row ORDER BY score DESC, j) AS k FROM e JOIN r USING (i) WHERE score > 0.5),
 walk(row, used, total) AS (
-  SELECT -1::BIGINT, []::BIGINT[], 0.0::DOUBLE
+  SELECT 0::BIGINT, []::BIGINT[], 0.0::DOUBLE
   UNION ALL (
-    SELECT row + 1, list_append(used, j), total + score - 0.5 FROM walk JOIN u ON u.i = row + 1 AND NOT list_contains(used, j)
-    UNION ALL SELECT row + 1, list_append(used, -1 - row - 1), total FROM walk WHERE row < 3))
-SELECT round(max(total), 6) AS gain FROM walk WHERE row = 3""")
+    SELECT walk.row + 1, list_append(used, j), total + score - 0.5 FROM walk JOIN u ON u.row = walk.row + 1 AND u.k <= (SELECT n FROM n) AND NOT list_contains(used, j)
+    UNION ALL SELECT row + 1, used, total FROM walk WHERE row < (SELECT n FROM n)))
+SELECT round(max(total), 6) AS gain FROM walk""")
 def entity_assignment(spark, sf):
-    return _assignment_gain(load(spark, sf, "region").where("r_regionkey < 4"), load(spark, sf, "nation").where("n_nationkey < 5"))
-
-
-@query()
-def entity_assignment_whole(spark, sf):
-    """Over whole tables, too many paths for the recursive SQL: one component beyond SMALL, which the exact solver takes."""
+    """Of n rows none needs more than its n best columns, so the SQL walks these only."""
     return _assignment_gain(load(spark, sf, "region"), load(spark, sf, "nation"))
 
 
@@ -229,7 +252,17 @@ def match_audit(spark, sf):
 
 @query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def unmatched_right(spark, sf):
-    return load(spark, sf, "customer").join(load(spark, sf, "orders").where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    matches = load(spark, sf, "orders").where("o_totalprice > 400000").select(F.col("o_orderkey").alias("left_id"), F.col("o_custkey").alias("right_id"))
+    return merge.unmatched(load(spark, sf, "customer"), matches, "c_custkey").select("c_custkey", "c_name")
+
+
+@query("""
+WITH w AS (SELECT 'w' || vec_id AS word, (row_number() OVER (ORDER BY vec_id) - 1)::INTEGER AS at, embedding::DOUBLE[] AS v FROM embeddings)
+SELECT a.at AS i, b.at AS j, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM w a, w b""")
+def word_similarity_matrix(spark, sf):
+    e = load(spark, sf, "embeddings").select(F.concat(F.lit("w"), F.col("vec_id")).alias("text"), F.col("embedding").cast("array<double>").alias("vector"), "vec_id")
+    words = e.agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "text"))), lambda s: s["text"]).alias("words"))  # one sentence
+    return bertscore.word_similarity(words, words, PrecomputedEmbedder(e.select("text", "vector"))).select("i", "j", F.round("score", 6).alias("score"))
 
 
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
@@ -303,14 +336,12 @@ def token_idf(spark, sf):
 WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY round(o_totalprice, -3) DESC, o_orderkey) AS k FROM orders)
 SELECT o_custkey, o_orderkey FROM r WHERE k = 1""")
 def argmax_first_tie(spark, sf):
-    best = load(spark, sf, "orders").groupBy("o_custkey").agg(F.min(F.struct((-F.round("o_totalprice", -3)).alias("neg"), "o_orderkey")).alias("best"))
-    return best.select("o_custkey", F.col("best.o_orderkey").alias("o_orderkey"))
+    return first_best(load(spark, sf, "orders").withColumn("thousands", F.round("o_totalprice", -3)), ["o_custkey"], "thousands", ["o_orderkey"])
 
 
-@query("""SELECT o_orderkey, k FROM (SELECT o_orderkey, o_custkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority)::INTEGER AS k FROM orders) WHERE k <= 3""")
+@query("""SELECT o_orderkey FROM (SELECT o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY round(o_totalprice, -5) DESC) AS k FROM orders) WHERE k <= 3""")
 def beam_cut(spark, sf):
-    order = Window.partitionBy("o_custkey").orderBy("o_orderpriority")
-    return load(spark, sf, "orders").withColumn("k", F.rank().over(order)).where("k <= 3").select("o_orderkey", "k")
+    return best_with_ties(load(spark, sf, "orders").withColumn("value", F.round("o_totalprice", -5)), ["o_custkey"], "value", 3).select("o_orderkey")
 
 
 @query()

@@ -1,7 +1,7 @@
 """CSV sources and sinks. All cells are strings; real nulls inside, the text NULL at the sinks.
 
 A short row is padded with nulls, surplus cells and blank lines are dropped, an
-empty cell is null. A missing input raises, as every Spark source does.
+empty cell is null, and so is the text NULL that the sinks write. A missing input raises, as every Spark source does.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ def read_table(spark: SparkSession, path: str, row_col: str | None = None) -> Da
     ascending over all.
     """
     df = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, enforceSchema=True)
+    df = df.select(*(F.when(F.col(f"`{c}`") != NULL_TEXT, F.col(f"`{c}`")).alias(c) for c in df.columns))
     df = df.where(~null_row(df)) if df.columns else df
     return df.withColumn(row_col, F.monotonically_increasing_id()) if row_col else df
 
