@@ -8,8 +8,9 @@ it are compacted away. The few survivors are scored exactly in integers, as wide
 they have to be.
 
 Queries are a stated set. They are taken in groups of QUERY_GROUP rows, whose
-size bounds what is sent to each task; the candidates are scanned once a group.
-Each task keeps its k best rows for a query, and a window merges those.
+size bounds what is sent to each task; the candidates are scanned once a group. A task
+takes its candidates in blocks of BLOCK_BYTES, whose thresholds start from the k best rows of the
+blocks before, keeps its k best rows for a query, and a window merges those.
 
 Cases: a component x becomes floor(256 * x) in double precision; vectors that are
 null, or that hold a null, NaN or infinity, take no part, nor do rows without
@@ -31,6 +32,7 @@ K = 5
 EVERY = 50
 BLOCK = 16
 QUERY_GROUP = 8192
+BLOCK_BYTES = 64 << 20
 SCALE = 256
 LIMIT = float(1 << 63)
 HIT_SCHEMA = "query_id long, vec_id long, score long"
@@ -82,8 +84,8 @@ class VerticalBlock:
         self.norm = np.sqrt(squares.sum(axis=0))
         self.rest = [np.sqrt(squares[b:].sum(axis=0)) for b in range(block, rows.shape[1] + block, block)]
 
-    def best(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids and scores of the k best rows for q, ties to the smaller id."""
+    def best(self, query_id: int, q: np.ndarray, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """The ids and scores of the k best rows for q, ties to the smaller id; rows below least may be left out."""
         q = q[self.order]
         alive = np.flatnonzero(self.ids != query_id)
         part, length = None, float(np.sqrt((q**2).sum()))
@@ -94,52 +96,56 @@ class VerticalBlock:
             part = add if part is None else part + add
             slack = float(np.sqrt((q[b + self.block :] ** 2).sum())) * self.rest[n][alive]
             slack = slack * (1 + 1e-9) + 1e-12 * length * self.norm[alive] + 1e-3  # rounding of the bound itself
-            if alive.size > k:
-                floor = np.partition(part - slack, alive.size - k)[alive.size - k]
+            if alive.size > k or least > -np.inf:
+                floor = max(least, np.partition(part - slack, alive.size - k)[alive.size - k] if alive.size > k else -np.inf)
                 keep = part + slack >= floor
                 alive, part = alive[keep], part[keep]
             if alive.size <= 4 * k:
                 break
-        ids, scores = self.ids[alive], exact_scores(q, self.columns.T[alive])
-        if scores.dtype == object:
-            order = np.array(sorted(range(ids.size), key=lambda i: (-scores[i], ids[i]))[:k], np.int64)
-        else:
-            order = np.lexsort((ids, -scores))[:k]
-        return ids[order], scores[order].astype(np.int64)
-
-
-def _searcher(query_ids: np.ndarray, query_rows: np.ndarray, k: int, rows_at_once: int = 65536):
-    def search(held_ids, held_rows):
-        d = max(query_rows.shape[1], max(r.shape[1] for r in held_rows))
-        ids = np.concatenate(held_ids)
-        rows = np.concatenate([fit(r, d) for r in held_rows])
-        block = VerticalBlock(ids, rows)
-        queries = fit(query_rows, d)
-        found = [(int(i), *block.best(int(i), q, k)) for i, q in zip(query_ids, queries, strict=True)]
-        counts = [f[1].size for f in found]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(query_ids, counts), pa.int64()),
-                pa.array(np.concatenate([f[1] for f in found]), pa.int64()),
-                pa.array(np.concatenate([f[2] for f in found]), pa.int64()),
-            ],
-            ["query_id", "vec_id", "score"],
-        )
+        return first(self.ids[alive], exact_scores(q, self.columns.T[alive]), k)
+
+
+def first(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of ids and scores, ties to the smaller id."""
+    if scores.dtype == object:
+        order = np.array(sorted(range(ids.size), key=lambda i: (-scores[i], ids[i]))[:k], np.int64)
+    else:
+        order = np.lexsort((ids, -scores))[:k]
+    return ids[order], scores[order].astype(np.int64)
 
+
+def _searcher(query_ids: np.ndarray, query_rows: np.ndarray, k: int):
     def run(batches):
-        held_ids, held_rows, n = [], [], 0
+        none = np.empty(0, np.int64), np.empty(0, np.int64)
+        found = [none] * query_ids.size
+
+        def search(held_ids, held_rows):
+            d = max(query_rows.shape[1], max(r.shape[1] for r in held_rows))
+            block = VerticalBlock(np.concatenate(held_ids), np.concatenate([fit(r, d) for r in held_rows]))
+            for n, q in enumerate(fit(query_rows, d)):
+                ids, scores = found[n]
+                least = float(scores[-1]) - abs(float(scores[-1])) * 1e-12 - 1.0 if scores.size == k else -np.inf  # ties stay
+                more_ids, more = block.best(int(query_ids[n]), q, k, least)
+                found[n] = first(np.concatenate([ids, more_ids]), np.concatenate([scores, more]), k)
+
+        held_ids, held_rows, size = [], [], 0
         for b in batches:
             ok, rows = scaled(b.column(1).to_pylist())
             if not ok.size:
                 continue
             held_ids.append(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[ok])
             held_rows.append(rows)
-            n += ok.size
-            if n >= rows_at_once:
-                yield search(held_ids, held_rows)
-                held_ids, held_rows, n = [], [], 0
-        if n:
-            yield search(held_ids, held_rows)
+            size += rows.nbytes
+            if size >= BLOCK_BYTES:
+                search(held_ids, held_rows)
+                held_ids, held_rows, size = [], [], 0
+        if held_ids:
+            search(held_ids, held_rows)
+        counts = [ids.size for ids, _ in found]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(query_ids, counts), pa.int64()), pa.array(np.concatenate([none[0], *(x for x, _ in found)]), pa.int64()), pa.array(np.concatenate([none[1], *(x for _, x in found)]), pa.int64())],
+            ["query_id", "vec_id", "score"],
+        )
 
     return run
 

@@ -351,6 +351,17 @@ def test_top_k(spark):
         scores = sorted(((i, int(held[q] @ v)) for i, v in held.items() if i != q), key=lambda x: (-x[1], x[0]))
         assert got[q] == scores[:5]
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+    whole, topk.BLOCK_BYTES = topk.BLOCK_BYTES, 4000  # many blocks a task
+    try:
+        again = collections.defaultdict(list)
+        few = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+        for r in topk.top_k(few, few.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
+            again[r["query_id"]].append((r["vec_id"], r["score"]))
+        assert again == got
+    finally:
+        topk.BLOCK_BYTES = whole
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_top_k_repeats(spark):
