@@ -46,6 +46,7 @@ TABLES, BITS, RADIUS = 8, 44, 2
 FEW = 3
 TILE = 256
 BUCKET_VARIANTS = 2_000_000
+LINKS_AT_ONCE = 1_000_000
 SHINGLES_AT_ONCE = 4096
 HASHED_WORDS = 500_000
 _C, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
@@ -242,7 +243,7 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def _compare_tiles(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of the texts of two tiles (or one with itself) a pair for every two components that similar texts join."""
+    """Of the texts of two tiles (or one with itself) the pairs of components that similar texts join."""
     a, b = pdf["a"].iloc[0], pdf["b"].iloc[0]
     left, right = pdf[pdf["tile"] == a], pdf[pdf["tile"] == b]
     sets = [[np.frombuffer(x, np.uint64) for x in side["items"]] for side in (left, right)]
@@ -251,10 +252,26 @@ def _compare_tiles(pdf: pd.DataFrame) -> pd.DataFrame:
     roots = [side["root"].to_numpy() for side in (left, right)]
     ok = (common * DEN >= NUM * (sizes[0][:, None] + sizes[1][None, :] - common)) & (roots[0][:, None] != roots[1][None, :])
     i, j = np.nonzero(ok)
-    joined = np.sort(np.stack([roots[0][i], roots[1][j]], axis=1), axis=1)
-    first = np.unique(joined, axis=0, return_index=True)[1]
-    pairs = np.sort(np.stack([left["node"].to_numpy()[i[first]], right["node"].to_numpy()[j[first]]], axis=1), axis=1)
-    return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
+    joined = np.unique(np.sort(np.stack([roots[0][i], roots[1][j]], axis=1), axis=1), axis=0)
+    return pd.DataFrame({"u": joined[:, 0], "v": joined[:, 1]})
+
+
+def _forest(batches):
+    """Links of nodes, of which only those that join something not yet joined are passed on."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    for b in batches:
+        kept = []
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            a, c = find(u), find(v)
+            kept.append(a != c)
+            root[max(a, c)] = min(a, c)
+        yield b.filter(pa.array(kept, pa.bool_()))
 
 
 def _sets(words_per_shingle: int):
@@ -276,10 +293,11 @@ def _verify(batches):
         yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
-def _crowd_links(crowds: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (u, v) between the components, as links make them, of the texts in each crowd; crowds: links (u, v) of texts that met."""
-    roots = connected_components(links).select("node", "root")
-    members = connected_components(crowds).withColumnRenamed("root", "crowd").join(roots, "node", "left").select("crowd", "node", F.coalesce("root", "node").alias("root"))
+def _crowd_links(crowds: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) between components that similar texts of one crowd join; crowds: links (u, v) of texts that met, roots: (node, root)."""
+    # a text meets another at many variants: a forest of the links of each task joins the same
+    thin = crowds.coalesce(max(1, -(-crowds.count() // LINKS_AT_ONCE))).mapInArrow(_forest, "u long, v long")
+    members = connected_components(thin).withColumnRenamed("root", "crowd").join(roots, "node", "left").select("crowd", "node", F.coalesce("root", "node").alias("root"))
     members = materialize(members, "crowd-members")
     counts = members.groupBy("crowd", "root").agg(F.count("*").alias("n"))
     shape = counts.groupBy("crowd").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
@@ -292,8 +310,9 @@ def _crowd_links(crowds: DataFrame, links: DataFrame, sets: DataFrame) -> DataFr
     return dealt.join(sets, "node").groupBy("crowd", "a", "b").applyInPandas(_compare_tiles, "u long, v long")
 
 
-def similar_links(nodes: DataFrame, held: DataFrame, words_per_shingle: int = WORDS) -> DataFrame:
-    """Links (u, v) that join the similar ones of nodes (node, ROW, prints); held: (ROW, text)."""
+def similar_roots(nodes: DataFrame, held: DataFrame, words_per_shingle: int = WORDS) -> DataFrame:
+    """(node, root) for all of nodes (node, ROW, prints): root names the component of similar nodes; held: (ROW, text)."""
+    everyone = nodes.select("node")
     nodes = nodes.where("prints IS NOT NULL")
     n = nodes.count()
     buckets = max(4 * partitions(nodes.sparkSession), -(-n * TABLES * _FLIPS.size // BUCKET_VARIANTS))
@@ -306,10 +325,12 @@ def similar_links(nodes: DataFrame, held: DataFrame, words_per_shingle: int = WO
     sets = materialize(sets, "copies-sets")
     left, right = (sets.select(F.col("node").alias(x), F.col("items").alias(y)) for x, y in (("u", "x"), ("v", "y")))
     both = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "x", "y")
-    links = materialize(both.mapInArrow(_verify, "u long, v long"), "copies-links")
+    roots = materialize(connected_components(both.mapInArrow(_verify, "u long, v long")), "copies-roots")
+    rooted = everyone.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     if crowds.isEmpty():
-        return links
-    return links.unionByName(materialize(_crowd_links(crowds, links, sets), "crowd-links"))
+        return rooted
+    above = connected_components(_crowd_links(crowds, roots, sets)).select(F.col("node").alias("root"), F.col("root").alias("above"))
+    return rooted.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = WORDS) -> DataFrame:
@@ -319,9 +340,8 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = materialize(text.mapInArrow(trimmed(_prints), f"{ROW} long, doc_id long, same binary, prints binary"), "prints")
     nodes = rows.groupBy("same").agg(F.min(F.struct(ROW, "prints")).alias("x")).select("same", f"x.{ROW}", "x.prints")
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "copies-nodes")
-    roots = materialize(connected_components(similar_links(nodes, text.select(ROW, "text"), words_per_shingle)), "copies-roots")
-    rooted = nodes.select("same", "node").join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("root"))
-    grouped = rows.select(ROW, "doc_id", "same").join(rooted, "same")
+    rooted = nodes.select("same", "node").join(similar_roots(nodes, text.select(ROW, "text"), words_per_shingle), "node").select("same", "root")
+    grouped = materialize(rows.select(ROW, "doc_id", "same").join(rooted, "same").select(ROW, "doc_id", "root"), "copies-grouped")
     # a partial aggregation, so a group of any size is one row a task
     best = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", ROW)).alias("x"))
     lost = grouped.select(ROW).join(best.select(F.col(f"x.{ROW}").alias(ROW)), ROW, "left_anti")
