@@ -32,7 +32,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.segment(docs, public_tokenizer("piece_bpe_32k.model"), digest=True)
+    return pieces.segment(docs, public_tokenizer("piece_bpe_32k.model"), digest=True, chunk=400_000)
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("segment", segment)]

@@ -213,10 +213,41 @@ def met_pairs(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return pairs(found), pairs([_stars(keys[crowd], nodes[crowd])])
 
 
+def forest(links: np.ndarray, root: dict[int, int] | None = None) -> np.ndarray:
+    """Of links those that join something not yet joined; root: what earlier links have joined, added to."""
+    root = {} if root is None else root
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    kept = []
+    for i, (u, v) in enumerate(links.tolist()):
+        a, c = find(u), find(v)
+        if a != c:
+            kept.append(i)
+            root[max(a, c)] = min(a, c)
+    return links[kept]
+
+
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A row for every pair to compare, and one for the bucket with a forest of its crowds' links."""
     pairs, links = met_pairs(*_unpacked(pdf["block"].tolist()))
-    both = np.concatenate([pairs, links])
-    return pd.DataFrame({"u": both[:, 0], "v": both[:, 1], "crowd": np.arange(len(both)) >= len(pairs)})
+    out = pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]}).astype("Int64")
+    out["links"] = None
+    if len(links):
+        out.loc[len(out)] = [pd.NA, pd.NA, forest(links).tobytes()]
+    return out
+
+
+def _forest(batches):
+    """The links of buckets, of which only those that join something not yet joined in this task are passed on."""
+    root: dict[int, int] = {}
+    for b in batches:
+        for raw in b.column(0).to_pylist():
+            kept = forest(np.frombuffer(raw, np.int64).reshape(-1, 2), root)
+            yield pa.RecordBatch.from_arrays([pa.array(kept[:, 0]), pa.array(kept[:, 1])], ["u", "v"])
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -256,24 +287,6 @@ def _compare_tiles(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"u": joined[:, 0], "v": joined[:, 1]})
 
 
-def _forest(batches):
-    """Links of nodes, of which only those that join something not yet joined are passed on."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := root.get(x, x)) != x:
-            root[x] = x = root.get(up, up)
-        return x
-
-    for b in batches:
-        kept = []
-        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            a, c = find(u), find(v)
-            kept.append(a != c)
-            root[max(a, c)] = min(a, c)
-        yield b.filter(pa.array(kept, pa.bool_()))
-
-
 def _sets(words_per_shingle: int):
     def run(batches):
         hashes = WordHashes()
@@ -295,9 +308,7 @@ def _verify(batches):
 
 def _crowd_links(crowds: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (u, v) between components that similar texts of one crowd join; crowds: links (u, v) of texts that met, roots: (node, root)."""
-    # a text meets another at many variants: a forest of the links of each task joins the same
-    thin = crowds.coalesce(max(1, -(-crowds.count() // LINKS_AT_ONCE))).mapInArrow(_forest, "u long, v long")
-    members = connected_components(thin).withColumnRenamed("root", "crowd").join(roots, "node", "left").select("crowd", "node", F.coalesce("root", "node").alias("root"))
+    members = connected_components(crowds).withColumnRenamed("root", "crowd").join(roots, "node", "left").select("crowd", "node", F.coalesce("root", "node").alias("root"))
     members = materialize(members, "crowd-members")
     counts = members.groupBy("crowd", "root").agg(F.count("*").alias("n"))
     shape = counts.groupBy("crowd").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
@@ -317,10 +328,15 @@ def similar_roots(nodes: DataFrame, held: DataFrame, words_per_shingle: int = WO
     n = nodes.count()
     buckets = max(4 * partitions(nodes.sparkSession), -(-n * TABLES * _FLIPS.size // BUCKET_VARIANTS))
     blocks = nodes.select("node", "prints").mapInArrow(trimmed(_emit(buckets)), "bucket long, block binary").repartition(buckets, "bucket")
-    met = materialize(blocks.groupBy("bucket").applyInPandas(_meet, "u long, v long, crowd boolean").distinct(), "copies-pairs")
-    pairs, crowds = met.where(~F.col("crowd")).select("u", "v"), met.where("crowd").select("u", "v")
-    who = met.select(F.col("u").alias("node")).union(met.select("v")).distinct()
-    who = materialize(nodes.select("node", ROW).join(who, "node"), "copies-met")
+    met = materialize(blocks.groupBy("bucket").applyInPandas(_meet, "u long, v long, links binary"), "copies-met")
+    pairs = materialize(met.where("links IS NULL").select("u", "v").distinct(), "copies-pairs")
+    # texts that meet do so at many variants: a forest of the links that a task reads joins the same
+    packed = met.where("links IS NOT NULL").select("links")
+    n_links = packed.agg(F.sum(F.octet_length("links")) / 16).first()[0] or 0
+    crowds = materialize(packed.coalesce(max(1, int(-(-n_links // LINKS_AT_ONCE)))).mapInArrow(_forest, "u long, v long"), "crowd-links")
+    both_kinds = pairs.unionByName(crowds)
+    who = both_kinds.select(F.col("u").alias("node")).union(both_kinds.select("v")).distinct()
+    who = materialize(nodes.select("node", ROW).join(who, "node"), "copies-who")
     sets = held.where(bit_filter(who)).join(who.hint("merge"), ROW).select("node", "text").mapInArrow(trimmed(_sets(words_per_shingle)), "node long, items binary")
     sets = materialize(sets, "copies-sets")
     left, right = (sets.select(F.col("node").alias(x), F.col("items").alias(y)) for x, y in (("u", "x"), ("v", "y")))

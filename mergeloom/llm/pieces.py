@@ -472,8 +472,8 @@ def _digests(vocab: Vocabulary, parts: list[np.ndarray], raw: list[bytes]) -> tu
     return [pa.array([x.size for x in parts], pa.int64()), pa.array([_crc(x) for x in parts], pa.int64()), pa.array([a == b for a, b in zip(texts, raw, strict=True)], pa.bool_())], texts
 
 
-def segment(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = SEED, theta: float = 1.0, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """Every row's library encoding and k sampled segmentations, as ids; with digest also the text decoded from the encoding, and of each segmentation its count, checksum and whether it decodes to the row's text."""
+def segment(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = SEED, theta: float = 1.0, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """Every row's library encoding and k sampled segmentations, as ids; with digest also the text decoded from the encoding, and of each segmentation its count, checksum and whether it decodes to the row's text. chunk: the characters that a task takes at once, which its memory follows and the result does not."""
     digests = ["n_pieces", "ids_crc32", "decoded"]
 
     def run(batches):
@@ -481,7 +481,7 @@ def segment(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = SEED, the
         for b in batches:
             column, texts = b.column(0), b.column(1).to_pylist()
             keys = [-1 if x is None else x for x in column.to_pylist()]
-            for i, j in text_chunks(texts, CHUNK):
+            for i, j in text_chunks(texts, chunk):
                 words = Words(texts[i:j])
                 best = own.encode(texts[i:j], words)
                 drawn = sample(own.vocab, texts[i:j], keys[i:j], k, seed, words)
