@@ -73,7 +73,7 @@ class PieceCache:
         """The cache rows of all words of texts, cut at single spaces, and each text's word count."""
         words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         coded = words.flatten().dictionary_encode()
-        rows = self.rows(coded.dictionary.to_pylist())
+        rows = self.rows(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         return rows[coded.indices.to_numpy()], np.diff(words.offsets.to_numpy())
 
     def expand(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
