@@ -12,8 +12,8 @@ segmentation of log-probability lp the inclusion score 1 - exp(-exp(lp - T)).
 The lattice is cut at spaces, which pieces cross only in runs of spaces. Each
 distinct word of a chunk of texts gets its lattice once: edges by a trie, total
 probabilities of suffixes by one backward pass. Drawing then walks all words of the
-chunk together. Random numbers are a hash of seed, row key, draw, word and step, so
-they depend on no partitioning.
+chunk together. Random numbers are a hash of seed, row key, draw, word and step, and sums are taken word by word, so
+nothing depends on the partitioning. Lattices of words stay for the next chunk, up to ``KEPT`` characters.
 
 The public model is a BPE, so its pieces have ranks, not probabilities: a piece of
 rank r weighs 1 / (r + 2.7), normalised; a character without a piece is spelled in
@@ -45,6 +45,7 @@ from .piece_cache import PieceCache, public_tokenizer
 SAMPLES = 2
 SEED = 20
 CHUNK = 800_000
+KEPT = 700_000
 MARK = "▁"
 SCHEMA = "doc_id long, ids array<int>, samples array<struct<ids: array<int>, log_prob: double, inclusion: double>>"
 SCHEMA_DIGEST = "doc_id long, ids array<int>, text string, n_pieces long, ids_crc32 long, decoded boolean, samples array<struct<ids: array<int>, log_prob: double, inclusion: double, n_pieces: long, ids_crc32: long, decoded: boolean>>"
@@ -52,6 +53,7 @@ SCHEMA_DIGEST = "doc_id long, ids array<int>, text string, n_pieces long, ids_cr
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
+_MASK = (1 << 64) - 1
 _DENSE, _WIDTH = 0x3000, 128
 _LONG, _GROUP = 4096, 512
 
@@ -143,81 +145,134 @@ def spread(start: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Lattices:
-    """The lattices of some distinct words: nodes are positions, edges carry conditional probabilities."""
-
-    def __init__(self, vocab: Vocabulary, words: list[str]):
+    """The lattices of distinct words: nodes are positions, edges carry conditional probabilities.
+
+    Up to ``limit`` nodes stay from one call of ``roots`` to the next, other words' until then; with
+    them it holds ``limit`` nodes and those of one chunk of texts. A word's numbers do not depend on the others.
+    """
+
+    def __init__(self, vocab: Vocabulary, limit: int = KEPT):
+        self.vocab, self.limit = vocab, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.nodes = self.edges = self.kept_nodes = self.kept_edges = 0
+        self.first = np.zeros(1 << 12, np.int32)
+        self.start, self.to, self.piece = (np.empty(1 << 14, np.int32) for _ in range(3))
+        self.logp, self.cum = np.empty(1 << 14), np.empty(1 << 14)
+
+    def roots(self, words: list[str]) -> np.ndarray:
+        """The first node of every word, the mark before it included; valid until the next call."""
+        self.nodes, self.edges = self.kept_nodes, self.kept_edges
+        found = list(map(self.index.get, words))
+        holes = [i for i, f in enumerate(found) if f is None]
+        if holes:
+            if self.kept_nodes > self.limit // 2 and 4 * len(holes) > 3 * len(words):  # other words than those held
+                self.clear()
+                holes = list(range(len(words)))
+            fresh = [words[i] for i in holes]
+            own = self._add([MARK + w for w in fresh])
+            for i, node in zip(holes, own.tolist(), strict=True):
+                found[i] = node
+            if self.nodes <= self.limit:
+                self.index.update(zip(fresh, own.tolist(), strict=True))
+                self.kept_nodes, self.kept_edges = self.nodes, self.edges
+        return np.array(found, np.int64)
+
+    def _room(self, nodes: int, edges: int) -> None:
+        def grown(x: np.ndarray, used: int, wanted: int) -> np.ndarray:
+            if wanted <= x.size:
+                return x
+            out = np.empty(max(wanted, min(2 * x.size, x.size + (1 << 20))), x.dtype)
+            out[:used] = x[:used]
+            return out
+
+        self.first = grown(self.first, self.nodes + 1, nodes + 1)
+        for name in ("start", "to", "piece", "logp", "cum"):
+            setattr(self, name, grown(getattr(self, name), self.edges, edges))
+
+    def _add(self, words: list[str]) -> np.ndarray:
+        """The first nodes of new words. Nodes are numbered by the characters to their word's end, nearest first."""
+        vocab, size = self.vocab, self.vocab.logw.size
         lens = np.array([len(w) for w in words], np.int64)
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         ends = np.cumsum(lens)
-        self.root = ends - lens
-        stop = np.repeat(ends, lens)
         n = codes.size
+        left = np.repeat(ends, lens) - np.arange(n)
+        place = np.argsort(left.astype(np.int16) if left.max() < 32768 else left, kind="stable")  # of each node
+        rank = np.empty(n, np.int32)
+        rank[place] = np.arange(n, dtype=np.int32)
+        left = left[place]
         found = []  # by length, the nodes where pieces of that length start and their ids
         at, state, length = np.arange(n), np.zeros(n, np.int64), 0
         while at.size:
-            state = vocab.advance(state, codes[at + length])
+            state = vocab.advance(state, codes[place[at] + length])
             hit = state >= 0
             at, state, length = at[hit], state[hit], length + 1
             piece = vocab.final[state]
             whole = piece >= 0
             found.append((at[whole], piece[whole]))
-            more = at + length < stop[at]
+            more = left[at] > length
             at, state = at[more], state[more]
-        single = np.zeros(n, bool)
-        if found:
-            single[found[0][0]] = True
-        lone = np.flatnonzero(~single)  # spelled in bytes: pseudo-ids above the vocabulary
-        size = vocab.logw.size
-        kinds, which = np.unique(codes[lone], return_inverse=True)
-        if lone.size:
-            found[0] = np.concatenate([found[0][0], lone]), np.concatenate([found[0][1], size + which])
-        spelled = [vocab.byte_ids[list(chr(c).encode("utf-8", "surrogatepass"))] for c in kinds]
-        counts = np.concatenate([np.ones(size, np.int64), np.array([s.size for s in spelled], np.int64)])
-        self.id_off = np.concatenate([[0], np.cumsum(counts)])
-        self.id_flat = np.concatenate([np.arange(size), *spelled]).astype(np.int64)
-        # a word's last node is not among n; nodes are numbered by position, and to == stop means the end
+        lone = np.ones(n, bool)
+        lone[found[0][0]] = False
+        alone = np.flatnonzero(lone)
+        if alone.size:  # spelled in bytes: pseudo-ids above the vocabulary
+            found[0] = np.concatenate([found[0][0], alone]), np.concatenate([found[0][1], size + codes[place[alone]]])
         degree = np.zeros(n, np.int64)
         for at, _ in found:
             degree[at] += 1
-        self.first = np.concatenate([[0], np.cumsum(degree)])
-        self.start = np.repeat(np.arange(n), degree)
-        self.to, self.piece = np.empty(self.start.size, np.int64), np.empty(self.start.size, np.int64)
-        free = self.first[:-1].copy()
+        first = np.concatenate([[0], np.cumsum(degree)])
+        total = int(first[-1])
+        start = np.repeat(np.arange(n, dtype=np.int32), degree)
+        to, piece = np.empty(total, np.int32), np.empty(total, np.int32)
+        free = first[:-1].copy()
         for length in range(len(found), 0, -1):  # long pieces first, as they are likely
-            at, piece = found[length - 1]
-            place = free[at]
-            self.to[place], self.piece[place] = at + length, piece
+            at, kind = found[length - 1]
+            edge = free[at]
+            piece[edge] = kind
+            stays = left[at] > length
+            to[edge] = -1
+            to[edge[stays]] = rank[place[at[stays]] + length]
             free[at] += 1
-        logw = np.concatenate([vocab.logw, np.full(kinds.size, vocab.fallback)])[self.piece]
-        self.end = self.to == stop[self.start]
-        aim = np.where(self.end, n, self.to)  # node n stands for all ends
-        beta = np.zeros(n + 1)
-        left = stop - np.arange(n)  # characters to the word's end
-        by_left = np.argsort(np.minimum(left, 32767).astype(np.int16) if n and left.max() < 32768 else left, kind="stable")
-        cuts = np.searchsorted(left[by_left], np.arange(1, int(left.max(initial=0)) + 2))
-        for d in range(cuts.size - 1):  # backward: nodes nearest to their word's end first
-            nodes = by_left[cuts[d] : cuts[d + 1]]
-            degree = self.first[nodes + 1] - self.first[nodes]
-            edges = spread(self.first[nodes], degree)
-            value = logw[edges] + beta[aim[edges]]
-            cut = np.cumsum(degree) - degree
+        logp = vocab.logw[np.minimum(piece, size - 1)]
+        if alone.size:
+            logp[piece >= size] = vocab.fallback
+        beta = np.zeros(n + 1)  # its last stands for all ends, as to is -1 there
+        cuts = np.searchsorted(left, np.arange(1, int(left[-1]) + 2))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):  # backward: nodes nearest to their word's end first
+            edge = slice(int(first[a]), int(first[b]))
+            value = logp[edge] + beta[to[edge]]
+            cut = first[a:b] - first[a]
             top = np.maximum.reduceat(value, cut)
-            beta[nodes] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, degree)), cut))
-        self.logp = np.minimum(logw + beta[aim] - beta[self.start], 0.0)
-        total = np.cumsum(np.exp(self.logp))
-        before = np.concatenate([[0.0], total])[self.first[:-1]]
-        within = total - before[self.start] if n else total
-        self.cum = self.start + np.minimum(within, 1.0)  # node number plus share: ascending over all edges
-        self.last = self.first[1:] - 1 if n else self.first[:0]
+            beta[a:b] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, degree[a:b])), cut))
+        logp = np.minimum(logp + beta[to] - beta[start], 0.0)
+        cum = np.exp(logp)
+        deep, d = np.flatnonzero(degree > 1), 1
+        while deep.size:
+            edge = first[deep] + d
+            cum[edge] += cum[edge - 1]
+            d += 1
+            deep = deep[degree[deep] > d]
+        base, low, high = self.nodes, self.edges, self.edges + total
+        self._room(base + n, high)
+        self.first[base : base + n + 1] = low + first
+        self.start[low:high] = start + np.int32(base)
+        self.to[low:high] = np.where(to < 0, to, to + np.int32(base))
+        self.piece[low:high], self.logp[low:high], self.cum[low:high] = piece, logp, np.minimum(cum, 1.0)
+        self.nodes, self.edges = base + n, high
+        return rank[ends - lens] + np.int64(base)
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge out of each node."""
-        e, target = self.first[node], node + u
-        live = np.flatnonzero((self.cum[e] < target) & (e < self.last[node]))
+        e = self.first[node]
+        last = self.first[node + 1] - 1
+        live = np.flatnonzero((self.cum[e] < u) & (e < last))
         while live.size:
             e[live] += 1
             at = e[live]
-            live = live[(self.cum[at] < target[live]) & (at < self.last[node[live]])]
+            live = live[(self.cum[at] < u[live]) & (at < last[live])]
         return e
 
     def walk(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,22 +280,34 @@ class Lattices:
         steps, live, cur, t = [], np.arange(nodes.size), nodes, 0
         counts = np.zeros(nodes.size, np.int64)
         while live.size:
-            e = self.draw(cur, uniform(mix(keys[live] + _times(t, _GOLD))))
+            e = self.draw(cur, uniform(mix(keys + _times(t, _GOLD))))
             steps.append((live, e))
             counts[live] += 1
-            going = ~self.end[e]
-            live, cur, t = live[going], self.to[e[going]], t + 1
+            to = self.to[e]
+            going = to >= 0
+            live, cur, keys, t = live[going], to[going], keys[going], t + 1
         offsets = np.cumsum(counts) - counts
-        out = np.empty(int(counts.sum()), np.int64)
+        out = np.empty(int(counts.sum()), np.int32)
         for i, (who, e) in enumerate(steps):
             out[offsets[who] + i] = e
         return out, counts
 
-    def ids(self, edges: np.ndarray) -> np.ndarray:
-        """The piece ids that edges stand for."""
-        p = self.piece[edges]
-        start = self.id_off[p]
-        return self.id_flat[spread(start, self.id_off[p + 1] - start)]
+    def ids(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The piece ids that edges stand for, and their number by edge."""
+        own = self.piece[edges]
+        counts = np.ones(own.size, np.int64)
+        spelled = np.flatnonzero(own >= self.vocab.logw.size)
+        if not spelled.size:
+            return own, counts
+        code = own[spelled] - self.vocab.logw.size
+        kinds, which = np.unique(code, return_inverse=True)
+        ids = [self.vocab.byte_ids[list(chr(c).encode("utf-8", "surrogatepass"))] for c in kinds.tolist()]
+        sizes = np.array([x.size for x in ids], np.int64)
+        counts[spelled] = sizes[which]
+        out = np.repeat(own, counts)
+        begin = (np.cumsum(counts) - counts)[spelled]
+        out[spread(begin, sizes[which])] = np.concatenate(ids)[spread((np.cumsum(sizes) - sizes)[which], sizes[which])]
+        return out, counts
 
 
 class Words:
@@ -250,7 +317,7 @@ class Words:
         held = [i for i, t in enumerate(texts) if t]
         cut = pc.split_pattern(pa.array([texts[i] for i in held], pa.large_string()), " ")
         coded = cut.flatten().dictionary_encode()
-        self.distinct: list[str] = coded.dictionary.to_pylist()
+        self.distinct: list[str] = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         self.kinds = coded.indices.to_numpy().astype(np.int64)
         self.counts = np.zeros(len(texts), np.int64)
         self.counts[held] = np.diff(cut.offsets.to_numpy())
@@ -268,7 +335,18 @@ class _Search:
     """The A* search of one text. Parts are (path, lo, hi, barred): all that leave path at a piece in [lo, hi), at lo over no barred edge."""
 
     def __init__(self, lattices: Lattices, key: int):
-        self.lat, self.rng, self.found, self.heap, self.tick = lattices, np.random.Generator(np.random.Philox(key=key)), [], [], 0
+        self.lat, self.key, self.found, self.heap, self.tick = lattices, key, [], [], 0
+
+    def random(self) -> float:
+        """The next number in (0, 1) of the key's row, as uniform(mix()) has it."""
+        self.key = (self.key + int(_GOLD)) & _MASK
+        x = self.key
+        x = (x ^ (x >> 30)) * int(_M1) & _MASK
+        x = (x ^ (x >> 27)) * int(_M2) & _MASK
+        return (((x ^ (x >> 31)) >> 11) + 0.5) * 2.0**-53
+
+    def exponential(self) -> float:
+        return -math.log(self.random())
 
     def mass(self, path: _Path, lo: int, hi: int, barred: tuple) -> tuple[float, float]:
         """Log of the probability of leaving at lo, and of leaving in (lo, hi)."""
@@ -293,7 +371,7 @@ class _Search:
             return
         logm = top + math.log(math.exp(at - top) + math.exp(after - top))
         # Gumbel at logm, truncated at bound
-        g = logm - math.log(self.rng.exponential())
+        g = logm - math.log(self.exponential())
         value = bound if bound - g > 700 and g == -math.inf else -max(-bound, -g) - math.log1p(math.exp(-abs(g - bound)))
         heapq.heappush(self.heap, (-value, self.tick, path, lo, hi, barred))
         self.tick += 1
@@ -305,8 +383,8 @@ class _Search:
         neg, _, path, lo, hi, barred = heapq.heappop(self.heap)
         at, after = self.mass(path, lo, hi, barred)
         j = lo
-        if after > -math.inf and (at == -math.inf or self.rng.random() >= 1 / (1 + math.exp(min(after - at, 700)))):
-            u = self.rng.random() * -math.expm1(path.cum[hi] - path.cum[lo + 1])
+        if after > -math.inf and (at == -math.inf or self.random() >= 1 / (1 + math.exp(min(after - at, 700)))):
+            u = self.random() * -math.expm1(path.cum[hi] - path.cum[lo + 1])
             ahead = path.cum[lo + 2 : hi + 1] - path.cum[lo + 1]
             j = lo + 1 + min(int(np.searchsorted(-ahead, -math.log1p(-u), side="left")), hi - lo - 2)
             while self.lat.logp[path.edges[j]] > -1e-15 and j > lo + 1:  # rounding: leave where there is a choice
@@ -317,7 +395,7 @@ class _Search:
         if not choices.size:
             return self.pop()
         p = np.exp(self.lat.logp[choices])
-        e = int(choices[min(int(np.searchsorted(np.cumsum(p), self.rng.random() * p.sum())), choices.size - 1)])
+        e = int(choices[min(int(np.searchsorted(np.cumsum(p), self.random() * p.sum())), choices.size - 1)])
         bound = -neg
         if j > lo:
             self.push(path, lo, j, barred, bound)
@@ -326,65 +404,61 @@ class _Search:
         return path, j, e, bound
 
 
-def sample(vocab: Vocabulary, texts: list[str], keys: list[int], k: int = SAMPLES, seed: int = SEED, words: Words | None = None) -> list[list[tuple[np.ndarray, float, float]]]:
+def sample(vocab: Vocabulary, texts: list[str], keys: list[int], k: int = SAMPLES, seed: int = SEED, words: Words | None = None, lattices: Lattices | None = None) -> list[list[tuple[np.ndarray, float, float]]]:
     """For every text up to k distinct segmentations: (ids, log-probability, inclusion score), best bound first."""
-    held = [i for i, t in enumerate(texts) if t]
-    results: list[list] = [[] if t else [(np.empty(0, np.int64), 0.0, 1.0)] for t in texts]
-    if not held:
+    held = np.array([i for i, t in enumerate(texts) if t], np.int64)
+    results: list[list] = [[] if t else [(np.empty(0, np.int32), 0.0, 1.0)] for t in texts]
+    if not held.size:
         return results
     words = words or Words(texts)
-    kinds, counts = words.kinds, words.counts
-    lat = Lattices(vocab, [MARK + w for w in words.distinct])
+    counts, lat = words.counts, lattices or Lattices(vocab)
+    root = lat.roots(words.distinct)[words.kinds]
     first_word = np.cumsum(counts) - counts
     row = mix((np.array(keys, np.int64).view(np.uint64) * _GOLD) ^ np.uint64(seed))
-    searches = [_Search(lat, int(r)) if t else None for r, t in zip(row, texts, strict=True)]
+    searches = [_Search(lat, key) if t else None for key, t in zip(mix(row ^ _M1).tolist(), texts, strict=True)]
     paths: list[list[_Path]] = [[] for _ in texts]
     bounds: list[list[float]] = [[] for _ in texts]
-    jobs = [(i, None, 0, 0, -math.log(searches[i].rng.exponential())) for i in held]
+    who, begin, resume = held, np.zeros(held.size, np.int64), np.full(held.size, -1)
+    jobs = [(None, 0, 0, -math.log(searches[i].exponential())) for i in held.tolist()]
     for r in range(k):
-        starts, keys_, sizes = [], [], []
-        for i, path, j, e, _ in jobs:
-            w0 = 0 if path is None else int(path.words[j])
-            own = np.arange(w0, counts[i])
-            nodes = lat.root[kinds[first_word[i] + own]]
-            draws = mix(row[i] + own.astype(np.uint64) * _M2 + _times(r, _M1))
-            if path is not None:  # the rest of the word in which the path is left
-                if lat.end[e]:
-                    nodes, draws = nodes[1:], draws[1:]
-                else:
-                    nodes[0] = lat.to[e]
-            starts.append(nodes)
-            keys_.append(draws)
-            sizes.append(nodes.size)
         if not jobs:
             break
-        edges, steps = lat.walk(np.concatenate(starts), np.concatenate(keys_))
+        sizes = counts[who] - begin
+        at = spread(first_word[who] + begin, sizes)
+        own = at - np.repeat(first_word[who], sizes)
+        nodes = root[at]
         word_cut = np.concatenate([[0], np.cumsum(sizes)])
-        edge_cut = np.concatenate([[0], np.cumsum(steps)])
-        nxt = []
-        for n, (i, path, j, e, bound) in enumerate(jobs):
-            a, b = word_cut[n], word_cut[n + 1]
-            tail = edges[edge_cut[a] : edge_cut[b]]
-            tail_words = np.repeat(np.arange(counts[i] - (b - a), counts[i]), steps[a:b])
+        inside = np.flatnonzero(resume >= 0)  # the rest of the word in which the path is left
+        nodes[word_cut[inside]] = resume[inside]
+        edges, steps = lat.walk(nodes, mix(np.repeat(row[who], sizes) + own.astype(np.uint64) * _M2 + _times(r, _M1)))
+        owner, logp = np.repeat(own, steps), lat.logp[edges]
+        edge_cut = np.concatenate([[0], np.cumsum(steps)])[word_cut].tolist()
+        nxt, left = [], []
+        for n, (i, (path, j, e, bound)) in enumerate(zip(who.tolist(), jobs, strict=True)):
+            tail = slice(edge_cut[n], edge_cut[n + 1])
             if path is None:
-                new, lo = _Path(tail, tail_words, lat.logp[tail]), 0
+                new, lo = _Path(edges[tail], owner[tail], logp[tail]), 0
             else:
-                all_edges = np.concatenate([path.edges[:j], [e], tail])
-                new, lo = _Path(all_edges, np.concatenate([path.words[: j + 1], tail_words]), lat.logp[all_edges]), j + 1
+                all_edges = np.concatenate([path.edges[:j], [e], edges[tail]])
+                new, lo = _Path(all_edges, np.concatenate([path.words[: j + 1], owner[tail]]), lat.logp[all_edges]), j + 1
             paths[i].append(new)
             bounds[i].append(bound)
             s = searches[i]
             s.push(new, lo, new.edges.size, (), bound)
             if r + 1 < k and (got := s.pop()) is not None:
-                nxt.append((i, *got))
+                nxt.append(got)
+                left.append((i, int(got[0].words[got[1]]), int(lat.to[got[2]])))
         jobs = nxt
-    for i, own in enumerate(paths):
-        if own:
-            limit = -searches[i].heap[0][0] if searches[i].heap else -math.inf
-            for p in own:
-                lp = float(p.cum[-1])
-                gap = lp - limit
-                results[i].append((lat.ids(p.edges), lp, 1.0 if gap > 700 else float(-math.expm1(-math.exp(gap)))))
+        who, begin, resume = np.array(left, np.int64).reshape(-1, 3).T
+        begin = begin + (resume < 0)
+    drawn = [(i, p) for i, own in enumerate(paths) for p in own]
+    ids, sizes = lat.ids(np.concatenate([p.edges for _, p in drawn]))
+    cuts = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *(p.edges.size for _, p in drawn)])].tolist()
+    for n, (i, p) in enumerate(drawn):
+        limit = -searches[i].heap[0][0] if searches[i].heap else -math.inf
+        lp = float(p.cum[-1])
+        gap = lp - limit
+        results[i].append((ids[cuts[n] : cuts[n + 1]], lp, 1.0 if gap > 700 else float(-math.expm1(-math.exp(gap)))))
     return results
 
 
@@ -404,6 +478,7 @@ class Pieces:
             if self.sp.is_byte(i):
                 byte_ids[int(self.sp.id_to_piece(i)[3:5], 16)] = i
         self.vocab = Vocabulary([(i, p, -math.log(r + 2.7) - total) for r, (i, p) in enumerate(normal)], byte_ids, theta)
+        self.lattices = Lattices(self.vocab)
         self.id_bytes = np.diff(self.vocab.byte_off)
         self.cache = PieceCache(self._many, 600_000)
 
@@ -457,19 +532,24 @@ def pieces(model: str, theta: float) -> Pieces:
     return _MODELS[model, theta]
 
 
-def _crc(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
+def _flat(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of some segmentations and where each begins and the last one ends."""
+    cuts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
+    return np.concatenate([np.empty(0, np.int32), *parts]).astype(np.int32), cuts
 
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *parts]).astype(np.int32)))
+def _lists(ids: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids))
 
 
-def _digests(vocab: Vocabulary, parts: list[np.ndarray], raw: list[bytes]) -> tuple[list[pa.Array], list[bytes]]:
+def _digests(vocab: Vocabulary, ids: np.ndarray, cuts: np.ndarray, raw: list[bytes]) -> tuple[list[pa.Array], list[bytes]]:
     """Of segmentations of raw: the number of pieces, the checksum of the ids and whether they decode to it; and what they decode to."""
-    texts = [vocab.decode(x.astype(np.int64)) for x in parts]
-    return [pa.array([x.size for x in parts], pa.int64()), pa.array([_crc(x) for x in parts], pa.int64()), pa.array([a == b for a, b in zip(texts, raw, strict=True)], pa.bool_())], texts
+    spelled, coded = vocab.raw(ids).tobytes(), memoryview(ids.astype("<u4")).cast("B")
+    ends = np.concatenate([[0], np.cumsum(vocab.byte_off[ids + 1] - vocab.byte_off[ids])])[cuts].tolist()
+    texts = [spelled[a + 1 : b] for a, b in zip(ends[:-1], ends[1:], strict=True)]  # without the space put before it
+    at = (4 * cuts).tolist()
+    sums = [zlib.crc32(coded[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+    return [pa.array(np.diff(cuts)), pa.array(sums, pa.int64()), pa.array([a == b for a, b in zip(texts, raw, strict=True)], pa.bool_())], texts
 
 
 def segment(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = SEED, theta: float = 1.0, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, chunk: int = CHUNK) -> DataFrame:
@@ -484,15 +564,15 @@ def segment(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = SEED, the
             for i, j in text_chunks(texts, chunk):
                 words = Words(texts[i:j])
                 best = own.encode(texts[i:j], words)
-                drawn = sample(own.vocab, texts[i:j], keys[i:j], k, seed, words)
-                flat = [x for d in drawn for x, _, _ in d]
-                out = {"doc_id": column.slice(i, j - i), "ids": _lists(best)}
-                item = {"ids": _lists(flat), "log_prob": pa.array([lp for d in drawn for _, lp, _ in d], pa.float64()), "inclusion": pa.array([q for d in drawn for _, _, q in d], pa.float64())}
+                drawn = sample(own.vocab, texts[i:j], keys[i:j], k, seed, words, own.lattices)
+                best, flat = _flat(best), _flat([x for d in drawn for x, _, _ in d])
+                out = {"doc_id": column.slice(i, j - i), "ids": _lists(*best)}
+                item = {"ids": _lists(*flat), "log_prob": pa.array([lp for d in drawn for _, lp, _ in d], pa.float64()), "inclusion": pa.array([q for d in drawn for _, _, q in d], pa.float64())}
                 if digest:
                     raw = [t.encode() for t in texts[i:j]]
-                    values, decoded = _digests(own.vocab, best, raw)
+                    values, decoded = _digests(own.vocab, *best, raw)
                     out |= {"text": pa.array([t.decode("utf-8", "replace") for t in decoded], pa.string())} | dict(zip(digests, values, strict=True))
-                    item |= dict(zip(digests, _digests(own.vocab, flat, [t for t, d in zip(raw, drawn, strict=True) for _ in d])[0], strict=True))
+                    item |= dict(zip(digests, _digests(own.vocab, *flat, [t for t, d in zip(raw, drawn, strict=True) for _ in d])[0], strict=True))
                 cuts = np.concatenate([[0], np.cumsum([len(d) for d in drawn])])
                 out["samples"] = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays(list(item.values()), list(item)))
                 yield pa.RecordBatch.from_arrays(list(out.values()), list(out))

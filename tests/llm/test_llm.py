@@ -208,6 +208,20 @@ def test_sampling_law():
     assert len(pieces.sample(vocab, ["b"], [1], 9)[0]) == 1
 
 
+def test_samples_do_not_depend_on_chunks(docs):
+    own = pieces.pieces(public_tokenizer("piece_bpe_32k.model"), 1.0)
+    texts = [(r["text"] or "")[:3000] for r in docs.limit(60).collect()] + ["", "a \U0001f9ff\U0001f9ff b\uac03 \uac03", "  x  ", "日本語" * 50, "a b"]
+    keys = list(range(len(texts)))
+    plain = lambda found: [[(x.tolist(), lp, q) for x, lp, q in own] for own in found]
+    want = plain(pieces.sample(own.vocab, texts, keys))
+    for limit in (0, 500, 1 << 20):
+        held = pieces.Lattices(own.vocab, limit)
+        got = [plain(pieces.sample(own.vocab, texts[i : i + 7], keys[i : i + 7], lattices=held)) for i in range(0, len(texts), 7)]
+        assert sum(got, []) == want and held.kept_nodes <= limit
+    for text, drawn in zip(texts, want, strict=True):
+        assert all(own.vocab.decode(np.array(ids, np.int64)).decode() == text for ids, _, _ in drawn)
+
+
 def test_pieces(spark, docs):
     model = public_tokenizer("piece_bpe_32k.model")
     out = pieces.segment(docs, model, digest=True).collect()
