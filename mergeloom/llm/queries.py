@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, filter_audit, kneser_ney, line_runs, nbsvm, pieces, shards, simhash, token_file, topk
+from . import chat, decontam, filter_audit, hard_negatives, kneser_ney, line_runs, nbsvm, pieces, shards, simhash, token_file, topk
 
 QUERIES = {
     "op1_token_file": token_file.op1_token_file,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality": kneser_ney.op9_quality,
     "op10_toxicity": nbsvm.op10_toxicity,
     "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 ORACLE_SQL = {
@@ -40,4 +41,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
     "op12_filter_audit": filter_audit.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
 }
