@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, filter_audit, hard_negatives, kneser_ney, line_runs, nbsvm, pieces, shards, simhash, token_file, topk
+from . import chat, decontam, filter_audit, hard_negatives, kneser_ney, line_runs, nbsvm, pieces, pii, shards, simhash, token_file, topk
 
 QUERIES = {
     "op1_token_file": token_file.op1_token_file,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat": chat.op8_chat,
     "op9_quality": kneser_ney.op9_quality,
     "op10_toxicity": nbsvm.op10_toxicity,
+    "op11_pii": pii.op11_pii,
     "op12_filter_audit": filter_audit.op12_filter_audit,
     "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
