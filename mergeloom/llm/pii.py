@@ -23,6 +23,7 @@ proportion: patterns are tried from their rare characters, not from every letter
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
 import re
@@ -221,15 +222,31 @@ def features(text: str, a: int, b: int, kind: int) -> list[str]:
     return [f"{KINDS[kind]} {x}" for x in found]
 
 
-def lattice(text: str, region: tuple[int, int], fixed: list[tuple[int, int, int]]):
-    """(number of tokens, tokens, candidates (first, end, kind, features)) of a region; no candidate touches a fixed span."""
+def joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What spans, sorted by start, cover, as intervals apart from each other."""
+    out: list[tuple[int, int]] = []
+    for _, a, b in spans:
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def touches(fixed: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether one of the intervals overlaps a to b."""
+    at = bisect.bisect_left(fixed, (b,))
+    return at > 0 and fixed[at - 1][1] > a
+
+
+def lattice(text: str, region: tuple[int, int], fixed: list[tuple[int, int]]):
+    """(tokens, candidates (first, end, kind, features)) of a region; no candidate touches a fixed interval."""
     lo, hi = region
     tokens = [m.span() for m in TOKEN.finditer(text, lo, hi)]
     found = []
-    taken = [(a, b) for _, a, b in fixed if b > lo and a < hi]
     for i, j, kind in (*_numeric(text, tokens), *_mails(text, tokens)):
         a, b = tokens[i][0], tokens[j - 1][1]
-        if not any(a < y and b > x for x, y in taken):
+        if not touches(fixed, a, b):
             found.append((i, j, kind, features(text, a, b, kind)))
     return tokens, found
 
@@ -392,8 +409,9 @@ def all_spans(text: str, weights: dict[str, float] | None) -> list[tuple[int, in
     base = base_spans(text)
     out = [(*s, True) for s in base]
     if weights:
+        fixed = joined(base)
         for region in regions(text):
-            tokens, found = lattice(text, region, base)
+            tokens, found = lattice(text, region, fixed)
             if found:
                 out += [(found[c][2], tokens[found[c][0]][0], tokens[found[c][1] - 1][1], False) for c in decode(len(tokens), found, weights)]
     return sorted(out, key=lambda s: (s[1], s[0], s[2]))
