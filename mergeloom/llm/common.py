@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..storage import drop_path, materialize, scratch_path, shared_dir
 
-__all__ = ["ROW", "bit_filter", "drop_path", "load", "materialize", "numbered", "partitions", "scratch_path", "shared_dir", "text_chunks", "trimmed", "whole_text", "without"]
+__all__ = ["ROW", "bit_filter", "drop_path", "load", "materialize", "numbered", "own_names", "partitions", "scratch_path", "shared_dir", "text_chunks", "trimmed", "whole_text", "without"]
 
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 ROW = "__row"
@@ -50,6 +51,25 @@ def without(held: DataFrame, lost: DataFrame) -> DataFrame:
     return held.where(~maybe).unionByName(held.where(maybe).join(lost.hint("merge"), ROW, "left_anti"))
 
 
+def own_names(run):
+    """run(docs, ...) -> DataFrame, with columns of docs whose names run takes for itself renamed meanwhile."""
+
+    @functools.wraps(run)
+    def wrapped(docs: DataFrame, *args, **options):
+        taken, other = {c.lower() for c in docs.columns}, {}
+        for c in docs.columns:
+            if c.lower().startswith((ROW, "_ml_")):
+                n = 0
+                while (name := f"kept{n}_{c}").lower() in taken:
+                    n += 1
+                other[c] = name
+        named = lambda x: other.get(x, x) if isinstance(x, str) else x
+        out = run(docs.withColumnsRenamed(other) if other else docs, *(named(x) for x in args), **{k: named(v) for k, v in options.items()})
+        return out.withColumnsRenamed({v: k for k, v in other.items()}) if other and out is not None else out
+
+    return wrapped
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """df, written and read back, with a number of its own for every row in ROW."""
     return materialize(df.withColumn(ROW, F.monotonically_increasing_id()), name)

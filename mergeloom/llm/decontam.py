@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, load, materialize, numbered, trimmed, whole_text, without
+from .common import ROW, load, materialize, numbered, own_names, trimmed, whole_text, without
 
 WINDOW, STRIDE = 48, 24
 RANK, EXTRA = 256, 16
@@ -443,6 +443,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out.groupBy("doc_id", "item_id").agg(F.max("lcs").alias("lcs"), F.max("cosine").alias("cosine"), F.max("answer").alias("answer"))
 
 
+@own_names
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that hold a benchmark item."""
     held = numbered(docs, "decontam-rows")

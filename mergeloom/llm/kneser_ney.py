@@ -14,13 +14,15 @@ HEAD most frequent of them, a table of bounded size, go to the tasks that rescan
 the texts; the n-grams of a document that are not in it are joined by key instead,
 so every character is scored whatever the number of distinct n-grams.
 
-One in FOLDS trusted documents, by the hash of doc_id, is kept out of the training text. A
+One in FOLDS trusted texts, by the hash of the text, is kept out of the training text, with all its
+copies; so the choice does not depend on ids or on how rows are laid out. A
 document is rejected if its nats a character exceed the QUANTILE of these unseen documents of
 its language by MARGIN, plus SHORT / sqrt(characters), as few characters say little. Languages
 without unseen trusted documents take the quantile over all of them.
 
 Cases: null and empty texts have no characters, a perplexity of 1 and stay; a null
-language is one of its own; rows that repeat a doc_id are scored one by one; without
+language is one of its own; rows that repeat a doc_id are scored one by one; very long texts are scored whole; further columns are ignored, and keep_good returns them
+whatever their names are; without
 trusted text, or without unseen trusted documents, nothing is rejected; an empty table gives
 no rows.
 """
@@ -34,9 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, load, materialize, numbered, text_chunks, trimmed, whole_text, without
+from .common import ROW, load, materialize, numbered, own_names, text_chunks, trimmed, whole_text, without
 
 ORDER = 4
+LANGUAGES = 10_000
 BITS = 15
 MASK = (1 << BITS) - 1
 START = 2
@@ -199,48 +202,50 @@ def _scan(shared, symbols):
                     tail_keys.append(k)
                     tail_counts.append(c)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array([len(t) for t in texts[i:j]], pa.int64()), pa.array(sums, pa.float64()), pa.array(tail_keys, pa.list_(pa.int64())), pa.array(tail_counts, pa.list_(pa.int64()))],
-                    ["doc_id", "lang", "chars", "head_lp", "tail_keys", "tail_counts"],
+                    [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), b.column(3).slice(i, j - i), pa.array([len(t) for t in texts[i:j]], pa.int64()), pa.array(sums, pa.float64()), pa.array(tail_keys, pa.list_(pa.int64())), pa.array(tail_counts, pa.list_(pa.int64()))],
+                    ["doc_id", "lang", "unseen", "chars", "head_lp", "tail_keys", "tail_counts"],
                 )
 
     return run
 
 
 def perplexities(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", head: int = HEAD) -> DataFrame:
-    """(doc_id, lang, chars, nats): nats is the cross entropy a character under the model of the trusted documents."""
+    """(doc_id, lang, unseen, chars, nats): nats is the cross entropy a character under the model of the trusted documents that are not unseen."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), whole_text(text_col).alias("text"))
     symbols = spark.sparkContext.broadcast(symbol_table(common_points(rows.select("text"))))
-    trusted = materialize(count_ngrams(rows.join(trusted_ids, "doc_id", "left_semi").select("text"), symbols), "trusted-grams")
+    rows = rows.withColumn("unseen", F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0)
+    trusted = materialize(count_ngrams(rows.where(~F.col("unseen")).join(trusted_ids, "doc_id", "left_semi").select("text"), symbols), "trusted-grams")
     asked = materialize(count_ngrams(rows.select("text"), symbols), "asked-grams")
     lp = log_probabilities(trusted, asked)
     lp = materialize(asked.join(lp, "key"), "lp")
     top = lp.where(F.col("n") >= _head_cut(asked, head)).select("key", "lp").toPandas().sort_values("key")  # at most head rows
     shared = spark.sparkContext.broadcast((top["key"].to_numpy(np.int64), top["lp"].to_numpy(np.float64)))
-    scanned = rows.select("doc_id", "lang", "text").mapInArrow(trimmed(_scan(shared, symbols)), "doc_id long, lang string, chars long, head_lp double, tail_keys array<long>, tail_counts array<long>")
+    scanned = rows.select("doc_id", "lang", "text", "unseen").mapInArrow(trimmed(_scan(shared, symbols)), "doc_id long, lang string, unseen boolean, chars long, head_lp double, tail_keys array<long>, tail_counts array<long>")
     scanned = materialize(scanned.withColumn("row", F.monotonically_increasing_id()), "scanned")
     pairs = scanned.select("row", F.explode(F.arrays_zip("tail_keys", "tail_counts")).alias("t")).select("row", F.col("t.tail_keys").alias("key"), F.col("t.tail_counts").alias("c"))
     tails = pairs.join(lp.select("key", "lp"), "key").groupBy("row").agg(F.sum(F.col("c") * F.col("lp")).alias("tail_lp"))
     total = F.col("head_lp") + F.coalesce("tail_lp", F.lit(0.0))
-    return scanned.join(tails, "row", "left").select("doc_id", "lang", "chars", F.when(F.col("chars") == 0, 0.0).otherwise(-total / F.col("chars")).alias("nats"))
+    return scanned.join(tails, "row", "left").select("doc_id", "lang", "unseen", "chars", F.when(F.col("chars") == 0, 0.0).otherwise(-total / F.col("chars")).alias("nats"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """(doc_id, lang, perplexity, threshold, keep) for every row of docs; threshold is in nats a character."""
     trusted_ids = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
     trusted_ids = materialize(trusted_ids, "trusted-ids")
-    unseen = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0
-    nats = materialize(perplexities(docs, trusted_ids.where(~unseen), id_col, text_col, lang_col), "nats")
-    good = nats.where("chars > 0").join(trusted_ids.where(unseen), "doc_id", "left_semi")
-    excess = F.col("nats") - F.lit(SHORT) / F.sqrt("chars")
-    cut = F.percentile_approx(excess, quantile, 10000).alias("cut")
+    nats = materialize(perplexities(docs, trusted_ids, id_col, text_col, lang_col), "nats")
+    good = nats.where("unseen AND chars > 0").join(trusted_ids, "doc_id", "left_semi")
+    excess = F.round(F.col("nats") - F.lit(SHORT) / F.sqrt("chars"), 3)  # a bounded number of values, so that the quantile is exact
+    cut = F.percentile(excess, quantile).alias("cut")
     overall = good.agg(cut).first()["cut"]
-    cuts = good.groupBy(F.col("lang").alias("_lang")).agg(cut)  # one row a language
+    cuts = materialize(good.groupBy(F.col("lang").alias("_lang")).agg(cut), "cuts")
+    cuts = F.broadcast(cuts) if cuts.count() <= LANGUAGES else cuts  # one row a language; few languages hold most rows
     known = nats.join(cuts, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     threshold = F.coalesce("cut", F.lit(math.inf if overall is None else overall)) + margin + F.lit(SHORT) / F.sqrt(F.greatest("chars", F.lit(1)))
     return known.withColumn("threshold", threshold).select("doc_id", "lang", F.exp("nats").alias("perplexity"), "threshold", ((F.col("chars") == 0) | (F.col("nats") <= F.col("threshold"))).alias("keep"))
 
 
+@own_names
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs without the rejected documents."""
     held = numbered(docs, "quality-rows")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, drop_path, load, materialize, partitions, scratch_path, whole_text
+from .common import ASCII_SPACE, drop_path, load, materialize, own_names, partitions, scratch_path, whole_text
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -146,6 +146,7 @@ def lines_to_drop(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return hits.groupBy(F.col("doc_id").alias("_ml_id")).agg(F.collect_set("h").alias("_ml_drops"))
 
 
+@own_names
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, counts: bool = False) -> DataFrame:
     """docs with the repeated lines taken out of text_col; with counts also ``n_lines`` and ``n_dropped`` (replacing columns so named)."""
     drops = materialize(lines_to_drop(docs, id_col, text_col, min_chars, min_docs), "drops")

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import ROW, bit_filter, materialize, numbered, partitions, trimmed, whole_text, without
+from .common import ROW, bit_filter, materialize, numbered, own_names, partitions, trimmed, whole_text, without
 
 WORDS = 5
 NUM, DEN = 4, 5  # the similarity
@@ -349,6 +349,7 @@ def similar_roots(nodes: DataFrame, held: DataFrame, words_per_shingle: int = WO
     return rooted.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
 
 
+@own_names
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = WORDS) -> DataFrame:
     """docs with one row of every group that similar rows link."""
     held = numbered(docs, "near-rows")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, load, materialize, numbered, partitions, whole_text
+from .common import ROW, load, materialize, numbered, own_names, partitions, whole_text
 
 SHARDS = 8
 BUNDLES = 64
@@ -148,6 +148,7 @@ def number_slots(placed: DataFrame, order: list[str]) -> DataFrame:
     return at.join(F.broadcast(shift), ["part", "shard"]).withColumn("slot", F.col("at") - F.col("shift")).drop("at", "part", "shift")
 
 
+@own_names
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write docs as one folder a shard, ``shard=0`` and so on, each in slot order within its files; columns of docs named shard or slot are replaced."""
     held = numbered(docs, "shard-rows")
