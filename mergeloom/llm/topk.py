@@ -7,16 +7,15 @@ k-th best lower end is the threshold, and candidates whose upper end lies below
 it are compacted away. The few survivors are scored exactly in integers, as wide as
 they have to be.
 
-Queries are a stated set. They are taken in groups of QUERY_GROUP rows, whose
-size bounds what is sent to each task; the candidates are scanned once a group. A task
-takes its candidates in blocks of BLOCK_BYTES, whose thresholds start from the k best rows of the
-blocks before, keeps its k best rows for a query, and a window merges those.
+Queries are a stated set. They stream past blocks of candidates of bounded size (see vectors.py): nothing of
+either goes through the driver, and a task holds one block and a batch of queries at a time, however
+many there are. Each block gives its k best rows for a query, and a window over the blocks merges them.
 
 Cases: a component x becomes floor(256 * x) in double precision; vectors that are
-null, or that hold a null, NaN or infinity, take no part, nor do rows without
-vec_id; a component or a score of a hit that is no long raises, as SQL's cast does; a shorter vector counts as filled with zeros; the row of a query is told
-by its vec_id, so a query never meets rows of its own id; rows that repeat id and
-vector count once; ties go to the smaller vec_id; an empty table gives no rows.
+null, that hold a null, NaN or infinity, or that leave the range of a double when scaled take no part, nor do rows without
+vec_id; a shorter vector counts as filled with zeros; rows that repeat id and vector count
+once; other rows are rows of their own, whatever their ids: a query meets all but its own, and two queries that share an id have k rows each; ties go to the smaller vec_id; scores
+are exact at any width, and one that is no long is null, its digits are in score_text; further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,39 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import load, materialize
+from .common import load
+from .vectors import as_long, by_score, fit, in_blocks, integers, past_blocks, prepared, score_text, whole_products, wide_key
 
 K = 5
 EVERY = 50
 BLOCK = 16
-QUERY_GROUP = 8192
-BLOCK_BYTES = 64 << 20
-SCALE = 256
-LIMIT = float(1 << 63)
-HIT_SCHEMA = "query_id long, vec_id long, score long"
-
-
-def scaled(lists: list) -> tuple[np.ndarray, np.ndarray]:
-    """(which lists take part, their scaled components as float64, padded with zeros)."""
-    ok, rows = [], []
-    for i, x in enumerate(lists):
-        if x is None or any(v is None for v in x):
-            continue
-        v = np.asarray(x, np.float64)
-        if np.isfinite(v).all():
-            if (np.abs(v) >= LIMIT / SCALE).any():
-                raise OverflowError("a scaled component is beyond a long")
-            ok.append(i)
-            rows.append(np.floor(v * SCALE))
-    d = max((r.size for r in rows), default=0)
-    out = np.zeros((len(rows), d))
-    for i, r in enumerate(rows):
-        out[i, : r.size] = r
-    return np.array(ok, np.int64), out
-
-
-def fit(m: np.ndarray, d: int) -> np.ndarray:
-    return np.pad(m, ((0, 0), (0, d - m.shape[1]))) if m.shape[1] < d else m
+BLOCK_BYTES = 32 << 20
+FLOATS = float(1 << 100)
+HITS = "key long, query_id long, vec_id long, score long, wide string"
 
 
 def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -66,17 +41,18 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     bound = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.size
     if bound < 2.0**53:
         return (x @ q).astype(np.int64)
-    x, q = x.astype(np.int64), q.astype(np.int64)
     if bound < 2.0**62:
-        return (x * q).sum(axis=1)
-    return (x.astype(object) * q.astype(object)).sum(axis=1)
+        return (x.astype(np.int64) * q.astype(np.int64)).sum(axis=1)
+    return integers(x) @ integers(q[None])[0] if x.size else np.zeros(len(x), object)
 
 
 class VerticalBlock:
-    """Candidates by dimension, with the norms of what is left after each block of dimensions."""
+    """Candidates by dimension, with the norms of what is left after each block of dimensions; those beyond FLOATS apart, row by row."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, block: int = BLOCK):
-        self.ids, self.rows, self.block = ids, rows, block
+    def __init__(self, keys: np.ndarray, ids: np.ndarray, rows: np.ndarray, block: int = BLOCK):
+        far = np.abs(rows).max(axis=1, initial=0) > FLOATS
+        self.far = keys[far], ids[far], rows[far]
+        self.keys, self.ids, self.block, rows = keys[~far], ids[~far], block, rows[~far]
         weight = (rows**2).sum(axis=0)
         self.order = np.argsort(-weight, kind="stable")
         self.columns = np.ascontiguousarray(rows[:, self.order].T)
@@ -84,10 +60,22 @@ class VerticalBlock:
         self.norm = np.sqrt(squares.sum(axis=0))
         self.rest = [np.sqrt(squares[b:].sum(axis=0)) for b in range(block, rows.shape[1] + block, block)]
 
-    def best(self, query_id: int, q: np.ndarray, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    def all_best(self, key: int, q: np.ndarray, k: int) -> tuple[list[int], list[int]]:
+        """The ids and exact scores of the k best rows for q, ties to the smaller id; its own row, of that key, is none of them."""
+        far_keys, far_ids, far = self.far
+        if np.abs(q).max(initial=0) > FLOATS:
+            ids, scores, keys = self.ids.tolist(), whole_products(q[self.order], self.columns.T), self.keys
+        else:
+            ids, scores, keys = *(x.tolist() for x in self.best(key, q, k)), None
+        found = [(-int(s), i) for s, i, own in zip(scores, ids, [None] * len(ids) if keys is None else keys.tolist(), strict=True) if own != key]
+        found += [(-s, i) for s, i, own in zip(whole_products(q, far), far_ids.tolist(), far_keys.tolist(), strict=True) if own != key]
+        found = sorted(found)[:k]
+        return [i for _, i in found], [-s for s, _ in found]
+
+    def best(self, key: int, q: np.ndarray, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
         """The ids and scores of the k best rows for q, ties to the smaller id; rows below least may be left out."""
         q = q[self.order]
-        alive = np.flatnonzero(self.ids != query_id)
+        alive = np.flatnonzero(self.keys != key)
         part, length = None, float(np.sqrt((q**2).sum()))
         for n, b in enumerate(range(0, q.size, self.block)):
             take = slice(b, b + self.block)
@@ -111,63 +99,42 @@ def first(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
         order = np.array(sorted(range(ids.size), key=lambda i: (-scores[i], ids[i]))[:k], np.int64)
     else:
         order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order].astype(np.int64)
-
-
-def _searcher(query_ids: np.ndarray, query_rows: np.ndarray, k: int):
-    def run(batches):
-        none = np.empty(0, np.int64), np.empty(0, np.int64)
-        found = [none] * query_ids.size
-
-        def search(held_ids, held_rows):
-            d = max(query_rows.shape[1], max(r.shape[1] for r in held_rows))
-            block = VerticalBlock(np.concatenate(held_ids), np.concatenate([fit(r, d) for r in held_rows]))
-            for n, q in enumerate(fit(query_rows, d)):
-                ids, scores = found[n]
-                least = float(scores[-1]) - abs(float(scores[-1])) * 1e-12 - 1.0 if scores.size == k else -np.inf  # ties stay
-                more_ids, more = block.best(int(query_ids[n]), q, k, least)
-                found[n] = first(np.concatenate([ids, more_ids]), np.concatenate([scores, more]), k)
-
-        held_ids, held_rows, size = [], [], 0
-        for b in batches:
-            ok, rows = scaled(b.column(1).to_pylist())
-            if not ok.size:
-                continue
-            held_ids.append(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[ok])
-            held_rows.append(rows)
-            size += rows.nbytes
-            if size >= BLOCK_BYTES:
-                search(held_ids, held_rows)
-                held_ids, held_rows, size = [], [], 0
-        if held_ids:
-            search(held_ids, held_rows)
-        counts = [ids.size for ids, _ in found]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(query_ids, counts), pa.int64()), pa.array(np.concatenate([none[0], *(x for x, _ in found)]), pa.int64()), pa.array(np.concatenate([none[1], *(x for _, x in found)]), pa.int64())],
-            ["query_id", "vec_id", "score"],
-        )
-
-    return run
+    return ids[order], scores[order]
+
+
+def _block(rows: dict) -> VerticalBlock:
+    return VerticalBlock(rows["key"], rows["vec_id"], rows["v"])
+
+
+def _search(k: int):
+    def search(block: VerticalBlock, q: dict):
+        d = max(block.order.size, q["v"].shape[1])
+        if d > block.order.size:  # queries of more dimensions: the rows have zeros there
+            q = q | {"v": q["v"][:, : block.order.size]}
+        rows = []
+        for key, own, query_id, v in zip(q["key"].tolist(), q["own"].tolist(), q["vec_id"].tolist(), fit(q["v"], block.order.size), strict=True):
+            rows += [(key, query_id, i, as_long(s), wide_key(s)) for i, s in zip(*block.all_best(own, v, k), strict=True)]
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        kinds = [pa.int64()] * 4 + [pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "query_id", "vec_id", "score", "wide"])
+
+    return search
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k best rows of vectors."""
-    spark = vectors.sparkSession
-    shape = [F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")]
-    rows = materialize(vectors.select(*shape).where("vec_id IS NOT NULL").distinct(), "vectors")  # a repeat would take a place among the k best
-    asked = queries.select(*shape).where("vec_id IS NOT NULL").distinct()
-    total = asked.count()
-    groups = max(1, -(-total // QUERY_GROUP))
-    hits = spark.createDataFrame([], HIT_SCHEMA)
-    for g in range(groups):
-        own = asked if groups == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == g)
-        got = own.toPandas()  # one group of queries: bounded
-        ok, matrix = scaled(got["v"].tolist())
-        if ok.size:
-            hits = hits.union(rows.mapInArrow(_searcher(got["vec_id"].to_numpy(np.int64)[ok], matrix, k), HIT_SCHEMA))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    """(query_id, rank, vec_id, score, score_text): the k best rows of vectors for each row of queries."""
+    shape = [F.col(id_col).alias(id_col), F.col(vector_col).cast("array<double>").alias(vector_col)]
+    given = lambda df: prepared(df.select(*shape).distinct(), id_col, vector_col, {"hash": F.xxhash64(vector_col)})
+    rows, asked = given(vectors), given(queries)
+    same = ["vec_id", "v", "hash"]
+    asked = asked.join(rows.select(*same, F.col("key").alias("own")), same, "left").withColumn("own", F.coalesce("own", F.lit(-1)))
+    blocks = in_blocks(rows, [F.xxhash64("key")], BLOCK_BYTES).withColumn("own", F.lit(-1).cast("long"))
+    homes = blocks.select("block").distinct().agg(F.collect_list("block").alias("all"))  # one number for many megabytes of vectors
+    sent = asked.join(F.broadcast(homes), how="cross").withColumn("block", F.explode("all"))
+    hits = past_blocks(blocks, sent, ["own"], ["key"], _block, _search(k), HITS)
+    order = Window.partitionBy("key").orderBy(*by_score(), "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", score_text().alias("score_text"))
 
 
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

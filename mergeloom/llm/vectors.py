@@ -66,10 +66,10 @@ def prepared(df: DataFrame, id_col: str, vector_col: str, more: dict[str, Column
     return materialize(out.withColumn("key", F.monotonically_increasing_id()), "vectors")
 
 
-def in_blocks(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """rows of prepared() dealt by a sort into blocks of about BLOCK_BYTES, numbered in that order by the column block."""
+def in_blocks(rows: DataFrame, order: list[Column], block_bytes: int | None = None) -> DataFrame:
+    """rows of prepared() dealt by a sort into blocks of about block_bytes (BLOCK_BYTES), numbered in that order by the column block."""
     size = rows.agg(F.sum(F.octet_length("v") + 64).alias("n")).first()["n"] or 0
-    n = max(partitions(rows.sparkSession), -(-size // BLOCK_BYTES))
+    n = max(partitions(rows.sparkSession), -(-size // (block_bytes or BLOCK_BYTES)))
     return materialize(rows.repartitionByRange(n, *order, "key").withColumn("block", F.spark_partition_id()), "blocks")
 
 

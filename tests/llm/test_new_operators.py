@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mergeloom.llm import filter_audit, hard_negatives, pii, vectors
+from mergeloom.llm import filter_audit, hard_negatives, pii, topk, vectors
 
 
 # --- personal data
@@ -216,3 +216,22 @@ def test_wide_scores_sort_as_numbers(spark):
     df = spark.createDataFrame([(vectors.as_long(s), vectors.wide_key(s)) for s in scores], "score long, wide string")
     got = [int(r[0]) for r in df.orderBy(*vectors.by_score()).select(vectors.score_text()).collect()]
     assert got == sorted(scores, reverse=True)
+
+
+# --- exact top-k
+
+
+def test_top_k_of_shared_ids_and_wide_vectors(spark):
+    """Queries that share an id have their own rows; components up to the end of a double's range take part, exactly."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0])] + [(i, [i / 16, 1 - i / 16]) for i in range(1, 17)]
+    rows += [(100, [1e17, 0.0]), (101, [1e17, 1.0]), (102, [-1e17, 0.0]), (103, [1e300, -1e300]), (104, [1e307, 0.0])]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, key int")
+    got = [tuple(r) for r in topk.top_k(df, df.where("vec_id IN (0, 50, 100, 103)")).collect()]
+    live = [(i, [int(np.floor(256 * np.float64(x))) for x in v]) for i, v in rows if np.isfinite(256 * np.float64(v)).all()]
+    want = collections.Counter()
+    for n, (i, v) in enumerate(live):
+        if i in (0, 100, 103):
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), j) for m, (j, w) in enumerate(live) if m != n)[:5]
+            for r, (s, j) in enumerate(scored):
+                want[i, r + 1, j, -s if -(1 << 63) <= -s < 1 << 63 else None, str(-s)] += 1
+    assert collections.Counter(got) == want and sum(r[0] == 0 for r in got) == 10
