@@ -28,7 +28,9 @@ An item longer than a window is looked for by windows of its own.
 
 Cases: null and empty texts and items hold no terms and match nothing; an item of
 fewer than MIN_WORDS words is too short for shares and is reported where its words
-stand in a row; items without item_id are skipped, as there is nothing to report them by; a
+stand in a row, but drop_contaminated drops no document for it, as a word or two prove no leak; very long
+texts are searched whole, their windows in groups of bounded size; further columns are ignored, and kept by
+drop_contaminated whatever their names are; items without item_id are skipped, as there is nothing to report them by; a
 null doc_id is reported as null; rows that repeat a doc_id report once an item; ties cannot
 arise, for every pair above the limits is reported; empty tables give no rows.
 """
@@ -57,13 +59,14 @@ SEED = 4
 TERM_BLOCK = 512
 CHUNK_BYTES = 200_000
 OVERLAP_TERMS = 1_000_000
+HITS = 1 << 15
 _OTHER = re.compile(r"[^\w\s]|_")
 _ASCII_SPACED = bytes(32 if chr(c).isspace() else c for c in range(256))
 _ASCII_OTHER = bytes(c for c in range(128) if _OTHER.match(chr(c)))
 # Thai, Lao, Tibetan, Burmese, Khmer, kana, CJK ideographs
 _UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 _SENTENCE = re.compile(r"[.!?]+(?:\s+|$)|[\u3002\uff0e\uff01\uff1f\uff61]+|\n+")
-PAIRS = "doc_id long, item_id long, lcs double, cosine double, answer boolean"
+PAIRS = "doc_id long, item_id long, lcs double, cosine double, answer boolean, item_words int"
 
 
 def words_of(text: str) -> list[bytes]:
@@ -301,18 +304,20 @@ def latent_basis(spots: DataFrame, items: Items, weight: np.ndarray, passages: i
                 starts, y = c.windows(w, vectors)
                 if not starts.size:
                     continue
-                hit = np.flatnonzero(w[c.term] > 0)
-                half, term = c.half[hit], c.term[hit]
-                add = np.zeros((hit.size, width), y.dtype)
-                for shift in (0, 1):
-                    place = np.searchsorted(starts, half - shift)
-                    place[place == starts.size] = 0
-                    ok = starts[place] == half - shift
-                    add[ok] += y[place[ok]]
-                order = np.argsort(term, kind="stable")
-                cut = np.flatnonzero(np.append(True, np.diff(term[order]) != 0))
-                at = term[order][cut]
-                z[at] += w[at][:, None] * np.add.reduceat(add[order], cut, axis=0)
+                every = np.flatnonzero(w[c.term] > 0)
+                for i in range(0, every.size, HITS):  # a long text is one chunk
+                    hit = every[i : i + HITS]
+                    half, term = c.half[hit], c.term[hit]
+                    add = np.zeros((hit.size, width), y.dtype)
+                    for shift in (0, 1):
+                        place = np.searchsorted(starts, half - shift)
+                        place[place == starts.size] = 0
+                        ok = starts[place] == half - shift
+                        add[ok] += y[place[ok]]
+                    order = np.argsort(term, kind="stable")
+                    cut = np.flatnonzero(np.append(True, np.diff(term[order]) != 0))
+                    at = term[order][cut]
+                    z[at] += w[at][:, None] * np.add.reduceat(add[order], cut, axis=0)
             return z
 
         return make
@@ -404,6 +409,7 @@ def _matcher(shared):
             # short items are numbered after the others, and match whole or not at all
             best |= {(d, len(items.ids) + k): [1.0, 1.0, True] for d, k in runs_of(c, items.short)}
             ids = items.ids + [i for i, _ in items.short]
+            counts = [len(w) for w in items.words] + [len(w) for _, w in items.short]
             found = sorted(best.items())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -412,15 +418,16 @@ def _matcher(shared):
                     pa.array([v[0] for _, v in found], pa.float64()),
                     pa.array([v[1] for _, v in found], pa.float64()),
                     pa.array([v[2] for _, v in found], pa.bool_()),
+                    pa.array([counts[k] for (_, k), _ in found], pa.int32()),
                 ],
-                ["doc_id", "item_id", "lcs", "cosine", "answer"],
+                ["doc_id", "item_id", "lcs", "cosine", "answer", "item_words"],
             )
 
     return run
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, lcs, cosine, answer) for every document that holds a benchmark item."""
+    """(doc_id, item_id, lcs, cosine, answer, item_words) for every document that holds a benchmark item."""
     spark = docs.sparkSession
     asked = benchmark.select(F.col(item_col).cast("long").alias("item_id"), whole_text(item_text).alias("text")).where("item_id IS NOT NULL")
     chars = asked.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -440,14 +447,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         latent = (latent / np.where(norm > 0, norm, 1.0)[:, None]).astype(np.float32)
         shared = spark.sparkContext.broadcast((items, weight.astype(np.float32), basis.astype(np.float32), latent))
         out = out.union(spots.mapInArrow(trimmed(_matcher(shared)), PAIRS))
-    return out.groupBy("doc_id", "item_id").agg(F.max("lcs").alias("lcs"), F.max("cosine").alias("cosine"), F.max("answer").alias("answer"))
+    return out.groupBy("doc_id", "item_id").agg(F.max("lcs").alias("lcs"), F.max("cosine").alias("cosine"), F.max("answer").alias("answer"), F.max("item_words").alias("item_words"))
 
 
 @own_names
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that hold a benchmark item."""
+    """docs without those that hold a benchmark item of MIN_WORDS words or more."""
     held = numbered(docs, "decontam-rows")
-    bad = contaminated(held, benchmark, ROW, text_col).select(F.col("doc_id").alias(ROW)).distinct()
+    bad = contaminated(held, benchmark, ROW, text_col).where(F.col("item_words") >= MIN_WORDS).select(F.col("doc_id").alias(ROW)).distinct()
     return without(held, materialize(bad, "leaks")).select(docs.columns)
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mergeloom.llm import filter_audit, hard_negatives, pii, topk, vectors
+from mergeloom.llm import decontam, filter_audit, hard_negatives, kneser_ney, line_runs, nbsvm, near_copies, pii, topk, vectors
 
 
 # --- personal data
@@ -235,3 +235,62 @@ def test_top_k_of_shared_ids_and_wide_vectors(spark):
             for r, (s, j) in enumerate(scored):
                 want[i, r + 1, j, -s if -(1 << 63) <= -s < 1 << 63 else None, str(-s)] += 1
     assert collections.Counter(got) == want and sum(r[0] == 0 for r in got) == 10
+
+
+# --- stages: names, layouts, long texts
+
+
+def test_short_items_and_long_texts(spark):
+    """A word of the benchmark empties no corpus; a passage in the middle of a very long text is found."""
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(3000)]
+    item = [rng.choice(vocab) for _ in range(25)]
+    bench = spark.createDataFrame([(0, "a"), (1, " ".join(item)), (2, "w1 w2")], "item_id long, text string")
+    words = lambda n: [rng.choice(vocab) for _ in range(n)]
+    rows = [(0, "a house and a tree"), (1, " ".join([*words(150_000), *item, *words(150_000)])), (2, " ".join(words(50))), (3, None)]
+    docs = spark.createDataFrame([(*r, "mine", "too") for r in rows], "doc_id long, text string, __row string, _ml_text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, bench).collect()}
+    assert {(0, 0), (1, 1)} <= found and (2, 1) not in found
+    kept = decontam.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and sorted(tuple(r)[0::2] for r in kept.collect()) == [(0, "mine"), (2, "mine"), (3, "mine")]
+
+
+def test_stages_keep_columns_of_their_own_names(spark):
+    rng = random.Random(1)
+    line = "one long line that stands in all of these documents"
+    rows = [(i, f"{line}\n" + " ".join(rng.choice("abcdefgh") * 3 for _ in range(30)), "en", "r", "t", "d") for i in range(8)] + [(7, "x", "en", "r", "t", "d"), (None, None, None, "r", "t", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, __row string, _ml_text string, _ml_drops string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(8)], "doc_id long, quality int, toxic int")
+    for out in (line_runs.dedup_lines(docs), near_copies.keep_one_per_group(docs), kneser_ney.keep_good(docs, labels)):
+        assert out.columns == docs.columns and {tuple(r)[3:] for r in out.collect()} == {("r", "t", "d")}
+    assert line_runs.dedup_lines(docs).where(F.col("text").contains(line)).count() == 1
+
+
+def test_quality_does_not_depend_on_the_layout(spark):
+    rng = random.Random(5)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 7)))
+    rows = [(i, " ".join(word("aeinrst" if i % 5 else "qxzjkvw") for _ in range(40)), rng.choice(["en", None])) for i in range(200)]
+    rows += [(i, rows[i][1], rows[i][2]) for i in (1, 2, 3)] + [(900, rows[6][1], "en"), (901, "word " * 40000, "en")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, lang string, nats int, unseen int")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200) if i % 5], "doc_id long, quality int, toxic int")
+    kept = [sorted((r["doc_id"], r["text"]) for r in kneser_ney.keep_good(docs.repartition(n), labels).collect()) for n in (1, 3, 7)]
+    assert kept[0] == kept[1] == kept[2] and len({i for i, _ in kept[0]} & set(range(0, 200, 5))) < 5
+    assert sum(i % 5 > 0 for i, _ in kept[0]) > 140
+
+
+def test_toxicity_ratios(spark):
+    """Weights are log-count ratios times what the regression learns: with one character n-gram that tells, its sign and the scores follow; clashing names and long texts."""
+    a, b = "zyx", "abc"
+    docs = [np.unique(nbsvm.ngram_cells(f"{a if i % 2 else b} word{i % 7}")) for i in range(60)]
+    labels = np.array([i % 2 for i in range(60)])
+    weights, intercept = nbsvm.fit(docs, labels)
+    own = lambda t: set(nbsvm.ngram_cells(t).tolist())
+    for cell in own("zyx") - own("abc"):
+        df1, df0 = (sum(cell in d for d, y in zip(docs, labels) if y == k) for k in (1, 0))
+        if weights[cell]:
+            p, q = (df1 + 1) / 32, (df0 + 1) / 32
+            assert np.sign(weights[cell]) == np.sign(np.log(p / q))
+    assert nbsvm.score(a, weights, intercept) > 0.5 > nbsvm.score(b, weights, intercept)
+    table = spark.createDataFrame([(1, "zyx " * 50000, 5), (1, "abc", 5), (None, None, 5)], "doc_id long, text string, score int")
+    got = nbsvm.classify(table, (weights, intercept)).collect()
+    assert sorted(r["predicted"] for r in got if r["doc_id"] == 1) == [0, 1] and len(got) == 3
