@@ -15,10 +15,21 @@ def merged_columns(left: list[str], right: list[str], schema_map: dict[str, str
         if c in right and schema_map.get(c) not in (None, c):
             own = c  # a column of the same name wins over a mapped one
         out.append((c, c, own))
-    names = set(left)
-    for c in right:
-        if c not in targets:
-            out.append((c if c not in names else f"{c}_right", None, c))
+    names = [*left, *(c for c in right if c not in targets)]
+    for c, name in list(zip(names, free_names(names), strict=True))[len(left) :]:
+        out.append((name, None, c))
+    return out
+
+
+def free_names(names: list[str]) -> list[str]:
+    """names, but each that stood before, in any case, with the suffix _right, or _right2, _right3, ... until it is free."""
+    given, taken, out = {c.lower() for c in names}, set(), []
+    for c in names:
+        name, n = c, 1
+        while name.lower() in taken or (name != c and name.lower() in given):
+            name, n = f"{c}_right{n if n > 1 else ''}", n + 1
+        taken.add(name.lower())
+        out.append(name)
     return out
 
 
@@ -43,12 +54,13 @@ def merge_tables(left: DataFrame, right: DataFrame, schema_map: dict[str, str |
 
 
 def match_audit(left: DataFrame, right: DataFrame, matches: DataFrame, left_id: str, right_id: str) -> DataFrame:
-    """left.* beside right.*, full outer over the matches; a name that both have gets the suffix _right on the right."""
+    """left.* beside right.*, full outer over the matches; a name that both have gets the suffix _right on the right, see free_names."""
     pairs = matches.select(F.col("left_id").alias("_l"), F.col("right_id").alias("_r"))
-    a = left.withColumn("_l", F.col(f"`{left_id}`").cast("long"))
-    b = right.select(F.col(f"`{right_id}`").cast("long").alias("_r"), *(F.col(f"`{c}`").alias(c if c not in left.columns else f"{c}_right") for c in right.columns))
-    linked = a.join(pairs, "_l", "left")
-    return linked.join(b, "_r", "full_outer").drop("_l", "_r")
+    a = left.select(F.col(f"`{left_id}`").cast("long").alias("_l"), *(F.col(f"`{c}`").alias(f"a{i}") for i, c in enumerate(left.columns)))
+    b = right.select(F.col(f"`{right_id}`").cast("long").alias("_r"), *(F.col(f"`{c}`").alias(f"b{i}") for i, c in enumerate(right.columns)))
+    held = [*(f"a{i}" for i in range(len(left.columns))), *(f"b{i}" for i in range(len(right.columns)))]
+    names = free_names([*left.columns, *right.columns])
+    return a.join(pairs, "_l", "left").join(b, "_r", "full_outer").select(*(F.col(c).alias(n) for c, n in zip(held, names, strict=True)))
 
 
 def stack(master: DataFrame, dependent: DataFrame) -> DataFrame:
