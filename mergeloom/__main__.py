@@ -19,6 +19,7 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--aliases", help="stack by column categories of this alias file, instead of matching rows")
     p.add_argument("--schema-threshold", type=float, default=Config().schema_threshold)
     p.add_argument("--rounds", type=int, default=1)
+    p.add_argument("--restore", action="store_true", help="show the merged table in the formats of the left one")
     p.add_argument("--log", help="append what is done to this file")
     a = p.parse_args(args)
     log = logging.getLogger("mergeloom")
@@ -31,7 +32,7 @@ def main(args: list[str] | None = None) -> None:
         tables.write_table(stack_tables(left, right, tables.read_aliases(spark, a.aliases)), a.out)
         log.info("stacked %s and %s", a.left, a.right)
         return
-    result = integrate(left, right, Config(schema_threshold=a.schema_threshold, rounds=a.rounds))
+    result = integrate(left, right, Config(schema_threshold=a.schema_threshold, rounds=a.rounds, restore=a.restore))
     log.info("columns: %s", result.schema_map)
     tables.write_table(result.merged, a.out)
     tables.write_table(result.matches, f"{a.out.rstrip('/')}-matches")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.embed import Embedder, HashingNgramEmbedder
+from ..functions.formats import Format, plan_formats, restore_table, standard_table
 from ..functions.standardize import FIELDS, clean_table, field_standardizer, plan_temperature, standardizer, temperature
 from ..operators.assign import assign
 from ..operators.classify import categorize, classify
@@ -30,6 +31,7 @@ class Config:
     standardize: bool = True
     mode: str = "exact"
     rounds: int = 1
+    restore: bool = False
 
 
 @dataclass(frozen=True)
@@ -48,10 +50,21 @@ def stack_tables(master: DataFrame, dependent: DataFrame, aliases: DataFrame) ->
     return stack(a.withColumns({c: fn(F.col(f"`{c}`")) for c, fn in known.items()}), b)
 
 
+def content_categories(df: DataFrame, embedder: Embedder, skip: tuple[str, ...] = (ROW,)) -> dict[str, str]:
+    return {r["column"]: r["category"] for r in classify(df.drop(*skip), embedder).collect()}  # one row a column
+
+
+def standardize_reversibly(df: DataFrame, embedder: Embedder) -> tuple[DataFrame, dict[str, Format]]:
+    """(df in standard form, the formats that restore_table needs): categories that have formats by these, the others by their standardisers."""
+    found = content_categories(df, embedder)
+    known = plan_formats(df, found, ROW if ROW in df.columns else None)
+    other = {c: standardizer(k)(F.col(f"`{c}`")) for c, k in found.items() if c not in known}
+    return standard_table(df.withColumns(other) if other else df, known), known
+
+
 def standardize_table(df: DataFrame, embedder: Embedder, skip: tuple[str, ...] = (ROW,)) -> DataFrame:
     """Every column by the standardiser of the category its sample is most like."""
-    cells = df.drop(*skip)
-    found = {r["column"]: r["category"] for r in classify(cells, embedder).collect()}  # one row a column
+    found = content_categories(df, embedder, skip)
     out = {}
     for c, category in found.items():
         cell = F.col(f"`{c}`")
@@ -72,13 +85,17 @@ def integrate(left: DataFrame, right: DataFrame, config: Config = Config(), left
 
     left_id, right_id: unique integer columns that order the rows; without them rows
     are numbered. rounds: repeat schema and entity matching, keeping of the schema map
-    what the matched rows agree on, until the map stays or the rounds are used up.
+    what the matched rows agree on, until the map stays or the rounds are used up. Config.restore: show
+    the merged table in the formats of the left one (see functions.formats).
     """
     a, b = (_text(x) if config.clean else x for x in (left, right))
     if config.clean:
         a, b = clean_table(a), clean_table(b)
     a, b = with_rows(a, left_id), with_rows(b, right_id)
-    if config.standardize:
+    formats: dict[str, Format] = {}
+    if config.standardize and config.restore:
+        (a, formats), (b, _) = (standardize_reversibly(x, config.embedder) for x in (a, b))
+    elif config.standardize:
         a, b = standardize_table(a, config.embedder), standardize_table(b, config.embedder)
     names = [[c for c in x.columns if c != ROW] for x in (a, b)]
     schema = config.schema_map or match_schemas(*names, config.embedder, config.schema_threshold)
@@ -91,7 +108,7 @@ def integrate(left: DataFrame, right: DataFrame, config: Config = Config(), left
         if agreed == schema or not any(agreed.values()):
             break
         schema = agreed
-    return Result(merge_tables(a, b, schema, entity, ROW, ROW), _audit(a, b, entity), schema, entity, profile(a.drop(ROW)))
+    return Result(restore_table(merge_tables(a, b, schema, entity, ROW, ROW), formats), _audit(a, b, entity), schema, entity, profile(a.drop(ROW)))
 
 
 def _audit(a: DataFrame, b: DataFrame, entity: DataFrame) -> DataFrame:
@@ -107,8 +124,3 @@ def agreeing(a: DataFrame, b: DataFrame, entity: DataFrame, schema: dict[str, st
     row = joined.agg(*(F.avg(1 - F.levenshtein(F.col(f"l{i}").cast("string"), F.col(f"r{i}").cast("string")) / F.greatest(F.length(f"l{i}"), F.length(f"r{i}"), F.lit(1))).alias(f"s{i}") for i in range(len(mapped)))).first()
     kept = {x: y if row[f"s{i}"] is None or row[f"s{i}"] >= least else None for i, (x, y) in enumerate(mapped)}
     return {x: kept.get(x) for x in schema}
-
-
-def restore_formats(merged: DataFrame, formats: dict[str, str]) -> DataFrame:
-    """merged with columns shown in a user's format: column -> format_string pattern with one %s."""
-    return merged.select(*((F.format_string(formats[c], F.col(f"`{c}`")) if c in formats else F.col(f"`{c}`")).alias(c) for c in merged.columns))

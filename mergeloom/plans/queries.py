@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import formats
 from ..functions import similarity as S
 from ..functions import standardize as st
 from ..functions.embed import PrecomputedEmbedder
 from ..operators import bertscore, merge, profile
-from ..operators.assign import assign
+from ..operators.assign import assign, beam_rounds
 from ..operators.classify import nearest_alias
 from ..operators.match import match_categories, match_schemas, score_pairs
 from ..operators.pairs import best_with_ties, first_best
@@ -53,19 +54,22 @@ def levenshtein_pairs(spark, sf):
     return pairs.select("n_name", "r_name", F.levenshtein(a, b).alias("dist"), F.round(S.levenshtein_similarity(a, b), 6).alias("score"))
 
 
-_ALIASES = [("name", "name"), ("name", "full name"), ("date", "date"), ("date", "day"), ("time", "time"), ("time", "timestamp"), ("temperature", "temp"), ("id", "identifier"), ("price", "price"), ("price", "total")]
-_HEADERS = ["c_name", "c_custkey", "o_totalprice", "o_orderdate", "Day Recorded", "Full Name", "Temp", "an entirely different header"]
-
-
-@query(f"""
-WITH a(ordinal, category, alias) AS (VALUES {", ".join(f"({i}, '{c}', '{x}')" for i, (c, x) in enumerate(_ALIASES))}),
-h(header) AS (VALUES {", ".join(f"('{h}')" for h in _HEADERS)}),
-d AS (SELECT header, category, ordinal, levenshtein(lower(header), lower(alias)) AS dist FROM h, a),
-r AS (SELECT *, row_number() OVER (PARTITION BY header ORDER BY dist, ordinal) AS k FROM d)
+@query("""
+WITH a AS (SELECT dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS ordinal, c_mktsegment AS category FROM (SELECT DISTINCT c_mktsegment FROM customer)),
+l AS (SELECT ordinal, 0 AS pos, category, category AS alias FROM a UNION ALL SELECT ordinal, 1, category, substr(category, 1, 4) FROM a),
+h AS (SELECT DISTINCT header FROM (SELECT p_name AS header FROM part UNION ALL SELECT p_type FROM part UNION ALL SELECT o_orderpriority FROM orders UNION ALL SELECT event_type FROM events)),
+d AS (SELECT header, category, ordinal, pos, levenshtein(lower(header), lower(alias)) AS dist FROM h, l),
+r AS (SELECT *, row_number() OVER (PARTITION BY header ORDER BY dist, ordinal, pos) AS k FROM d)
 SELECT header, CASE WHEN dist < 10 THEN category ELSE 'etc' END AS category, CASE WHEN dist < 10 THEN dist ELSE -1 END::INTEGER AS dist FROM r WHERE k = 1""")
 def alias_categorize(spark, sf):
-    aliases = spark.createDataFrame([(i, 0, c, x) for i, (c, x) in enumerate(_ALIASES)], "ordinal int, pos int, category string, alias string")
-    return nearest_alias(spark.createDataFrame([(h,) for h in _HEADERS], "header string"), aliases).na.fill(-1, ["dist"])
+    """Names that occur in tables under the nearest of the market segments and their short forms."""
+    names = [load(spark, sf, t).select(F.col(c).alias("header")) for t, c in (("part", "p_name"), ("part", "p_type"), ("orders", "o_orderpriority"), ("events", "event_type"))]
+    headers = names[0].union(names[1]).union(names[2]).union(names[3]).distinct()
+    segments = load(spark, sf, "customer").select(F.col("c_mktsegment").alias("category")).distinct()
+    ordinal = F.array_position(F.col("all"), F.col("category")) - 1
+    known = segments.agg(F.array_sort(F.collect_list("category")).alias("all"))  # a few segments
+    aliases = known.select("all", F.explode("all").alias("category")).select(ordinal.alias("ordinal"), "category", F.posexplode(F.array("category", F.substring("category", 1, 4))).alias("pos", "alias"))
+    return nearest_alias(headers, aliases).na.fill(-1, ["dist"])
 
 
 @query("""
@@ -175,14 +179,36 @@ def mapped_category_scores(spark, sf):
     return score_pairs(s, c, {"nation": "back"}, "s_suppkey", "c_custkey", embedder=_nation_vectors(n))
 
 
-@query("SELECT * FROM (VALUES ('s_suppkey', 'c_custkey'), ('s_name', 'c_name'), ('s_nationkey', 'c_nationkey'), ('s_acctbal', 'c_acctbal')) t(attribute, matched)")
+_LEFT, _RIGHT = ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"], ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+_SIGNS = "#.-0123456789"
+
+
+def _looks_sql(table: str, c: str) -> str:
+    parts = ", ".join(f"sum(length(x) - length(replace(x, '{ch}', ''))) / count(*)" for ch in _SIGNS)
+    return f"SELECT '{c}' AS name, [{parts}, avg(length(x)), sum(length(regexp_replace(x, '[^A-Za-z]', '', 'g'))) / count(*)] AS v FROM (SELECT {c}::VARCHAR AS x FROM {table})"
+
+
+def _pick_sql(k: int) -> str:
+    used = "".join(f" AND b{k}.name <> b{i}.name" for i in range(1, k))
+    return f"JOIN s b{k} ON b{k}.a = '{_LEFT[k - 1]}'{used}"
+
+
+@query(f"""
+WITH l AS ({" UNION ALL ".join(_looks_sql("supplier", c) for c in _LEFT)}), r AS ({" UNION ALL ".join(_looks_sql("customer", c) for c in _RIGHT)}),
+s AS (SELECT l.name AS a, r.name, list_cosine_similarity(l.v, r.v) AS sim FROM l, r),
+best AS (SELECT b1.name AS m1, b2.name AS m2, b3.name AS m3, b4.name AS m4 FROM (SELECT 1) {" ".join(_pick_sql(k) for k in range(1, 5))} ORDER BY b1.sim + b2.sim + b3.sim + b4.sim DESC LIMIT 1)
+SELECT unnest({_LEFT}) AS attribute, unnest([m1, m2, m3, m4]) AS matched FROM best""")
 def schema_match(spark, sf):
-    """Column names of supplier and customer by the likeness of given vectors, one to one."""
-    left, right = load(spark, sf, "supplier").columns, load(spark, sf, "customer").columns
-    kinds = ["key", "name", "nationkey", "acctbal", "mktsegment"]
-    rows = [(c, [float(c.endswith(k)) + 0.2 * (j == 0) for j, k in enumerate(kinds)]) for c in [*left, *right]]
-    unit = [(c, [x / sum(y * y for y in v) ** 0.5 for x in v]) for c, v in rows]
-    found = match_schemas(left, right, PrecomputedEmbedder(spark.createDataFrame(unit, "text string, vector array<double>")), 0.3)
+    """Columns of supplier and customer by what their cells look like: signs and digits a cell, letters, length."""
+
+    def looks(table: str, columns: list[str]) -> DataFrame:
+        cells = load(spark, sf, table).select(F.explode(F.array(*(F.struct(F.lit(c).alias("text"), F.col(c).cast("string").alias("x")) for c in columns))).alias("e")).select("e.*")
+        often = [F.sum(F.length("x") - F.length(F.replace(F.col("x"), F.lit(ch), F.lit("")))) / F.count("*") for ch in _SIGNS]
+        return cells.groupBy("text").agg(F.array(*often, F.avg(F.length("x")), F.sum(F.length(F.regexp_replace("x", "[^A-Za-z]", ""))) / F.count("*")).alias("v"))
+
+    seen = looks("supplier", _LEFT).unionByName(looks("customer", _RIGHT))
+    unit = seen.select("text", F.transform("v", lambda x: x / F.sqrt(S.dot(F.col("v"), F.col("v")))).alias("vector"))
+    found = match_schemas(_LEFT, _RIGHT, PrecomputedEmbedder(unit), 0.3)
     return spark.createDataFrame(list(found.items()), "attribute string, matched string")
 
 
@@ -224,6 +250,33 @@ def _assignment_gain(regions, nations):
     return chosen.agg(F.round(F.sum(F.col("score") - 0.5), 6).alias("gain"))
 
 
+_BEAM = 1000
+_EDGES = "SELECT r_regionkey::BIGINT AS i, n_nationkey::BIGINT AS j, ((r_regionkey * 7 + n_nationkey * 13) % 8 + 1) / 8.0::DOUBLE AS score FROM region, nation"
+
+
+def _beam_step(k: int) -> str:
+    """One round of the beam in SQL: rows of the k-th last region, after the cut with ties."""
+    return f"""
+k{k} AS (SELECT * FROM p{k - 1} QUALIFY rank() OVER (ORDER BY value DESC) <= {_BEAM}),
+p{k} AS (
+  SELECT value + score AS value, list_append(path, j) AS path FROM k{k} JOIN e ON e.row = {k} AND NOT list_contains(path, j)
+  UNION ALL SELECT value + 0.375, list_append(path, 99) FROM k{k})"""
+
+
+@query(f"""
+WITH a AS ({_EDGES}), e AS (SELECT dense_rank() OVER (ORDER BY i DESC) AS row, i, j, score FROM a WHERE score > 0.375),
+p0 AS (SELECT 0.0::DOUBLE AS value, []::BIGINT[] AS path),{",".join(_beam_step(k) for k in range(1, 6))},
+b AS (SELECT path FROM p5 ORDER BY value DESC, path LIMIT 1),
+x AS (SELECT unnest(path) AS j, generate_subscripts(path, 1) AS row FROM b)
+SELECT e.i AS left_id, e.j AS right_id, e.score FROM x JOIN e USING (row, j)""")
+def beam_assignment(spark, sf):
+    """A beam of partial assignments over regions and nations, with thousands of live paths and cuts with ties."""
+    r = load(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("left_id"))
+    n = load(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("right_id"))
+    score = ((F.col("left_id") * 7 + F.col("right_id") * 13) % 8 + 1) / F.lit(8.0)
+    return beam_rounds(r.join(n, how="cross").withColumn("score", score), 0.375, _BEAM)
+
+
 def _merge_inputs(spark, sf):
     s = load(spark, sf, "supplier").select("s_suppkey", F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
     c = load(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("title"), F.col("c_mktsegment").alias("segment"))
@@ -344,6 +397,38 @@ def beam_cut(spark, sf):
     return best_with_ties(load(spark, sf, "orders").withColumn("value", F.round("o_totalprice", -5)), ["o_custkey"], "value", 3).select("o_orderkey")
 
 
+@query("""SELECT o_orderkey::VARCHAR AS o_orderkey, '$' || format('{:,.2f}', o_totalprice) AS price, strftime(o_orderdate, '%B %-d, %Y') AS day FROM orders""")
+def restored_formats(spark, sf):
+    """Orders of two sources that write money and dates in their own ways: both in standard form, stacked, then shown in the first one's formats."""
+    o = load(spark, sf, "orders")
+    two = F.col("o_totalprice").cast("decimal(18,2)")
+    first = o.where("o_orderkey % 2 = 0").select("o_orderkey", F.concat(F.lit("$"), F.format_number(two, 2)).alias("price"), F.date_format("o_orderdate", "MMMM d, yyyy").alias("day"))
+    second = o.where("o_orderkey % 2 = 1").select("o_orderkey", two.cast("string").alias("price"), F.date_format("o_orderdate", "yyyy/M/d").alias("day"))
+    kinds = {"price": "money", "day": "date"}
+    known = formats.plan_formats(first, kinds)
+    stacked = merge.stack(formats.standard_table(first, known), formats.standard_table(second, formats.plan_formats(second, kinds)))
+    return formats.restore_table(stacked, known)
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_name AS cand, unnest([lower(p_type), reverse(p_name)]) AS ref FROM part),
+u AS (SELECT DISTINCT cand, ref FROM p), s AS (SELECT cand AS text FROM u UNION SELECT ref FROM u),
+t AS (SELECT text, unnest(k.l) AS token, generate_subscripts(k.l, 1) AS pos FROM (SELECT text, list_concat(['[CLS]'], string_split(text, ' '), ['[SEP]']) AS l FROM s) k),
+v AS (SELECT text, pos, (token NOT IN ('[CLS]', '[SEP]'))::INT AS w, [(length(lower(token)) - length(replace(lower(token), chr(i::INTEGER), '')))::DOUBLE FOR i IN range(97, 123)] AS vec FROM t),
+c AS (SELECT cand, ref, a.pos AS i, b.pos AS j, a.w AS w1, b.w AS w2, list_cosine_similarity(a.vec, b.vec) AS sim FROM u JOIN v a ON a.text = cand JOIN v b ON b.text = ref),
+x AS (SELECT cand, ref, sum(best * w) / sum(w) AS P FROM (SELECT cand, ref, i, any_value(w1) AS w, max(sim) AS best FROM c GROUP BY ALL) GROUP BY ALL),
+y AS (SELECT cand, ref, sum(best * w) / sum(w) AS R FROM (SELECT cand, ref, j, any_value(w2) AS w, max(sim) AS best FROM c GROUP BY ALL) GROUP BY ALL)
+SELECT p_partkey AS pair_id, round(max(P), 6) AS P, round(max(R), 6) AS R, round(max(2 * P * R / (P + R)), 6) AS F FROM p JOIN x USING (cand, ref) JOIN y USING (cand, ref) GROUP BY p_partkey""")
+def text_scores(spark, sf):
+    """Names of parts against two references each, by the letters of their words."""
+    part = load(spark, sf, "part")
+    pairs = part.select(F.col("p_partkey").alias("pair_id"), F.col("p_name").alias("candidate"), F.array(F.lower("p_type"), F.reverse("p_name")).alias("references"))
+    words = pairs.select(F.explode(F.concat(F.array("candidate"), "references")).alias("t")).select(F.explode(F.concat(F.split("t", " "), F.array(F.lit("[CLS]"), F.lit("[SEP]")))).alias("text")).distinct()
+    letters = F.array(*((F.length("text") - F.length(F.replace(F.lower("text"), F.lit(ch), F.lit("")))).cast("double") for ch in "abcdefghijklmnopqrstuvwxyz"))
+    out = bertscore.score(pairs, bertscore.ScorerConfig(PrecomputedEmbedder(words.select("text", letters.alias("vector")))))
+    return out.select("pair_id", *(F.round(c, 6).alias(c) for c in "PRF"))
+
+
 @query()
 def integrate_flagship(spark, sf):
     config = Config(schema_map={"s_name": "c_name", "s_acctbal": "c_acctbal"}, standardize=False, clean=False)
