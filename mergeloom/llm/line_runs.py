@@ -1,7 +1,7 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
 A store holds runs, each a table of (h, n_docs, last_doc, fresh) sorted by the
-128-bit line hash h. Every new batch is aggregated, merge-joined with the fresh
+128-bit line hash h, in a fixed number of buckets. Every new batch is aggregated, merge-joined with the fresh
 rows of all runs, and written as a run of level 0: a hash that no run holds is ``fresh``, an
 entry of the store; for others the run has an addition to an entry that an older run holds. So
 entries are distinct over the store, and a line's total is its entry and the additions to
@@ -15,11 +15,15 @@ aggregation, so a line found everywhere costs one row a task.
 Cases: a null or empty text is one empty line; a text of spaces is kept as it is,
 for its key is short; rows that repeat a doc_id count as one document and are
 treated alike; rows with a null doc_id count as no document and lose the lines
-that others hold often enough; an empty table gives no rows.
+that others hold often enough; very long texts are split whole; dedup_lines keeps further columns whatever
+their names are; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import uuid
+from contextlib import contextmanager
+
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -59,19 +63,36 @@ def line_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(run, "doc_id long, h binary")
 
 
+@contextmanager
+def ordered_scans(spark: SparkSession):
+    """Within it, Spark trusts the order of bucketed files."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class RunStore:
-    """Levelled sorted runs in the shared folder."""
+    """Levelled sorted runs in the shared folder, in a fixed number of buckets by h, so that merging them moves and sorts no run."""
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout = spark, fanout
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int | None = None):
+        self.spark, self.fanout, self.buckets = spark, fanout, buckets or partitions(spark)
         self.levels: list[list[str]] = []
+        self.tables: dict[str, str] = {}
 
     def runs(self) -> list[DataFrame]:
-        return [self.spark.read.schema(RUN_SCHEMA).parquet(p) for level in self.levels for p in level]
+        return [self.spark.table(self.tables[p]) for level in self.levels for p in level]
 
     def _write(self, run: DataFrame, level: int) -> None:
+        """A sorted file a bucket, under a name in the session's catalog that tells Spark so."""
         path = scratch_path(self.spark, f"run-{level}")
-        run.select("h", "n_docs", "last_doc", "fresh").repartition(partitions(self.spark), "h").sortWithinPartitions("h").write.option("compression", "zstd").parquet(path)
+        self.tables[path] = f"mergeloom_run_{uuid.uuid4().hex}"
+        dealt = run.select("h", "n_docs", "last_doc", "fresh").repartition(self.buckets, "h").sortWithinPartitions("h")
+        with ordered_scans(self.spark):
+            dealt.write.bucketBy(self.buckets, "h").sortBy("h").option("compression", "zstd").option("path", path).saveAsTable(self.tables[path])
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(path)
@@ -79,26 +100,36 @@ class RunStore:
     def add(self, lines: DataFrame) -> None:
         """Add a batch (doc_id, h) as a run of level 0: entries for the hashes that no run holds, additions for the others."""
         batch = lines.groupBy("h").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        if runs := self.runs():
-            held = runs[0]
-            for r in runs[1:]:
-                held = held.unionByName(r)
-            held = held.where("fresh").select("h", F.lit(True).alias("held"))
-            batch = batch.join(held.hint("merge"), "h", "left").withColumn("fresh", F.col("held").isNull())
-        else:
-            batch = batch.withColumn("fresh", F.lit(True))
-        self._write(batch, 0)
+        self._write(self.merged(batch), 0)
         self.compact()
 
+    def merged(self, batch: DataFrame) -> DataFrame:
+        """batch (h, ...) with ``fresh``: whether no run holds h. The batch is dealt and sorted once, the runs are merged as they lie."""
+        batch = batch.repartition(self.buckets, "h")
+        fresh = F.lit(True)
+        for i, r in enumerate(self.runs()):
+            held = r.where("fresh").select("h", F.lit(True).alias(f"held{i}"))
+            batch = batch.join(held.hint("merge"), "h", "left")
+            fresh = fresh & F.col(f"held{i}").isNull()
+        return batch.withColumn("fresh", fresh)
+
+    def drop(self, paths: list[str]) -> None:
+        for p in paths:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(p)}")
+            drop_path(self.spark, p)
+
+    def close(self) -> None:
+        self.drop([p for level in self.levels for p in level])
+        self.levels = []
+
     def compact(self) -> None:
         level = 0
         while level < len(self.levels):
             paths = self.levels[level]
             if len(paths) >= self.fanout:
                 self.levels[level] = []
-                self._write(merge_runs([self.spark.read.schema(RUN_SCHEMA).parquet(p) for p in paths]), level + 1)
-                for p in paths:
-                    drop_path(self.spark, p)
+                self._write(merge_runs([self.spark.table(self.tables[p]) for p in paths]), level + 1)
+                self.drop(paths)
             level += 1
 
     def totals(self) -> DataFrame:
@@ -142,6 +173,7 @@ def lines_to_drop(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for b in range(BATCHES):
         store.add(staged.where(F.col("batch") == b).select("doc_id", "h"))
     common = materialize(store.totals().where(F.col("n_docs") >= min_docs).select("h", "last_doc"), "common-lines")
+    store.close()
     hits = staged.select("doc_id", "h").join(common, "h").where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
     return hits.groupBy(F.col("doc_id").alias("_ml_id")).agg(F.collect_set("h").alias("_ml_drops"))
 

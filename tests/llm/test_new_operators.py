@@ -294,3 +294,24 @@ def test_toxicity_ratios(spark):
     table = spark.createDataFrame([(1, "zyx " * 50000, 5), (1, "abc", 5), (None, None, 5)], "doc_id long, text string, score int")
     got = nbsvm.classify(table, (weights, intercept)).collect()
     assert sorted(r["predicted"] for r in got if r["doc_id"] == 1) == [0, 1] and len(got) == 3
+
+
+# --- line runs
+
+
+def test_runs_are_merged_as_they_lie(spark):
+    """The join of a batch with the runs deals and sorts the batch alone."""
+    rows = [(b, f"line{i}".encode(), 10 * b + d) for b in range(3) for i in range(40) for d in range(2)]
+    df = spark.createDataFrame(rows, "b int, h binary, doc_id long")
+    store = line_runs.RunStore(spark, fanout=9)
+    for b in range(2):
+        store.add(df.where(F.col("b") == b).select("doc_id", "h"))
+    batch = df.where("b = 2").groupBy("h").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+    with line_runs.ordered_scans(spark):
+        plan = store.merged(batch)._jdf.queryExecution().executedPlan().toString()
+        # the two exchanges and the sort are those of the batch's own counts
+        assert plan.count("Bucketed: true") == 2 and plan.count("Exchange hashpartitioning") == 2 and plan.count("Sort [") == 1
+        merged = store.merged(batch)
+        assert merged.where("fresh").count() == 0 and merged.count() == 40
+    store.close()
+    assert store.levels == [] and not store.tables
