@@ -22,7 +22,8 @@ the item's words, decides: VERBATIM or more is a leak, and so is PARAPHRASE or
 more if the item's answer, its last sentence, is found in order as well.
 
 The benchmark is sent to every task in blocks of about ITEM_CHARS characters, which bounds
-the terms and so what is broadcast; a larger benchmark takes further rounds.
+the terms and so what is broadcast; a larger benchmark takes further rounds, over the positions of all
+its words, for which texts are read once.
 
 An item longer than a window is looked for by windows of its own.
 
@@ -129,9 +130,9 @@ class Items:
             self.answers.append([self.terms.setdefault(w, len(self.terms)) for w in answer_of(text)])
 
 
-def term_positions(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFrame:
+def term_positions(docs: DataFrame, terms: dict[bytes, int], id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n_words, at, term): positions and numbers of a text's terms, as 32-bit integers."""
-    shared = docs.sparkSession.sparkContext.broadcast(items.terms)
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches):
         terms = shared.value
@@ -150,6 +151,39 @@ def term_positions(docs: DataFrame, items: Items, id_col: str, text_col: str) ->
     return rows.mapInArrow(trimmed(run), "doc_id long, n_words int, at binary, term binary")
 
 
+def vocabulary(texts: DataFrame) -> dict[bytes, int]:
+    """Numbers of all words of a benchmark (text), which are as many as its vocabulary has, however long it is."""
+
+    def run(batches):
+        for b in batches:
+            found = {w for t in b.column(0).to_pylist() for w in (*words_of(t), *answer_of(t))}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.binary())], ["word"])
+
+    words = texts.select("text").mapInArrow(run, "word binary").distinct().collect()
+    return {w: i for i, w in enumerate(sorted(bytes(r["word"]) for r in words))}
+
+
+def of_block(spots: DataFrame, every: dict[bytes, int], items: Items) -> DataFrame:
+    """spots of all terms as those of a block's terms, by the block's numbers."""
+    local = np.full(len(every), -1, np.int32)
+    for w, k in items.terms.items():
+        local[every[w]] = k
+    shared = spots.sparkSession.sparkContext.broadcast(local)
+
+    def run(batches):
+        own = shared.value
+        for b in batches:
+            ats, numbers = [], []
+            for at, term in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                number = own[np.frombuffer(term, np.int32)]
+                held = number >= 0
+                ats.append(np.frombuffer(at, np.int32)[held].tobytes())
+                numbers.append(number[held].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ats, pa.binary()), pa.array(numbers, pa.binary())], ["doc_id", "n_words", "at", "term"])
+
+    return spots.mapInArrow(run, "doc_id long, n_words int, at binary, term binary")
+
+
 def slices(batches, column: int):
     """Runs of rows whose positions (in column) take about CHUNK_BYTES."""
     for b in batches:
@@ -433,12 +467,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     chars = asked.agg(F.sum(F.length("text"))).first()[0] or 0
     rounds = max(1, -(-chars // ITEM_CHARS))
     out = spark.createDataFrame([], PAIRS)
+    every, spots_of_all = {}, None
+    if rounds > 1:  # texts are cut into words once, for all rounds
+        every = vocabulary(asked)
+        spots_of_all = materialize(term_positions(docs, every, id_col, text_col), "all-spots")
     for r in range(rounds):
         own = asked if rounds == 1 else asked.where(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == r)
         items = Items(sorted((x["item_id"], x["text"]) for x in own.collect()))  # one block of the benchmark
         if not items.terms:
             continue
-        spots = materialize(term_positions(docs, items, id_col, text_col), "spots")
+        spots = materialize(of_block(spots_of_all, every, items) if rounds > 1 else term_positions(docs, items.terms, id_col, text_col), "spots")
         df, passages = document_frequencies(spots, len(items.terms))
         weight = np.where(rarer_halves(items, df), np.log((passages + 1) / (df + 1)) + 1, 0.0)
         basis = latent_basis(spots, items, weight, passages)
