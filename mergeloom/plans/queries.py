@@ -242,6 +242,26 @@ def entity_assignment(spark, sf):
     return _assignment_gain(load(spark, sf, "region"), load(spark, sf, "nation"))
 
 
+@query("""
+WITH RECURSIVE e AS (SELECT r_regionkey::BIGINT AS i, n_nationkey::BIGINT AS j, ((r_regionkey * 3 + n_nationkey * 5) % 8 + 1) / 8.0::DOUBLE AS score FROM region, nation),
+n AS (SELECT count(*) AS n FROM region), r AS (SELECT i, row_number() OVER (ORDER BY i DESC) AS row FROM (SELECT DISTINCT i FROM e)),
+u AS (SELECT row, j, score, row_number() OVER (PARTITION BY row ORDER BY score DESC, j) AS k FROM e JOIN r USING (i) WHERE score > 0.5),
+walk(row, path, total) AS (
+  SELECT 0::BIGINT, []::BIGINT[], 0.0::DOUBLE
+  UNION ALL (
+    SELECT walk.row + 1, list_append(path, j), total + score - 0.5 FROM walk JOIN u ON u.row = walk.row + 1 AND u.k <= (SELECT n FROM n) AND NOT list_contains(path, j)
+    UNION ALL SELECT row + 1, list_append(path, 1000000), total FROM walk WHERE row < (SELECT n FROM n))),
+best AS (SELECT path FROM walk WHERE row = (SELECT n FROM n) ORDER BY total DESC, path LIMIT 1),
+x AS (SELECT unnest(path) AS j, generate_subscripts(path, 1) AS row FROM best)
+SELECT r.i AS left_id, x.j AS right_id, e.score FROM x JOIN r USING (row) JOIN e ON e.i = r.i AND e.j = x.j""")
+def assignment_choice(spark, sf):
+    """The choice itself, among many equally good ones: the first from the last row up, columns ascending."""
+    r = load(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("left_id"))
+    n = load(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("right_id"))
+    score = ((F.col("left_id") * 3 + F.col("right_id") * 5) % 8 + 1) / F.lit(8.0)
+    return assign(r.join(n, how="cross").withColumn("score", score), 0.5)
+
+
 def _assignment_gain(regions, nations):
     r = regions.select(F.col("r_regionkey").cast("long").alias("left_id"))
     n = nations.select(F.col("n_nationkey").cast("long").alias("right_id"))
