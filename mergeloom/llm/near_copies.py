@@ -9,8 +9,10 @@ shuffled, and texts that meet at a variant are candidates.
 
 Where FEW texts or fewer meet, all pairs of them are compared. Where more meet, first those with
 equal fingerprints are compared with one of them, in a number of pairs in proportion to the texts,
-which joins most. Then the texts that such crowds link are a set of their own: of those sets that
-are not one component yet, the texts outside of the largest component are compared with
+which joins most. Then the texts that such crowds link are a set of their own. Of those sets that
+are not one component yet, the texts outside of the largest component are first compared with
+REPRESENTATIVES texts of it, again and again with others as long as that halves them, which is
+linear in the texts and joins copies of one template. What is left outside is compared with
 all others, in tiles of TILE texts, so no task holds a whole crowd and no pairs are written but
 those that join. So every two that collide are compared or already joined, and every
 comparison is of the whole sets.
@@ -30,6 +32,8 @@ doc_id stays, null last; an empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -45,6 +49,7 @@ NUM, DEN = 4, 5  # the similarity
 TABLES, BITS, RADIUS = 8, 44, 2
 FEW = 3
 TILE = 256
+REPRESENTATIVES = 8
 BUCKET_VARIANTS = 2_000_000
 LINKS_AT_ONCE = 1_000_000
 SHINGLES_AT_ONCE = 4096
@@ -306,19 +311,51 @@ def _verify(batches):
         yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
+def _shape(members: DataFrame) -> DataFrame:
+    """For each crowd of several components its largest one, the texts outside of it, and the tiles of both."""
+    counts = members.groupBy("crowd", "root").agg(F.count("*").alias("n"))
+    shape = counts.groupBy("crowd").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    outside = F.col("all") - F.col("most.n")
+    return shape.select("crowd", F.col("most.root").alias("major"), outside.alias("outside"), F.ceil(outside / TILE).alias("others"), F.ceil(F.col("most.n") / TILE).alias("majors"))
+
+
+def _with_representatives(members: DataFrame, shape: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
+    """Links (u, v) between the largest component of a crowd and those of texts outside that are similar to one of REPRESENTATIVES of its texts."""
+    placed = members.join(shape, "crowd")
+    outside = placed.where("root <> major").withColumn("a", F.pmod(F.xxhash64("node"), F.col("others")))
+    # minima over differently salted hashes, so that no task holds the component
+    picks = [F.min(F.struct(F.xxhash64("node", F.lit(turn * REPRESENTATIVES + i)), "node"))["node"] for i in range(REPRESENTATIVES)]
+    few = placed.where("root = major").groupBy("crowd", "major", "others").agg(F.array_distinct(F.array(*picks)).alias("nodes"))
+    few = few.select("crowd", F.col("major").alias("root"), "others", F.explode("nodes").alias("node")).join(sets, "node")
+    few = few.withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1))).withColumn("tile", F.lit(-1).cast("long"))
+    columns = ["crowd", "tile", "node", "root", "a", "items"]
+    dealt = outside.withColumn("tile", F.col("a")).join(sets, "node").select(columns).unionByName(few.select(columns))
+    return dealt.withColumn("b", F.lit(-1).cast("long")).groupBy("crowd", "a", "b").applyInPandas(_compare_tiles, "u long, v long").distinct()
+
+
 def _crowd_links(crowds: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (u, v) between components that similar texts of one crowd join; crowds: links (u, v) of texts that met, roots: (node, root)."""
     members = connected_components(crowds).withColumnRenamed("root", "crowd").join(roots, "node", "left").select("crowd", "node", F.coalesce("root", "node").alias("root"))
     members = materialize(members, "crowd-members")
-    counts = members.groupBy("crowd", "root").agg(F.count("*").alias("n"))
-    shape = counts.groupBy("crowd").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    shape = shape.select("crowd", F.col("most.root").alias("major"), F.ceil((F.col("all") - F.col("most.n")) / TILE).alias("others"), F.ceil(F.col("most.n") / TILE).alias("majors"))
+    joined, before, turn = [], None, 0
+    while True:  # as long as a turn halves the texts outside; each is linear in them
+        wide = _shape(members).where("others > 1")
+        left = wide.agg(F.sum("outside")).first()[0] or 0
+        if not left or (before is not None and 2 * left > before):
+            break
+        found = materialize(_with_representatives(members, wide, sets, turn), "crowd-found")
+        if found.isEmpty():
+            break
+        joined.append(found)
+        above = connected_components(found).select(F.col("node").alias("root"), F.col("root").alias("above"))
+        members = materialize(members.join(above, "root", "left").select("crowd", "node", F.coalesce("above", "root").alias("root")), "crowd-members")
+        before, turn = left, turn + 1
     h, major = F.xxhash64("node"), F.col("root") == F.col("major")
-    placed = members.join(shape, "crowd").withColumn("tile", F.when(major, F.col("others") + F.pmod(h, F.col("majors"))).otherwise(F.pmod(h, F.col("others"))))
+    placed = members.join(_shape(members), "crowd").withColumn("tile", F.when(major, F.col("others") + F.pmod(h, F.col("majors"))).otherwise(F.pmod(h, F.col("others"))))
     # the largest component is not compared with itself
     partner = F.explode(F.sequence(F.lit(0).cast("long"), F.when(major, F.col("others") - 1).otherwise(F.col("others") + F.col("majors") - 1)))
     dealt = placed.withColumn("partner", partner).select("crowd", "tile", "node", "root", F.least("tile", "partner").alias("a"), F.greatest("tile", "partner").alias("b"))
-    return dealt.join(sets, "node").groupBy("crowd", "a", "b").applyInPandas(_compare_tiles, "u long, v long")
+    return reduce(DataFrame.unionByName, joined, dealt.join(sets, "node").groupBy("crowd", "a", "b").applyInPandas(_compare_tiles, "u long, v long"))
 
 
 def similar_roots(nodes: DataFrame, held: DataFrame, words_per_shingle: int = WORDS) -> DataFrame:

@@ -173,6 +173,41 @@ def test_near_copies_compare_all():
             assert near_copies.similar(x, y) == (5 * np.intersect1d(x, y).size >= 4 * np.union1d(x, y).size)
 
 
+def test_crowds_of_one_template(spark, monkeypatch):
+    """Texts of a crowd that is joined by its representatives, by chains, or not at all, against all pairs; few go on to the tiles."""
+    rng = np.random.default_rng(8)
+    base = np.arange(100)
+    near = [np.unique(np.concatenate([base, 1000 + rng.integers(0, 10**6, rng.integers(0, 12))])) for _ in range(120)]
+    chain = [np.arange(5_000_000 + 8 * i, 5_000_000 + 8 * i + 100) for i in range(30)]
+    loose = [np.arange(9_000_000 + 100 * i, 9_000_000 + 100 * i + 100) for i in range(10)]
+    found = [x.astype(np.uint64) for i in rng.permutation(160).tolist() for x in [[*near, *chain, *loose][i]]]
+    sets = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(found)], "node long, items binary")
+    links = spark.createDataFrame([(i, i + 1) for i in range(len(found) - 1)], "u long, v long")
+    roots = spark.createDataFrame([(0, 0), (1, 0)] if near_copies.similar(found[0], found[1]) else [], "node long, root long")
+    compared, made = [], near_copies._with_representatives
+    monkeypatch.setattr(near_copies, "_with_representatives", lambda members, shape, *rest: compared.append(shape.agg(F.sum("outside")).first()[0]) or made(members, shape, *rest))
+    monkeypatch.setattr(near_copies, "TILE", 16)
+    monkeypatch.setattr(near_copies, "REPRESENTATIVES", 3)
+    got = near_copies.forest(np.array([tuple(r) for r in near_copies._crowd_links(links, roots, sets).collect()]))
+    want = near_copies.forest(np.array([(i, j) for i in range(len(found)) for j in range(i + 1, len(found)) if near_copies.similar(found[i], found[j])]))
+    assert [_reach(got, i) for i in range(len(found))] == [_reach(want, i) for i in range(len(found))]
+    assert compared[0] >= len(found) - 2 and len(compared) > 1 and compared[1] <= 80
+
+
+def _reach(pairs, start):
+    """All nodes that pairs link start with."""
+    near = {}
+    for u, v in pairs.tolist():
+        near.setdefault(u, []).append(v)
+        near.setdefault(v, []).append(u)
+    seen, stack = {start}, [start]
+    while stack:
+        new = set(near.get(stack.pop(), [])) - seen
+        seen |= new
+        stack += new
+    return seen
+
+
 def test_rows_without(spark):
     held = spark.range(5000).withColumnRenamed("id", near_copies.ROW)
     lost = held.where(F.col(near_copies.ROW) % 3 == 0)
