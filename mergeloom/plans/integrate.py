@@ -103,7 +103,7 @@ def integrate(left: DataFrame, right: DataFrame, config: Config = Config(), left
     schema = {c: schema.get(c) for c in names[0]}
     entity = None
     for _ in range(max(1, config.rounds)):
-        pairs = score_pairs(a, b, schema, ROW, ROW, config.entity_threshold, config.embedder, config.exact_categories, config.kinds)
+        pairs = score_pairs(a, b, schema, ROW, ROW, config.entity_threshold, config.embedder, config.exact_categories, config.kinds, again=config.mode == "exact")
         entity = materialize(assign(pairs, config.entity_threshold, config.mode), "entities")
         agreed = agreeing(a, b, entity, schema)
         if agreed == schema or not any(agreed.values()):
